@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..operators.storage import shared_dir, written
+
+__all__ = ["ASCII_SPACE", "WORD", "WordMemo", "partitions", "shared_dir", "small_batches", "words", "written"]
 
 #: Words are runs of everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in ASCII_SPACE) + "]")
 _ASCII_SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -24,28 +26,6 @@ def words(text: str) -> list[str]:
     return [w for w in _ASCII_SPACES.split(text) if w]
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder that all executors share.
-
-    spark.checkpoint.dir names that folder; only where it is unset (tests in
-    local mode) a folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/emberline-shared"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts the lineage and
-    lets later stages survive a lost executor."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds at a time: whole texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-_BEYOND_LATIN = re.compile(r"[^\x00-į]")
+_BEYOND_LATIN = re.compile(f"[^{chr(0)}-{chr(0x12F)}]")
 
 
 def is_latin(text: str) -> bool:
