@@ -164,28 +164,25 @@ def _estimates(rows: DataFrame, chunk_rows: int, min_rows: int) -> tuple[DataFra
     return pools, written(chunks.groupBy("pool").agg(*(mean(c) for c in [*FEATURES, *_CELLS])), "estimates")
 
 
-def _distance(est: list, x: list, extra: list):
-    """Squared Mahalanobis distance by a Cholesky factor of the group's scatter plus the
-    document's own variance, as one expression."""
-    s = {(i, j): est[4 + _CELLS.index(f"s{i}{j}")] + (extra[i] if i == j else 0) for i in range(4) for j in range(i, 4)}
-    low: dict = {}
-    total, y = F.lit(0.0), []
-    for j in range(4):
-        pivot = s[j, j]
-        for k in range(j):
-            pivot = pivot - low[j, k] * low[j, k]
-        low[j, j] = F.sqrt(pivot)
-        for i in range(j + 1, 4):
-            v = s[j, i]
-            for k in range(j):
-                v = v - low[i, k] * low[j, k]
-            low[i, j] = v / low[j, j]
-        z = x[j] - est[j]
-        for k in range(j):
-            z = z - low[j, k] * y[k]
-        y.append(z / low[j, j])
-        total = total + y[j] * y[j]
-    return total
+def mahalanobis2(location: np.ndarray, scatter: np.ndarray, own: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances of rows x, each from its group's location in its scatter (the
+    upper triangle by rows) plus the document's own variances."""
+    s = np.zeros((len(x), 4, 4))
+    i, j = np.triu_indices(4)
+    s[:, i, j] = s[:, j, i] = scatter
+    s[:, range(4), range(4)] += own
+    d = x - location
+    return (np.linalg.solve(s, d[:, :, None])[:, :, 0] * d).sum(axis=1)
+
+
+@F.pandas_udf("double")
+def _distance(est: pd.Series, x: pd.DataFrame, own: pd.DataFrame) -> pd.Series:
+    out = np.full(len(est), np.nan)
+    known = est.notna().to_numpy()
+    if known.any():
+        e = np.stack(est[known].to_list())
+        out[known] = mahalanobis2(e[:, :4], e[:, 4:], own.to_numpy(float)[known], x.to_numpy(float)[known])
+    return pd.Series(out).astype(object).where(known, None)
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = 23.5, chunk_rows: int = 4096, min_rows: int = 50, stats_only: bool = False) -> tuple[DataFrame, list[str]]:
@@ -216,7 +213,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     if groups.count() <= 100_000:  # 150 bytes a group
         groups = F.broadcast(groups)
     met = table.join(groups, F.struct(F.col(lang), F.col(source)) == F.col("emb_group"), "left")
-    d2 = _distance([F.col("emb_est")[i] for i in range(14)], [F.col(c) for c in xs], sampling(col))
+    d2 = _distance(F.col("emb_est"), F.struct(*(F.col(c).alias(n) for c, n in zip(xs, FEATURES, strict=True))), F.struct(*(v.alias(n) for v, n in zip(sampling(col), FEATURES, strict=True))))
     out = met.withColumn(distance2, d2).withColumn(kept, ~F.col(failed) & (F.coalesce(F.col(distance2), F.lit(0.0)) <= cutoff))
     shown = [*counted.columns, failed, distance2, kept]
     return out.select(*(F.col(f"`{c}`") for c in shown)), [*names[: len(STATS)], failed, distance2, kept]
