@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import ASCII_SPACE, small_batches, words, written
 from .langid import free_names
@@ -175,7 +176,7 @@ def mahalanobis2(location: np.ndarray, scatter: np.ndarray, own: np.ndarray, x:
     return (np.linalg.solve(s, d[:, :, None])[:, :, 0] * d).sum(axis=1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _distance(est: pd.Series, x: pd.DataFrame, own: pd.DataFrame) -> pd.Series:
     out = np.full(len(est), np.nan)
     known = est.notna().to_numpy()
