@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import comparable
+
 LINEAGE = ["landing_source_file", "ingestion_timestamp", "updated_source_file", "updated_timestamp"]
 
 Rows = Callable[[str], Column]
@@ -69,11 +71,12 @@ def merge_with_lineage(target: DataFrame | None, source: DataFrame, keys: list[s
     if target is None:
         return rows
     values = [c for c in rows.columns if c not in keys and c not in LINEAGE]
+    kinds = {f.name: f.dataType for f in rows.schema}
 
     def differs(old: Rows, new: Rows) -> Column:
         out = F.lit(False)
         for c in values:
-            out = out | ~old(c).eqNullSafe(new(c))
+            out = out | ~comparable(old(c), kinds[c]).eqNullSafe(comparable(new(c), kinds[c]))
         return out
 
     update: dict[str, Rule] = {c: (lambda old, new, c=c: new(c)) for c in values}

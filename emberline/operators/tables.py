@@ -6,12 +6,18 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def comparable(value: Column, kind: T.DataType) -> Column:
+    """A value that can be compared and hashed: a map as its entries in order."""
+    return F.array_sort(F.map_entries(value)) if isinstance(kind, T.MapType) else value
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str | Column = "ingestion_timestamp", ties: list[str | Column] | None = None) -> DataFrame:
     """One row of each key: the last by `order`, nulls last, then by `ties` (without them
     by all other columns, so that the choice doesn't depend on the rows' places)."""
-    rest = ties if ties is not None else [F.xxhash64(*[c for c in df.columns if c not in keys]).asc()] if set(df.columns) - set(keys) else []
+    rest = ties if ties is not None else [F.xxhash64(*(comparable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema if f.name not in keys)).asc()] if set(df.columns) - set(keys) else []
     first = F.col(order) if isinstance(order, str) else order
     window = Window.partitionBy(*keys).orderBy(first.desc_nulls_last(), *rest)
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")

@@ -88,7 +88,8 @@ class Lake:
             self.to_silver("silver_roads", silver.roads(b))
 
     def gold(self, as_of: Column) -> None:
-        fires, clusters, weather, incidents, roads = (self.table(f"silver_{n}").read() for n in ("fires", "fire_clusters", "weather", "traffic", "roads"))
+        stored = {n: self.table(f"silver_{n}").read() for n in ("fires", "fire_clusters", "weather", "traffic", "roads")}
+        fires, clusters, weather, incidents, roads = (t if t is None else t.drop("updated_source_file", "updated_timestamp") for t in stored.values())
         tables: dict[str, Callable[[], DataFrame]] = {"gold_fire_risk": lambda: gold.fire_risk(fires, weather, as_of), "gold_fire_evolution": lambda: gold.fire_evolution(fires, clusters), "gold_fire_traffic_impact": lambda: gold.fire_traffic_impact(fires, incidents)}
         tables["gold_fire_exposure"] = lambda: gold.fire_exposure(gold.fire_roads(fires, roads))
         tables["gold_fire_road_impact"] = lambda: gold.fire_road_impact(gold.fire_roads(fires, roads), gold.road_incidents(roads, incidents))
