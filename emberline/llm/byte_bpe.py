@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import WordMemo, small_batches
 
 _CODERS: dict = {}
-_BITS = 64
+_BITS = 256  # bits of a bitmap word: two levels for 50,000 ranks
 
 
 class RankQueue:
@@ -42,9 +42,10 @@ class RankQueue:
         self.buckets[rank] = [position]
         at = rank
         for level in self.levels:
-            at, bit = divmod(at, _BITS)
+            bit = 1 << at % _BITS
+            at //= _BITS
             was = level[at]
-            level[at] = was | 1 << bit
+            level[at] = was | bit
             if was:
                 break
 
@@ -57,16 +58,17 @@ class RankQueue:
                 return None
             at = at * _BITS + (word & -word).bit_length() - 1
         bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            up = at
-            for level in self.levels:
-                up, bit = divmod(up, _BITS)
-                level[up] &= ~(1 << bit)
-                if level[up]:
-                    break
-        return at, position
+        if len(bucket) > 1:
+            return at, heapq.heappop(bucket)
+        del self.buckets[at]
+        up = at
+        for level in self.levels:
+            bit = 1 << up % _BITS
+            up //= _BITS
+            level[up] = left = level[up] ^ bit
+            if left:
+                break
+        return at, bucket[0]
 
 
 class ByteBPE:
@@ -84,7 +86,28 @@ class ByteBPE:
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
         self.pieces = WordMemo(lambda many: [np.array(self.merge(p.encode()), "<u4").tobytes() for p in many])
-        self.memo = WordMemo(lambda many: [b"".join(self.pieces(self.pattern.findall(t))) for t in many])
+        self.latin = "L}" in pattern and "N}" in pattern
+        self.memo = WordMemo(self._chunks)
+
+    def _chunks(self, many: list[str]) -> list[bytes]:
+        """Ids of chunks of text; their matches are looked up together."""
+        units: list[str] = []
+        spans = []
+        for t in many:
+            own = self._matches(t)
+            spans.append((len(units), len(units) + len(own)))
+            units += own
+        ids = self.pieces(units)
+        return [ids[a] if b == a + 1 else b"".join(ids[a:b]) for a, b in spans]
+
+    def _matches(self, text: str) -> list[str]:
+        """The pattern's matches. A run of letters behind at most a blank, with at most a
+        comma or full stop behind, needs no search if the pattern takes letters apart."""
+        if self.latin:
+            body, tail = (text[:-1], text[-1]) if text[-1:] in (",", ".") else (text, "")
+            if body[body[:1] == " " :].isalpha():
+                return [body, tail] if tail else [body]
+        return self.pattern.findall(text)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. Of a popped position only a live pair of just this
@@ -92,25 +115,25 @@ class ByteBPE:
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        n, push, pop, known = len(piece), self.queue.push, self.queue.pop, ranks.get
         sym: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                queue.push(r, i)
-        while (top := queue.pop()) is not None:
+            if (r := known(piece[i : i + 2])) is not None:
+                push(r, i)
+        while (top := pop()) is not None:
             rank, i = top
             a, j = sym[i], after[i]
-            if a is None or j >= n or ranks.get(joined := a + sym[j]) != rank:
+            if a is None or j >= n or known(joined := a + sym[j]) != rank:
                 continue
             sym[i], sym[j] = joined, None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := ranks.get(joined + sym[k])) is not None:
-                    queue.push(r, i)
-            if (h := before[i]) >= 0 and (r := ranks.get(sym[h] + joined)) is not None:
-                queue.push(r, h)
+                if (r := known(joined + sym[k])) is not None:
+                    push(r, i)
+            if (h := before[i]) >= 0 and (r := known(sym[h] + joined)) is not None:
+                push(r, h)
         return [ranks[s] for s in sym if s is not None]
 
     def encode(self, text: str | None) -> bytes:
