@@ -136,6 +136,7 @@ def plan(n: int, both: np.ndarray, distance: int, *, pair_cost: float = 0.02, mo
     least cost: rows dealt out, and candidate pairs (as they follow from the share of
     ones of each bit) at pair_cost of a row."""
     p = np.diag(both) / max(n, 1)
+    n = max(n, 1000)  # an empty or tiny table is dealt out like a small one
     differ = 2 * p * (1 - p)
     best: tuple[float, list] = (float("inf"), [])
     for parts in range(1, min(most, distance + 1) + 1):
@@ -212,7 +213,17 @@ def links_in(words: list[np.ndarray], nodes: np.ndarray, limits: list[int]) -> l
     for w, limit in zip(words, limits, strict=True):
         apart = apart + np.bitwise_count(w[i] ^ w[j]).astype(np.int16)
         keep &= apart <= limit
-    return list(zip(nodes[i[keep]], nodes[j[keep]], strict=True))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in zip(nodes[i[keep]].tolist(), nodes[j[keep]].tolist(), strict=True):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
 def _edges(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -353,30 +364,29 @@ def one_of_each(docs: DataFrame, *, width: int = 5, distance: int = 14, total: i
     similarity of 0.8 on shingles of five words differ in about 19 of 128 bits (deviation
     4), unrelated ones in about 64 (deviation 6). Null texts and texts without words have
     equal fingerprints and form a group. Which row stays is the first in the order in
-    which docs is read. An empty table gives an empty result.
+    which docs is read. An empty table gives an empty result. docs is read twice and has
+    to give the same rows in the same order, as a stored table does; texts aren't copied.
 
     The links' search is complete. Its buckets aren't selective at 14 of 64 bits: about
     6 % of all pairs of distinct fingerprints are compared, a few nanoseconds each.
     """
     small_batches(docs.sparkSession)
-    names = free_names(docs, "uid", "fp", "word")
-    uid, fp, word = names
-    at = docs.columns.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{fp}` long", f"`{word}` long"])
+    (uid,) = free_names(docs, "uid")
+    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = prints(batch.column(at).to_pylist(), width, (42, 43))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.view(np.int64)) for x in found)], [*batch.schema.names, fp, word])
+            found = prints(batch.column(1).to_pylist(), width, (42, 43))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in found)], ["node", "fp", "word"])
 
-    rows = written(docs.mapInArrow(run, schema).withColumn(uid, F.monotonically_increasing_id()), "prints")
-    distinct = written(rows.groupBy(F.col(fp).alias("fp"), F.col(word).alias("word")).agg(F.min(uid).alias("node")), "distinct")
+    rows = written(numbered.select(uid, text_col).mapInArrow(run, "node long, fp long, word long"), "prints")
+    distinct = written(rows.groupBy("fp", "word").agg(F.min("node").alias("node")), "distinct")
     n, both = bit_counts(distinct)
     keys = [k for i, (bits, radius) in enumerate(plan(n, both, distance)) for k in ball("fp", bits, radius, i)]
     dealt = distinct.select("*", F.explode(F.array(*keys)).alias("k")).select(F.col("k.part"), F.col("k.key"), "node", "fp", "word")
     edges = _search(dealt, [distance, total], 1 << 62)
     labels = connected_components(edges, "u", "v")
     stays = distinct.join(labels, "node", "left").where("component is null or component = node").select(F.col("node").alias(uid))
-    goes = written(rows.select(uid).join(stays, uid, "left_anti"), "copies")
+    goes = written(rows.select(F.col("node").alias(uid)).join(stays, uid, "left_anti"), "copies")
     gone = F.broadcast(goes) if goes.count() <= 1_000_000 else goes  # 8 bytes a row
-    return rows.join(gone, uid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return numbered.join(gone, uid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
