@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -16,59 +17,11 @@ from pyspark.sql import functions as F
 from .common import WordMemo, small_batches
 
 _CODERS: dict = {}
-_BITS = 256  # bits of a bitmap word: two levels for 50,000 ranks
 
 
-class RankQueue:
-    """A priority queue of (rank, position) for ranks below a fixed number. Each rank
-    has a bucket of positions; a hierarchy of bitmaps says which buckets (and which
-    words of the bitmap below) hold something, so the lowest rank is found by a
-    find-first-set on each level. It is empty again after its last pop."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        n = max(ranks, 1)
-        while True:
-            n = -(-n // _BITS)
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-
-    def push(self, rank: int, position: int) -> None:
-        if (bucket := self.buckets.get(rank)) is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            bit = 1 << at % _BITS
-            at //= _BITS
-            was = level[at]
-            level[at] = was | bit
-            if was:
-                break
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position; None if the queue is empty."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return None
-            at = at * _BITS + (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        if len(bucket) > 1:
-            return at, heapq.heappop(bucket)
-        del self.buckets[at]
-        up = at
-        for level in self.levels:
-            bit = 1 << up % _BITS
-            up //= _BITS
-            level[up] = left = level[up] ^ bit
-            if left:
-                break
-        return at, bucket[0]
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ByteBPE:
@@ -84,8 +37,12 @@ class ByteBPE:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.table = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
-        self.pieces = WordMemo(lambda many: [np.array(self.merge(p.encode()), "<u4").tobytes() for p in many])
+        #: Bits of a rank that a word of the lower bitmap tells apart: two levels for any vocabulary.
+        self.shift = (max(self.ranks.values(), default=0).bit_length() + 1) // 2
+        self.bit = [1 << i for i in range(1 << self.shift)]
+        self.bytes = [bytes([i]) for i in range(256)]
+        self.byte_ids = [self.ranks.get(b, -1) for b in self.bytes]
+        self.pieces = WordMemo(lambda many: [packed(self.merge(p.encode())) for p in many])
         self.latin = "L}" in pattern and "N}" in pattern
         self.memo = WordMemo(self._chunks)
 
@@ -110,31 +67,75 @@ class ByteBPE:
         return self.pattern.findall(text)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token. Of a popped position only a live pair of just this
-        rank is merged; other entries are stale and skipped."""
-        ranks = self.ranks
+        """Ids of one pre-token.
+
+        The queue has a bucket of positions for each rank and two levels of bitmaps: a
+        bit of low[hi] for each rank with a bucket, a bit of top for each such word. A
+        find-first-set on both gives the lowest rank, whose leftmost position is popped.
+        rank_at has the rank of the pair that now starts at a position; an entry of
+        another rank is stale and skipped.
+        """
+        ranks, table, shift, bit = self.ranks, self.table, self.shift, self.bit
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n, push, pop, known = len(piece), self.queue.push, self.queue.pop, ranks.get
-        sym: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        n, known, within = len(piece), ranks.get, (1 << shift) - 1
+        sym = list(map(self.bytes.__getitem__, piece))
+        ids = list(map(self.byte_ids.__getitem__, piece))
+        rank_at = [known(a + b, -1) for a, b in zip(sym, sym[1:], strict=False)]
+        rank_at.append(-1)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        for i in range(n - 1):
-            if (r := known(piece[i : i + 2])) is not None:
-                push(r, i)
-        while (top := pop()) is not None:
-            rank, i = top
-            a, j = sym[i], after[i]
-            if a is None or j >= n or known(joined := a + sym[j]) != rank:
+        buckets: dict[int, list[int]] = {}
+        low: dict[int, int] = {}
+        top = 0
+        fresh = enumerate(rank_at)
+        while True:
+            for i, r in fresh:  # push
+                if r < 0:
+                    continue
+                if (bucket := buckets.get(r)) is not None:
+                    heapq.heappush(bucket, i)
+                    continue
+                buckets[r] = [i]
+                hi = r >> shift
+                low[hi] = low.get(hi, 0) | bit[r & within]
+                top |= bit[hi]
+            if not top:
+                break
+            first = top & -top  # pop
+            hi = first.bit_length() - 1
+            word = low[hi]
+            last = word & -word
+            rank = hi << shift | last.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heapq.heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[hi] = word = word ^ last
+                if not word:
+                    top ^= first
+            if rank_at[i] != rank:
+                fresh = ()
                 continue
-            sym[i], sym[j] = joined, None
+            joined, j = table[rank], after[i]
+            sym[i], ids[i], rank_at[j] = joined, rank, -1
             after[i] = k = after[j]
+            h = before[i]
+            rank_at[i] = r = -1
             if k < n:
                 before[k] = i
-                if (r := known(joined + sym[k])) is not None:
-                    push(r, i)
-            if (h := before[i]) >= 0 and (r := known(sym[h] + joined)) is not None:
-                push(r, h)
-        return [ranks[s] for s in sym if s is not None]
+                rank_at[i] = r = known(joined + sym[k], -1)
+            if h >= 0:
+                rank_at[h] = s = known(sym[h] + joined, -1)
+                fresh = ((i, r), (h, s))
+            else:
+                fresh = ((i, r),)
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
