@@ -28,14 +28,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     start = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     now, state = start.where("u <> v"), None
+    rows = now.count()
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components", rows)
         before, state = state, _signature(now)
+        rows = state[0]
         if state == before:
             break
     else:

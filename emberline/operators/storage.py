@@ -20,9 +20,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, *, rows_a_file: int = 250_000) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts the lineage and
-    lets later stages survive a lost executor."""
-    path = shared_dir(df.sparkSession, name)
+    lets later stages survive a lost executor. rows: how many rows of a few numbers df
+    has, if known, so that a small table isn't strewn over a file for each shuffle
+    partition; the last stage then has a task for each file, and for each core at least.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // rows_a_file)))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
