@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import SparkSession
 
 from ..operators.storage import shared_dir, written
 
-__all__ = ["ASCII_SPACE", "WORD", "WordMemo", "partitions", "shared_dir", "small_batches", "words", "written"]
+__all__ = ["ASCII_SPACE", "WORD", "WordMemo", "partitions", "release_memos", "shared_dir", "small_batches", "words", "written"]
 
 #: Words are runs of everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +36,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_MEMOS: weakref.WeakSet = weakref.WeakSet()
+
+
 class WordMemo:
     """A bounded memo of a function of words, in two generations.
 
@@ -47,23 +51,32 @@ class WordMemo:
         self.compute, self.limit, self.longest = compute, limit, longest
         self.young: dict = {}
         self.old: dict = {}
+        _MEMOS.add(self)
 
     def __call__(self, keys: list[str]) -> list:
-        got = list(map(self.young.get, keys))
-        if None not in got:
-            return got
-        extra, missing = {}, []
-        for w in {w for w, v in zip(keys, got, strict=True) if v is None}:
+        young = self.young
+        missing = set(keys).difference(young)
+        if not missing:
+            return list(map(young.__getitem__, keys))
+        known, new = {}, []
+        for w in missing:
             v = self.old.get(w)
             if v is None:
-                missing.append(w)
+                new.append(w)
             else:
-                extra[w] = v
-        if missing:
-            extra.update(zip(missing, self.compute(missing), strict=True))
-        got = [extra[w] if v is None else v for w, v in zip(keys, got, strict=True)]
-        if len(self.young) + len(extra) > self.limit:
-            self.old, self.young = self.young, {}
-        if len(extra) <= self.limit:
-            self.young.update((w, v) for w, v in extra.items() if len(w) <= self.longest)
+                known[w] = v
+        young.update(known)
+        young.update(zip(new, self.compute(new) if new else (), strict=True))
+        got = list(map(young.__getitem__, keys))
+        for w in missing if len(missing) > self.limit else [w for w in new if len(w) > self.longest]:
+            del young[w]
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
         return got
+
+
+def release_memos() -> None:
+    """Empties the memos of this process. Python workers are reused by later operators,
+    which call this first, so that one operator's words aren't held during the next."""
+    for memo in list(_MEMOS):
+        memo.young, memo.old = {}, {}

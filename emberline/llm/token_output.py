@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .common import WordMemo, partitions, shared_dir, small_batches, words
 from .word_pieces import halves
 
 _ENCODERS: dict = {}
+#: Characters of short texts whose words are looked up together.
+CHARS = 1 << 15
 
 
 class WordEncoder:
@@ -40,26 +43,73 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        self.pieces = WordMemo(self._library)
+        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: By id, whether the token ends a word; None if the vocabulary doesn't tell.
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool) if suffix else None
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.pieces = WordMemo(self._joined)
         self.memo = WordMemo(self._words)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _joined(self, units: list[str]) -> list[bytes]:
+        """Ids of halves of words. The library gets them in lines of many and the tokens
+        that end a word tell them apart; a line with another number of ends than units
+        is encoded unit by unit."""
+        if self.ends is None:
+            return self._library(units)
+        out: list[bytes] = []
+        lines = [units[i : i + 256] for i in range(0, len(units), 256)]
+        for own, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(own) or cuts[-1] != len(ids):
+                out += self._library(own)
+                continue
+            flat = ids.astype(self.dtype)
+            at = (cuts * flat.itemsize).tolist()
+            coded = flat.tobytes()
+            out += [coded[a:b] for a, b in zip([0, *at], at, strict=False)]
+        return out
+
     def _words(self, missing: list[str]) -> list[bytes]:
         units: list[str] = []
+        odd: list[str] = []
         spans = []
         for w in missing:
             h = halves(w)
-            own = [w] if h is None else [x for x in h if x]
-            spans.append((len(units), len(units) + len(own)))
-            units += own
-        ids = self.pieces(units)
-        return [ids[a] if b == a + 1 else ids[a] + ids[b - 1] for a, b in spans]
-
-    def __call__(self, text: str | None) -> bytes:
-        return b"".join(self.memo(words(text))) if text else b""
+            at = len(units)
+            if h is None:
+                spans.append((len(odd), -1))
+                odd.append(w)
+            elif h[1]:
+                units += h
+                spans.append((at, at + 2))
+            else:
+                units.append(h[0])
+                spans.append((at, at + 1))
+        ids, whole = self.pieces(units), self._library(odd)
+        return [whole[a] if b < 0 else ids[a] if b == a + 1 else ids[a] + ids[b - 1] for a, b in spans]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. Short texts are looked up together, up to CHARS at a time."""
+        out: list[bytes] = []
+        own: list[list[str]] = []
+        size = 0
+        for t in texts:
+            own.append(words(t) if t else [])
+            size += len(t or "")
+            if size > CHARS:
+                out += self._coded(own)
+                own, size = [], 0
+        return out + self._coded(own)
+
+    def _coded(self, own: list[list[str]]) -> list[bytes]:
+        pieces = iter(self.memo(list(chain.from_iterable(own))))
+        return [b"".join(islice(pieces, len(x))) for x in own]
 
 
 def encoder(path: str, dtype: str) -> WordEncoder:
@@ -103,7 +153,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
         files = {k: store.open_output_stream(f"{v}.{attempt}") for k, v in names.items()}
         files["offsets"].write(np.zeros(1, "<i8").tobytes())
         for batch in batches:
-            coded = [encode(t) + end for t in batch.column(1).to_pylist()]
+            coded = [ids + end for ids in encode(batch.column(1).to_pylist())]
             files["ids"].write(b"".join(coded))
             ends = tokens + np.cumsum([len(c) // width for c in coded], dtype="<i8")
             files["offsets"].write(ends.tobytes())
@@ -119,7 +169,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
-    dealt.mapInArrow(write, "part int, docs long, null_ids long, tokens long, width int").write.parquet(f"{out}/manifest")
+    schema = "part int, docs long, null_ids long, tokens long, width int"
+    manifest = dealt.mapInArrow(write, schema).collect()  # a row for each partition, written as one file
+    spark.createDataFrame(manifest, schema).coalesce(1).write.parquet(f"{out}/manifest")
     return spark.read.parquet(f"{out}/manifest")
 
 
@@ -127,16 +179,18 @@ def _opened(store: pafs.FileSystem, path: str) -> pa.NativeFile:
     return pa.memory_map(path) if isinstance(store, pafs.LocalFileSystem) else store.open_input_file(path)
 
 
-def read_tokens(spark: SparkSession, path: str, *, docs_at_once: int = 512) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, *, docs_at_once: int = 512, bytes_a_task: int = 32 << 20) -> DataFrame:
     """Reads a data set back: (doc_id, start, ids), ids as little-endian unsigned
     32-bit bytes. start counts the ids of all documents before. Files are memory-mapped
-    where they are local and read by ranges where they are not."""
+    where they are local and read by ranges where they are not. A task reads whole
+    partitions, of about bytes_a_task together."""
     manifest = sorted(spark.read.parquet(f"{path}/manifest").collect())  # a row for each partition
-    base, parts = 0, []
+    base, size, parts = 0, 0, []
     for r in manifest:
         if r.docs:
             parts.append((r.part, base, r.docs, r.null_ids, r.width))
         base += r.tokens
+        size += r.tokens * r.width
     schema = "doc_id long, start long, ids binary"
     if not parts:
         return spark.createDataFrame([], schema)
@@ -160,7 +214,8 @@ def read_tokens(spark: SparkSession, path: str, *, docs_at_once: int = 512) -> D
                         yield pa.RecordBatch.from_pydict({"doc_id": [None] * nulls + known, "start": (bounds[:-1] + r["base"]).tolist(), "ids": [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]}, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())]))
 
     rows = spark.createDataFrame(parts, "part int, base long, docs long, null_ids long, width int")
-    return rows.repartition(len(parts), "part").mapInArrow(read, schema)
+    tasks = min(len(parts), max(spark.sparkContext.defaultParallelism, -(-size // bytes_a_task)))
+    return rows.repartition(tasks).mapInArrow(read, schema)
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:

@@ -17,4 +17,4 @@ def halves(word: str) -> tuple[str, str] | None:
     """A Latin word as (letters in lower case, one trailing comma or full stop or
     ""); None if the word isn't of that form."""
     body, tail = (word[:-1], word[-1]) if word[-1] in ",." else (word, "")
-    return (body.lower(), tail) if body.isalpha() and is_latin(body) else None
+    return (body.lower(), tail) if body.isalpha() and (body.isascii() or is_latin(body)) else None
