@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, small_batches
+from .common import WordMemo, release_memos, small_batches
 
 ORDERS = (3, 4)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -124,6 +124,7 @@ def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", ra
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
         words: defaultdict[str, Counter] = defaultdict(Counter)
         found: defaultdict[str, Counter] = defaultdict(Counter)
 
@@ -174,6 +175,7 @@ def _scored(docs: DataFrame, model: BitSlicedBloom, text_col: str, names: tuple[
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
         scorer = Scorer(shared.value)
         for batch in batches:
             langs, scores = scorer(batch.column(at).to_pylist())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import ASCII_SPACE, small_batches, words, written
+from .common import ASCII_SPACE, release_memos, small_batches, words, written
 from .langid import free_names
 
 SYMBOLS = "#*$%&|<>"
@@ -66,6 +66,7 @@ def _with_stats(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{n}` long" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
         for batch in batches:
             rows = np.array([text_stats(t) for t in batch.column(at).to_pylist()], np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in rows.T)], [*batch.schema.names, *names])

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import partitions, small_batches, written
+from .common import partitions, release_memos, small_batches, written
 from .langid import free_names
 
 BITS = 64
+#: Texts whose shingle hashes a worker holds at a time.
+TEXTS_AT_ONCE = 128
 #: _SPREAD[b]: bit j of the byte b as the byte j of a word, to count bits by sums.
 _SPREAD = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64) & np.uint64(1)) << np.arange(0, 64, 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
@@ -84,9 +86,12 @@ def add_fingerprints(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id",
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
         for batch in batches:
-            fp = fingerprints([shingle_hashes(t, width) for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
+                fp = fingerprints([shingle_hashes(t, width) for t in some.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
@@ -276,6 +281,7 @@ def _search(dealt: DataFrame, limits: list[int], most: int) -> DataFrame:
     sorted_keys = dealt.repartition(count, "part", "key").sortWithinPartitions("part", "key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
         for whole, hot in _runs(batches, most):
             found = [x for node, *words in whole for x in links_in([w.view(np.uint64) for w in words], node, limits)]
             linked = np.array(found, np.int64).reshape(-1, 2)
@@ -346,8 +352,8 @@ def simhash_components(docs: DataFrame, *, width: int = 4, distance: int = 4, id
     once before they are dealt out, so copies don't meet in one task.
     """
     prints = written(add_fingerprints(docs, width=width, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    labels = written(connected_components(near_edges(distinct, distance), "u", "v"), "labels")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct", prints.count())
+    labels = written(connected_components(near_edges(distinct, distance), "u", "v"), "labels", distinct.count())
     linked = labels.join(distinct, F.col("node") == F.col("fp"))
     least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = labels.join(least, "component").select(F.col("node").alias("fp"), "component_id")
@@ -375,18 +381,21 @@ def one_of_each(docs: DataFrame, *, width: int = 5, distance: int = 14, total: i
     numbered = docs.withColumn(uid, F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
         for batch in batches:
-            found = prints(batch.column(1).to_pylist(), width, (42, 43))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in found)], ["node", "fp", "word"])
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
+                found = prints(some.column(1).to_pylist(), width, (42, 43))
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(x.view(np.int64)) for x in found)], ["node", "fp", "word"])
 
     rows = written(numbered.select(uid, text_col).mapInArrow(run, "node long, fp long, word long"), "prints")
-    distinct = written(rows.groupBy("fp", "word").agg(F.min("node").alias("node")), "distinct")
+    distinct = written(rows.groupBy("fp", "word").agg(F.min("node").alias("node")), "distinct", rows.count())
     n, both = bit_counts(distinct)
     keys = [k for i, (bits, radius) in enumerate(plan(n, both, distance)) for k in ball("fp", bits, radius, i)]
     dealt = distinct.select("*", F.explode(F.array(*keys)).alias("k")).select(F.col("k.part"), F.col("k.key"), "node", "fp", "word")
     edges = _search(dealt, [distance, total], 1 << 62)
     labels = connected_components(edges, "u", "v")
     stays = distinct.join(labels, "node", "left").where("component is null or component = node").select(F.col("node").alias(uid))
-    goes = written(rows.select(F.col("node").alias(uid)).join(stays, uid, "left_anti"), "copies")
+    goes = written(rows.select(F.col("node").alias(uid)).join(stays, uid, "left_anti"), "copies", rows.count())
     gone = F.broadcast(goes) if goes.count() <= 1_000_000 else goes  # 8 bytes a row
     return numbered.join(gone, uid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
