@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import SparkSession
 
-from ..operators.storage import shared_dir, written
+from ..operators.storage import placed, shared_dir, written
 
-__all__ = ["ASCII_SPACE", "WORD", "WordMemo", "partitions", "release_memos", "shared_dir", "small_batches", "words", "written"]
+__all__ = ["ASCII_SPACE", "WORD", "WordMemo", "partitions", "placed", "release_memos", "shared_dir", "small_batches", "words", "written"]
 
 #: Words are runs of everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

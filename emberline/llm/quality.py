@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import ASCII_SPACE, release_memos, small_batches, words, written
+from .common import ASCII_SPACE, placed, release_memos, small_batches, words, written
 from .langid import free_names
 
 SYMBOLS = "#*$%&|<>"
@@ -230,12 +230,13 @@ def quality_verdicts(docs: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs that are kept, all columns as they are; see judge. docs is read
-    twice and has to give the same rows in the same order, as a stored table does; texts
-    aren't copied. The rejected rows' numbers are broadcast up to a million, of 8 bytes."""
-    (uid,) = free_names(docs, "uid")
-    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
-    rows = numbered.select(F.col(uid).alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"))
-    table, names = judge(rows, id_col="id", stats_only=True, **options)
-    goes = written(table.where(~F.col(names[-1])).select(F.col("id").alias(uid)), "rejected")
+    twice; the verdicts are joined by the rows' places in the stored files (see placed), so
+    texts of a stored table aren't copied. The rejected rows' places are broadcast up to a
+    million, of 16 bytes."""
+    file, row = free_names(docs, "file", "row")
+    stored = placed(docs, file, row)
+    rows = stored.select(F.col(file).alias("file"), F.col(row).alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"))
+    table, names = judge(rows, id_col="id", stats_only=True, **options)  # by row alone: verdicts don't depend on the files' names
+    goes = written(table.where(~F.col(names[-1])).select(F.col("file").alias(file), F.col("id").alias(row)), "rejected")
     gone = F.broadcast(goes) if goes.count() <= 1_000_000 else goes
-    return numbered.join(gone, uid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return stored.join(gone, [file, row], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

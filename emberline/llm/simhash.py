@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import partitions, release_memos, small_batches, written
+from .common import partitions, placed, release_memos, small_batches, written
 from .langid import free_names
 
 BITS = 64
@@ -370,15 +370,17 @@ def one_of_each(docs: DataFrame, *, width: int = 5, distance: int = 14, total: i
     similarity of 0.8 on shingles of five words differ in about 19 of 128 bits (deviation
     4), unrelated ones in about 64 (deviation 6). Null texts and texts without words have
     equal fingerprints and form a group. Which row stays is the first in the order in
-    which docs is read. An empty table gives an empty result. docs is read twice and has
-    to give the same rows in the same order, as a stored table does; texts aren't copied.
+    which docs is first read. An empty table gives an empty result. docs is read twice;
+    rows are numbered once, and the numbers stored with the rows' places in the stored
+    files (see placed), by which the copies are removed. Texts of a stored table aren't
+    copied.
 
     The links' search is complete. Its buckets aren't selective at 14 of 64 bits: about
     6 % of all pairs of distinct fingerprints are compared, a few nanoseconds each.
     """
     small_batches(docs.sparkSession)
-    (uid,) = free_names(docs, "uid")
-    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
+    file, row = free_names(docs, "file", "row")
+    stored = placed(docs, file, row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memos()
@@ -386,16 +388,17 @@ def one_of_each(docs: DataFrame, *, width: int = 5, distance: int = 14, total: i
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 some = batch.slice(at, TEXTS_AT_ONCE)
                 found = prints(some.column(1).to_pylist(), width, (42, 43))
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(x.view(np.int64)) for x in found)], ["node", "fp", "word"])
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(x.view(np.int64)) for x in found), some.column(2), some.column(3)], ["node", "fp", "word", file, row])
 
-    rows = written(numbered.select(uid, text_col).mapInArrow(run, "node long, fp long, word long"), "prints")
+    texts = stored.select(F.monotonically_increasing_id().alias("node"), F.col(f"`{text_col}`"), file, row)
+    rows = written(texts.mapInArrow(run, f"node long, fp long, word long, {file} long, {row} long"), "prints")
     distinct = written(rows.groupBy("fp", "word").agg(F.min("node").alias("node")), "distinct", rows.count())
     n, both = bit_counts(distinct)
     keys = [k for i, (bits, radius) in enumerate(plan(n, both, distance)) for k in ball("fp", bits, radius, i)]
     dealt = distinct.select("*", F.explode(F.array(*keys)).alias("k")).select(F.col("k.part"), F.col("k.key"), "node", "fp", "word")
     edges = _search(dealt, [distance, total], 1 << 62)
     labels = connected_components(edges, "u", "v")
-    stays = distinct.join(labels, "node", "left").where("component is null or component = node").select(F.col("node").alias(uid))
-    goes = written(rows.select(F.col("node").alias(uid)).join(stays, uid, "left_anti"), "copies", rows.count())
-    gone = F.broadcast(goes) if goes.count() <= 1_000_000 else goes  # 8 bytes a row
-    return numbered.join(gone, uid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    stays = distinct.join(labels, "node", "left").where("component is null or component = node").select("node")
+    goes = written(rows.join(stays, "node", "left_anti").select(file, row), "copies", rows.count())
+    gone = F.broadcast(goes) if goes.count() <= 1_000_000 else goes  # 16 bytes a row
+    return stored.join(gone, [file, row], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -32,3 +34,21 @@ def written(df: DataFrame, name: str, rows: int | None = None, *, rows_a_file: i
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // rows_a_file)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def placed(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """docs with the place at which each row is stored behind its own columns: a hash of
+    its file's name and its number in that file. Unlike monotonically_increasing_id they
+    don't depend on how a read cuts files into splits, so decisions made on one read hold
+    for the next. What isn't a plain table of Parquet files is written to one first."""
+
+    def add(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(row))
+
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        try:
+            return add(docs)
+        except AnalysisException:  # other formats don't number their rows
+            pass
+    return add(written(docs, "placed"))

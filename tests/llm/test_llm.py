@@ -254,3 +254,26 @@ def test_pipeline_keeps_columns(spark):
     good = corpus_pipeline.quality_rules(spark, docs, "/root/testdata/sf0.001")
     assert good.columns == docs.columns and 0.7 * docs.count() < good.count() < docs.count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_decisions_hold_for_other_splits(spark, tmp_path):
+    """Rows are removed by a read that cuts the files in another way than the first one."""
+    words = np.random.default_rng(5).integers(0, 10**6, (300, 40))
+    texts = [" ".join(f"w{x}" for x in words[i % 200]) for i in range(300)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(i, None, "en", "a") for i in range(300, 330)]
+    for n in range(6):
+        spark.createDataFrame(rows[n::6], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"file://{tmp_path}/t{n}")
+    docs = spark.read.parquet(*(f"file://{tmp_path}/t{n}" for n in range(6)))
+    for remove in (simhash.one_of_each, quality.keep_good):
+        want = sorted((r.doc_id, r.text) for r in remove(docs).collect())
+        later = remove(docs)
+        before = spark.conf.get("spark.sql.files.openCostInBytes")
+        try:
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+            got = sorted((r.doc_id, r.text) for r in later.collect())
+        finally:
+            spark.conf.set("spark.sql.files.openCostInBytes", before)
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+        assert got == want and 0 < len(got) < 330
+    assert len({t for _, t in sorted((r.doc_id, r.text or "") for r in simhash.one_of_each(docs).collect())}) == 201
