@@ -69,15 +69,15 @@ def fingerprints(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def prints(texts: list[str | None], width: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
-    """A fingerprint of each text for each seed of the shingles' hash. Beyond the first
-    seed, hashes are remixed from the first ones."""
-    hashes = [shingle_hashes(t, width, seeds[0]) for t in texts]
-    out = [fingerprints(hashes)]
-    for seed in seeds[1:]:
-        mixed = [((x := np.array(h, np.uint64) ^ np.uint64(seed)) ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD) for h in hashes]
-        out.append(fingerprints([m ^ m >> np.uint64(33) for m in mixed]))
-    return out
+def prints(hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """Two fingerprints of each list of hashes, the second of the hashes remixed."""
+    mixed = [((x := h ^ np.uint64(43)) ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD) for h in hashes]
+    return [fingerprints(hashes), fingerprints([m ^ m >> np.uint64(33) for m in mixed])]
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles, in order."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
 
 
 def add_fingerprints(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,44 +361,207 @@ def simhash_components(docs: DataFrame, *, width: int = 4, distance: int = 4, id
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, width: int = 5, distance: int = 14, total: int = 27, text_col: str = "text") -> DataFrame:
+def common_shingles(docs: DataFrame, text_col: str, width: int, *, texts: int = 10_000, least: int = 5, most: int = 100_000) -> np.ndarray:
+    """Hashes of shingles that at least `least` of about `texts` sampled texts hold, the
+    rarest first; the `most` most frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                sets = [shingle_set(t, width) for t in batch.column(0).slice(at, TEXTS_AT_ONCE).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    some = docs.select(F.col(f"`{text_col}`")).sample(min(1.0, texts / max(docs.count(), 1)), seed=7)
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def rare_shingles(hashes: np.ndarray, common: np.ndarray, order: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's first hashes that two sets of at least the similarity share one:
+    both share at least that part of their own. First are those not in common (by value),
+    then common ones by their place in it; order sorts common by value."""
+    take = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+    if not len(common) or not take:
+        return hashes[:take]
+    at = np.searchsorted(common, hashes, sorter=order)
+    place = order[np.minimum(at, len(order) - 1)]
+    known = common[place] == hashes
+    cold = hashes[~known][:take]
+    return np.concatenate([cold, common[np.sort(place[known])[: take - len(cold)]]])
+
+
+def _stars(edges: np.ndarray) -> np.ndarray:
+    """One edge, to its component's least node, for each other node of the edges."""
+    nodes, at = np.unique(edges, return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while (label[u] != label[v]).any():
+        a, b = label[u], label[v]
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while (label[label] != label).any():
+            label = label[label]
+    return np.stack([nodes, nodes[label]], axis=1)[label != np.arange(len(nodes))]
+
+
+def _meetings(rows: list[np.ndarray], similarity: float, radius: int, few: int = 32) -> np.ndarray:
+    """Edges that join the members (key, node, fp, word, n) of one key that could be
+    similar: by 128 bits and by size. rows: whole runs of equal keys."""
+    cuts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+    bounds = np.concatenate([[0], cuts, [len(rows[0])]])
+    size = np.diff(bounds)
+    found = [np.zeros((0, 2), np.int64)]
+    for i in np.flatnonzero(size > few):
+        _, node, fp, word, _ = (x[bounds[i] : bounds[i + 1]] for x in rows)
+        found.append(np.array(_forest([fp.view(np.uint64), word.view(np.uint64)], node, [BITS, radius]), np.int64).reshape(-1, 2))
+    own = np.repeat((size > 1) & (size <= few), size)
+    key, node, fp, word, n = (x[own] for x in rows)
+    for d in range(1, few):
+        i = np.flatnonzero(key[d:] == key[:-d]) if d < len(key) else key[:0]
+        if not len(i):
+            break
+        apart = np.bitwise_count((fp[i] ^ fp[i + d]).view(np.uint64)).astype(np.int16) + np.bitwise_count((word[i] ^ word[i + d]).view(np.uint64))
+        i = i[(apart <= radius) & (np.minimum(n[i], n[i + d]) >= similarity * np.maximum(n[i], n[i + d]) - 1e-9)]
+        found.append(np.stack([node[i], node[i + d]], axis=1))
+    return _stars(np.concatenate(found))
+
+
+def _overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of the others shares with own; none is empty."""
+    flat = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *(len(x) for x in others[:-1])]))
+
+
+def similar_groups(sets: list[np.ndarray], words: list[np.ndarray], similarity: float, radius: int) -> np.ndarray:
+    """For each set the place of the first one reachable over links of at least the exact
+    similarity (shared hashes over all hashes of both) within `radius` of the words' bits."""
+    root, size = np.arange(len(sets)), np.array([len(x) for x in sets])
+    rest = root.copy()
+    while len(rest):
+        first, queue, rest = rest[0], [rest[0]], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            apart = sum(np.bitwise_count(w[rest] ^ w[i]).astype(np.int16) for w in words)
+            fits = np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9
+            near = np.flatnonzero((apart <= radius) & fits)
+            gone = []
+            for at in range(0, len(near), 1024):
+                some = near[at : at + 1024]
+                both = _overlaps(sets[i], [sets[j] for j in rest[some]])
+                gone.append(some[both >= similarity * (size[i] + size[rest[some]] - both) - 1e-9])
+            if gone and len(reached := np.concatenate(gone)):
+                root[rest[reached]] = first
+                queue.extend(rest[reached])
+                rest = np.delete(rest, reached)
+    return root
+
+
+def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 46, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, of which no earlier one is a near copy:
     one row of each group of near copies stays.
 
-    Groups are the components of links between texts whose 64-bit fingerprints differ
-    in up to `distance` bits, and with 64 more bits in up to `total` of 128. Texts of a
-    similarity of 0.8 on shingles of five words differ in about 19 of 128 bits (deviation
-    4), unrelated ones in about 64 (deviation 6). Null texts and texts without words have
-    equal fingerprints and form a group. Which row stays is the first in the order in
-    which docs is first read. An empty table gives an empty result. docs is read twice;
-    rows are numbered once, and the numbers stored with the rows' places in the stored
-    files (see placed), by which the copies are removed. Texts of a stored table aren't
-    copied.
-
-    The links' search is complete. Its buckets aren't selective at 14 of 64 bits: about
-    6 % of all pairs of distinct fingerprints are compared, a few nanoseconds each.
+    Groups are the components of links between texts whose sets of shingles of five words
+    have at least the similarity, counted exactly: shared shingles over all shingles of
+    both. Texts with equal sets are one; null texts and texts without words have the empty
+    set and form a group. Which row stays is the first in the order in which docs is first
+    read. An empty table gives an empty result. docs is read several times; rows are
+    numbered once, and the numbers stored with the rows' places in the stored files (see
+    placed), by which the copies are removed. Texts of a stored table aren't copied but
+    for those that may have near copies, which are shuffled once.
+
+    Two sets of the similarity share one of their rarest shingles (see rare_shingles), so
+    texts meet there, which loses none. What meets and differs in up to `radius` of 128
+    bits of SimHash joins a candidate group; the radius is far beyond what a similarity of
+    0.8 differs in (19, deviation 4) and keeps texts apart that share a common passage
+    alone (64, deviation 6). A candidate group's shingles are then compared in one task.
     """
-    small_batches(docs.sparkSession)
+    import xxhash
+
+    spark = docs.sparkSession
+    small_batches(spark)
+    count = partitions(spark)
     file, row = free_names(docs, "file", "row")
     stored = placed(docs, file, row)
+    common = common_shingles(stored, text_col, width)
+    order = np.argsort(common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memos()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 some = batch.slice(at, TEXTS_AT_ONCE)
-                found = prints(some.column(1).to_pylist(), width, (42, 43))
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(x.view(np.int64)) for x in found), some.column(2), some.column(3)], ["node", "fp", "word", file, row])
+                sets = [shingle_set(t, width) for t in some.column(1).to_pylist()]
+                digests = np.array([divmod(xxhash.xxh3_128_intdigest(x.tobytes()), 1 << 64) for x in sets], np.uint64).view(np.int64)
+                rare = [rare_shingles(x, common, order, similarity) for x in sets]
+                ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare).view(np.int64)))
+                sizes = pa.array([len(x) for x in sets], pa.int32())
+                columns = [some.column(0), *(pa.array(x.view(np.int64)) for x in prints(sets)), sizes, pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists, some.column(2), some.column(3)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "word", "n", "digest_a", "digest_b", "rare", file, row])
 
     texts = stored.select(F.monotonically_increasing_id().alias("node"), F.col(f"`{text_col}`"), file, row)
-    rows = written(texts.mapInArrow(run, f"node long, fp long, word long, {file} long, {row} long"), "prints")
-    distinct = written(rows.groupBy("fp", "word").agg(F.min("node").alias("node")), "distinct", rows.count())
-    n, both = bit_counts(distinct)
-    keys = [k for i, (bits, radius) in enumerate(plan(n, both, distance)) for k in ball("fp", bits, radius, i)]
-    dealt = distinct.select("*", F.explode(F.array(*keys)).alias("k")).select(F.col("k.part"), F.col("k.key"), "node", "fp", "word")
-    edges = _search(dealt, [distance, total], 1 << 62)
-    labels = connected_components(edges, "u", "v")
-    stays = distinct.join(labels, "node", "left").where("component is null or component = node").select("node")
-    goes = written(rows.join(stays, "node", "left_anti").select(file, row), "copies", rows.count())
+    rows = written(texts.mapInArrow(describe, f"node long, fp long, word long, n int, digest_a long, digest_b long, rare array<long>, {file} long, {row} long"), "prints")
+    total = rows.count()
+    distinct = written(rows.groupBy("digest_a", "digest_b").agg(F.min("node").alias("node")).select("node"), "distinct", total)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
+        held: list[list[np.ndarray]] = []
+        size, enough = 0, 50_000
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            size += batch.num_rows
+            if size < enough:
+                continue
+            joined = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(joined[0], joined[0][-1]))  # the last run may go on
+            held, size = [[x[cut:] for x in joined]], len(joined[0]) - cut
+            enough = max(50_000, 2 * size)
+            if cut:
+                yield edges_of([x[:cut] for x in joined])
+        if size:
+            yield edges_of([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    def edges_of(runs: list[np.ndarray]) -> pa.RecordBatch:
+        edges = _meetings(runs, similarity, radius)
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
+
+    dealt = rows.join(distinct, "node", "left_semi").select(F.explode("rare").alias("key"), "node", "fp", "word", "n")
+    met = dealt.repartition(count, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
+    labels = connected_components(met, "u", "v")
+    members = written(rows.join(labels, "node").select("component", "node", "fp", "word", file, row), "members", total)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
+        group, held = None, []
+
+        def links() -> pa.RecordBatch:
+            nodes, fps, words, sets = zip(*held, strict=True)
+            root = similar_groups(list(sets), [np.array(x, np.int64).view(np.uint64) for x in (fps, words)], similarity, radius)
+            nodes = np.array(nodes, np.int64)
+            goes = root != np.arange(len(root))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[goes])], ["node"])
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for i, (component, *known) in enumerate(zip(*columns, strict=True)):
+                if component != group and held:
+                    yield links()
+                    held = []
+                group = component
+                held.append((*known, shingle_set(batch.column(4)[i].as_py(), width)))
+        if held:
+            yield links()
+
+    where = F.broadcast(members) if members.count() <= 1_000_000 else members
+    grouped = stored.select(F.col(f"`{text_col}`").alias("text_"), file, row).join(where, [file, row]).select("component", "node", "fp", "word", "text_")
+    near = grouped.repartition(count, "component").sortWithinPartitions("component", "node").mapInArrow(verify, "node long")
+    near = written(near, "near", total)
+    stays = distinct.join(near, "node", "left_anti")
+    goes = written(rows.join(stays, "node", "left_anti").select(file, row), "copies", total)
     gone = F.broadcast(goes) if goes.count() <= 1_000_000 else goes  # 16 bytes a row
     return stored.join(gone, [file, row], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

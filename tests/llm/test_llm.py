@@ -277,3 +277,53 @@ def test_decisions_hold_for_other_splits(spark, tmp_path):
             spark.conf.unset("spark.sql.files.minPartitionNum")
         assert got == want and 0 < len(got) < 330
     assert len({t for _, t in sorted((r.doc_id, r.text or "") for r in simhash.one_of_each(docs).collect())}) == 201
+
+
+def five_word_sets(texts):
+    """The distinct five-word shingles of each text, found without the operators."""
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    return out
+
+
+def brute_near_groups(texts, similarity=0.8):
+    sets, root = five_word_sets(texts), list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if (not a and not b) or (a | b and len(a & b) >= similarity * len(a | b) - 1e-9):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_one_of_each_by_brute_force(spark):
+    """Pairs of all similarities, close to 0.8 above all; chains; a common passage."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [None, "", "one", "one", "a b c d e f", "a b c d e g"]
+    for n in (*[30] * 40, *[64] * 60, *[204] * 60):
+        base = [f"w{x}" for x in rng.integers(0, 10**7, n)]
+        texts.append(" ".join(passage + base))
+        for _ in range(2):
+            copy = list(base)
+            for at in rng.choice(n, max(1, int(n * rng.uniform(0.002, 0.05))), replace=False):
+                copy[at] = f"x{rng.integers(0, 10**7)}"
+            texts.append(" ".join(passage + copy))
+            base = copy if rng.random() < 0.5 else base
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    root = brute_near_groups(texts)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(root))
+    assert 0.3 * len(texts) < len(set(root)) < 0.9 * len(texts)
+    share = lambda a, b: len(a & b) / len(a | b)
+    sets = five_word_sets(texts)
+    near = [share(sets[i], sets[i + 1]) for i in range(6, len(sets) - 1)]
+    assert sum(0.7 <= x < 0.8 for x in near) > 10 and sum(0.8 <= x < 0.85 for x in near) > 10
