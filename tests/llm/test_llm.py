@@ -327,3 +327,21 @@ def test_one_of_each_by_brute_force(spark):
     sets = five_word_sets(texts)
     near = [share(sets[i], sets[i + 1]) for i in range(6, len(sets) - 1)]
     assert sum(0.7 <= x < 0.8 for x in near) > 10 and sum(0.8 <= x < 0.85 for x in near) > 10
+
+
+def test_pipeline_rows(spark):
+    """run() keeps one document of each group of near copies, found by brute force, that
+    has no passage of the benchmark."""
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = corpus_pipeline.language_id(spark, corpus_pipeline.quality_rules(spark, docs, sf_dir), sf_dir).collect()
+    root = brute_near_groups([r.text for r in good])
+    group = {r.doc_id: g for r, g in zip(good, root, strict=True)}
+    assert len(group) == len(good) > len(set(root))
+    bad = {r.doc_id for r in decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+    got = Counter(group[r.doc_id] for r in corpus_pipeline.run(spark, sf_dir).collect())
+    for g in set(root):
+        marks = {d in bad for d, x in group.items() if x == g}
+        assert got[g] in ({0, 1} if len(marks) == 2 else {0} if marks == {True} else {1})
