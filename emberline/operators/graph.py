@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .skew import lookup
+from .storage import discard, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -20,10 +21,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     add nothing but the loop's own node. No edges: an empty table.
 
     In a round, every node first hands its larger neighbours to the smallest node it
-    knows, then its smaller ones. Node ids meet by partial minimums and joins, so a
-    node with many edges doesn't land in one task. Each round is written to the shared
-    folder, which keeps plans short and survives lost executors. The rounds end when
-    every node points to its component's smallest node, which is when nothing changes.
+    knows, then its smaller ones. Node ids meet by partial minimums, and nodes of many
+    edges by broadcast (see lookup), so such a node doesn't land in one task. Each round
+    is written to the shared folder, which keeps plans short and survives lost executors.
+    The rounds end when every node points to its component's smallest node, which is when
+    nothing changes.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     start = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -31,11 +33,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     rows = now.count()
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        counted = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = lookup(both, counted, ["u"], total=2 * rows, how="inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components", rows)
+        last, now = now, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components", rows)
+        discard(last)
         before, state = state, _signature(now)
         rows = state[0]
         if state == before:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,14 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster whose session names no folder that all executors reach."""
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that all executors share.
 
-    spark.checkpoint.dir names that folder; only where it is unset (tests in
-    local mode) a folder of this machine is used.
+    spark.checkpoint.dir names that folder. Where it is unset, a folder of this machine
+    is used if driver and executors are one process (local mode, as in tests); on a
+    cluster each executor would write to its own disk, so NoSharedFolder is raised.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise NoSharedFolder("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/emberline-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -27,13 +35,29 @@ def written(df: DataFrame, name: str, rows: int | None = None, *, rows_a_file: i
     lets later stages survive a lost executor. rows: how many rows of a few numbers df
     has, if known, so that a small table isn't strewn over a file for each shuffle
     partition; the last stage then has a task for each file, and for each core at least.
+    See discard.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // rows_a_file)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` returned. To be called once all that is made of them
+    is stored itself; frames that still read them fail afterwards. Others are left alone."""
+    for t in tables:
+        if (path := getattr(t, "_stored_at", None)) is not None:
+            delete_folder(t.sparkSession, path)
 
 
 def placed(docs: DataFrame, file: str, row: str) -> DataFrame:

@@ -14,19 +14,35 @@ def comparable(value: Column, kind: T.DataType) -> Column:
     return F.array_sort(F.map_entries(value)) if isinstance(kind, T.MapType) else value
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = f"_{w}"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+def _first_of(df: DataFrame, window) -> DataFrame:
+    (rank,) = free_names(df, "rank")
+    return df.withColumn(rank, F.row_number().over(window)).where(F.col(f"`{rank}`") == 1).drop(rank)
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: str | Column = "ingestion_timestamp", ties: list[str | Column] | None = None) -> DataFrame:
     """One row of each key: the last by `order`, nulls last, then by `ties` (without them
     by all other columns, so that the choice doesn't depend on the rows' places)."""
     rest = ties if ties is not None else [F.xxhash64(*(comparable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema if f.name not in keys)).asc()] if set(df.columns) - set(keys) else []
     first = F.col(order) if isinstance(order, str) else order
     window = Window.partitionBy(*keys).orderBy(first.desc_nulls_last(), *rest)
-    return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
+    return _first_of(df, window)
 
 
 def nearest_per_key(df: DataFrame, keys: list[str], distance: str, ties: list[str | Column]) -> DataFrame:
     """One row of each key: the nearest, distances taken to a millimetre, then by ties."""
     window = Window.partitionBy(*keys).orderBy(F.round(distance, 6).asc(), *ties)
-    return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
+    return _first_of(df, window)
 
 
 def previous(value: str, by: str, order: list[str]) -> Column:
