@@ -27,9 +27,15 @@ def words(text: str) -> list[str]:
     return [w for w in _ASCII_SPACES.split(text) if w]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds at a time: whole texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bounds what a Python worker gets at a time, by rows and by bytes (a longer text
+    comes alone). Plans are made when they run, so this lowers the session's own bounds;
+    lower ones of the caller stay."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -14,22 +14,41 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import discard, written
+from ..operators.tables import free_names
 from .common import WordMemo, release_memos, small_batches
 
 ORDERS = (3, 4)
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters in texts without numerals other than digits.
+_PLAIN = re.compile(r"[^\W\d_]+")
 LONGEST = 200  # longer words are taken in pieces of this many letters, so that a memo key is short
 
 
+@cache
+def _odd_numerals() -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of one, and of runs of letters between: numerals like ½ ² ① are word
+    characters without being letters or decimal digits."""
+    odd = [i for i in range(0x110000) if chr(i).isnumeric() and not chr(i).isalpha() and not chr(i).isdecimal()]
+    cuts = [k for k in range(1, len(odd)) if odd[k] != odd[k - 1] + 1]
+    spans = "".join(f"\\U{odd[a]:08x}-\\U{odd[b - 1]:08x}" for a, b in zip([0, *cuts], [*cuts, len(odd)], strict=True))
+    return re.compile(f"[{spans}]"), re.compile(rf"[^\W\d_{spans}]+")
+
+
 def word_list(text: str | None) -> list[str]:
-    """Runs of letters in lower case; a run of over LONGEST letters in pieces."""
-    found = LETTERS.findall(text.lower()) if text else []
+    """Runs of letters (Unicode's, so no numerals and no marks) in lower case; a run of
+    over LONGEST letters in pieces."""
+    if not text:
+        return []
+    low = text.lower()
+    odd, letters = (None, _PLAIN) if low.isascii() else _odd_numerals()
+    found = (letters if odd and odd.search(low) else _PLAIN).findall(low)
     if any(len(w) > LONGEST for w in found):
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
@@ -50,9 +69,11 @@ class BitSlicedBloom:
     hashes: int = 3
 
     @classmethod
-    def build(cls, members: list[tuple[str, str]], *, bits: int = 20, hashes: int = 3) -> BitSlicedBloom:
-        """members: (language, n-gram)."""
+    def build(cls, members: list[tuple[str, str]], *, slots_a_member: int = 8, hashes: int = 3) -> BitSlicedBloom:
+        """members: (language, n-gram). The number of slots follows that of the members, so
+        the rate of false positives doesn't grow with them."""
         langs = sorted({m[0] for m in members})
+        bits = max(16, (slots_a_member * len(members)).bit_length())
         slots = np.zeros((1 << bits, -(-max(len(langs), 1) // 64)), np.uint64)
         at = {x: i for i, x in enumerate(langs)}
         where = cls._places([g for _, g in members], bits, hashes)
@@ -116,11 +137,14 @@ class Scorer:
         return langs, scores
 
 
-def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", ratio: float = 0.5, least: int = 3, most: int = 20_000, bits: int = 20) -> BitSlicedBloom:
-    """The filter of all rows of docs with a language. `most` bounds the model: the most
-    frequent n-grams of each language; counts are over all rows. n-grams seen under
-    `least` times in a language aren't its members. Words are counted in each task
-    first, so only sums are shuffled; only the bounded model reaches the driver."""
+def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", ratio: float = 0.5, most_rows: int = 200_000) -> BitSlicedBloom:
+    """The filter of docs' rows with a language and a text.
+
+    A classifier's labelled rows may be bounded: about most_rows of them are drawn by a
+    hash of text and language, all if there are fewer; that alone bounds the model. Every
+    n-gram of these rows counts, whole texts, however rare it is, and the filter's size
+    follows their number. Words are counted in each task first, so only sums are shuffled.
+    """
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,13 +176,17 @@ def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", ra
         yield rows()
 
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sums = known.mapInArrow(count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    by_lang, by_gram = Window.partitionBy("lang"), Window.partitionBy("gram")
+    rows_n = known.count()
+    if rows_n > most_rows:
+        known = known.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < int((1 << 30) * most_rows / rows_n))
+    sums = written(known.mapInArrow(count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
+    by_gram = Window.partitionBy("gram")  # a row for each language
     totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = sums.where(F.col("n") >= least).join(F.broadcast(totals), "lang").withColumn("p", F.col("n") / F.col("total"))  # totals: a row for each language
+    share = sums.join(F.broadcast(totals), "lang").withColumn("p", F.col("n") / F.col("total"))  # totals: a row for each language
     kept = share.withColumn("top", F.max("p").over(by_gram)).where(F.col("p") >= ratio * F.col("top"))
-    ranked = kept.withColumn("rank", F.row_number().over(by_lang.orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= most)
-    return BitSlicedBloom.build([(r.lang, r.gram) for r in ranked.select("lang", "gram").orderBy("lang", "gram").collect()], bits=bits)
+    members = [(r.lang, r.gram) for r in kept.select("lang", "gram").orderBy("lang", "gram").collect()]  # bounded by most_rows
+    discard(sums)
+    return BitSlicedBloom.build(members)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -197,17 +225,6 @@ def identify(docs: DataFrame, model: BitSlicedBloom, *, id_col: str = "doc_id",
     return _scored(rows, model, "text", ("lang_pred", "score")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def free_names(docs: DataFrame, *wanted: str) -> list[str]:
-    """Names like the wanted ones that no column of docs has."""
-    taken, out = {c.lower() for c in docs.columns}, []
-    for w in wanted:
-        while w.lower() in taken:
-            w = f"_{w}"
-        taken.add(w.lower())
-        out.append(w)
-    return out
-
-
 def keep_identified(docs: DataFrame, model: BitSlicedBloom, *, text_col: str = "text", min_score: float = 0.25) -> DataFrame:
     """The rows of docs, all columns as they are, whose language is found with a score of
     min_score at least; rows without letters go."""

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..operators.tables import free_names
 from .common import ASCII_SPACE, placed, release_memos, small_batches, words, written
-from .langid import free_names
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..operators.tables import free_names
 from .common import partitions, placed, release_memos, small_batches, written
-from .langid import free_names
 
 BITS = 64
 #: Texts whose shingle hashes a worker holds at a time.
