@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..operators.skew import lookup
+from ..operators.storage import discard
 from ..operators.tables import free_names
 from .common import partitions, placed, release_memos, small_batches, written
 
@@ -312,31 +314,32 @@ def near_edges(fps: DataFrame, distance: int, *, most: int = 8192) -> DataFrame:
     edges = found.where("u <> v")
     if hot.isEmpty():
         return edges
-    everything = list(range(BITS))
-    flips = [sum(1 << b for b in c) for r in range(distance // 2 + 1) for c in combinations(everything, r)]
-    masks = np.array(flips, np.uint64)
+    near, far = distance // 2, distance - distance // 2
+    flips = [(r > near, sum(1 << b for b in c)) for r in range(far + 1) for c in combinations(range(BITS), r)]
+    masks, outer = np.array([f for _, f in flips], np.uint64), np.array([x for x, _ in flips])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for piece in np.array_split(fp, max(1, len(fp) // 256)):
+            for piece in np.array_split(fp, max(1, len(fp) * len(masks) >> 19)):
                 key = (piece[:, None] ^ masks).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(piece, len(masks)).view(np.int64))], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(outer, len(piece))), pa.array(np.repeat(piece, len(masks)).view(np.int64))], ["key", "outer", "fp"])
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, np.int64(0))  # key and its first fingerprint
+        last, root, inner = None, np.int64(0), False  # key, its first fingerprint and whether that is an inner one
         for batch in batches:
-            key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            key, ring, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(fp):
                 continue
-            new = np.concatenate([[key[0] != last[0]], key[1:] != key[:-1]])
+            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
             first = np.maximum.accumulate(np.where(new, np.arange(len(fp)), -1))
-            roots = np.where(first >= 0, fp[np.maximum(first, 0)], last[1])
-            last = (key[-1], roots[-1])
-            edges = _edges(fp, roots)
+            roots = np.where(first >= 0, fp[np.maximum(first, 0)], root)
+            good = np.where(first >= 0, ~ring[np.maximum(first, 0)], inner)
+            last, root, inner = key[-1], roots[-1], good[-1]
+            edges = _edges(fp[good], roots[good])
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
 
-    met = hot.repartition(count, "fp").mapInArrow(spread, "key long, fp long").repartition(count, "key").sortWithinPartitions("key", "fp")
+    met = hot.repartition(count, "fp").mapInArrow(spread, "key long, outer boolean, fp long").repartition(count, "key").sortWithinPartitions("key", "outer", "fp")
     return edges.union(met.mapInArrow(stars, "u long, v long").distinct())
 
 
@@ -348,22 +351,28 @@ def simhash_components(docs: DataFrame, *, width: int = 4, distance: int = 4, id
     included. Texts without words, null ones too, have fingerprint zero and are linked
     like any other. Repeated doc_ids and equal rows stay, each with its result; a null
     doc_id gets its component's smallest doc_id, null if all are null. An empty table
-    gives an empty result; other columns are not read. Equal fingerprints are counted
-    once before they are dealt out, so copies don't meet in one task.
+    gives an empty result; other columns are not read. A very long text is read whole;
+    a worker holds its shingles' hashes, 8 bytes a word. Equal fingerprints are counted
+    once before they are dealt out, and joined by lookup, so copies don't meet in one task.
     """
     prints = written(add_fingerprints(docs, width=width, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct", prints.count())
+    total = prints.count()
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct", total)
     labels = written(connected_components(near_edges(distinct, distance), "u", "v"), "labels", distinct.count())
     linked = labels.join(distinct, F.col("node") == F.col("fp"))
-    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = labels.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    by_print = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    named = lookup(labels, written(least, "least"), ["component"], total=labels.count()).select(F.col("node").alias("fp"), "component_id")
+    by_print = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n")
+    by_print = written(by_print, "by_print", total)
+    discard(distinct, labels)
+    return lookup(prints, by_print, ["fp"], total=total).select("doc_id", "fp", "component_id")
 
 
-def common_shingles(docs: DataFrame, text_col: str, width: int, *, texts: int = 10_000, least: int = 5, most: int = 100_000) -> np.ndarray:
-    """Hashes of shingles that at least `least` of about `texts` sampled texts hold, the
-    rarest first; the `most` most frequent ones."""
+def common_shingles(docs: DataFrame, text_col: str, width: int, hot_key: int, *, texts: int = 10_000, share: float = 0.01, least: int = 5, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that at least `least` sampled texts hold, the rarest first, the
+    `most` most frequent ones; and those of them that about hot_key texts of all hold. About
+    `texts` texts are sampled, or that share of all if more. Which shingles are known as
+    common decides where texts meet, not whether they do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memos()
@@ -372,10 +381,12 @@ def common_shingles(docs: DataFrame, text_col: str, width: int, *, texts: int =
                 sets = [shingle_set(t, width) for t in batch.column(0).slice(at, TEXTS_AT_ONCE).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    some = docs.select(F.col(f"`{text_col}`")).sample(min(1.0, texts / max(docs.count(), 1)), seed=7)
+    drawn = min(1.0, max(texts / max(docs.count(), 1), share))
+    some = docs.select(F.col(f"`{text_col}`")).sample(drawn, seed=7)
     counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    found = counts.orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
+    found = counts.orderBy(F.desc("n"), "h").limit(most).collect()[::-1]
+    hashes, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    return hashes, hashes[n >= hot_key * drawn]
 
 
 def rare_shingles(hashes: np.ndarray, common: np.ndarray, order: np.ndarray, similarity: float) -> np.ndarray:
@@ -460,7 +471,7 @@ def similar_groups(sets: list[np.ndarray], words: list[np.ndarray], similarity:
     return root
 
 
-def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 46, text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 46, text_col: str = "text", group_size: int = 4_000_000, hot_key: int = 20_000) -> DataFrame:
     """The rows of docs, all columns as they are, of which no earlier one is a near copy:
     one row of each group of near copies stays.
 
@@ -471,13 +482,16 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, rad
     read. An empty table gives an empty result. docs is read several times; rows are
     numbered once, and the numbers stored with the rows' places in the stored files (see
     placed), by which the copies are removed. Texts of a stored table aren't copied but
-    for those that may have near copies, which are shuffled once.
+    for those that may have near copies, which are shuffled once. A very long text is read
+    whole: a worker holds its shingles' hashes, 8 bytes a word.
 
     Two sets of the similarity share one of their rarest shingles (see rare_shingles), so
     texts meet there, which loses none. What meets and differs in up to `radius` of 128
     bits of SimHash joins a candidate group; the radius is far beyond what a similarity of
     0.8 differs in (19, deviation 4) and keeps texts apart that share a common passage
-    alone (64, deviation 6). A candidate group's shingles are then compared in one task.
+    alone (64, deviation 6). Shingles that a sample finds in about hot_key texts or more
+    aren't gathered: all their texts join one group. Groups are then split exactly by
+    their shingles (see split_groups), group_size shingles at most in a task.
     """
     import xxhash
 
@@ -486,9 +500,13 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, rad
     count = partitions(spark)
     file, row = free_names(docs, "file", "row")
     stored = placed(docs, file, row)
-    common = common_shingles(stored, text_col, width)
+    common, hot = common_shingles(stored, text_col, width, hot_key)
     order = np.argsort(common)
 
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memos()
         for batch in batches:
@@ -497,14 +515,13 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, rad
                 sets = [shingle_set(t, width) for t in some.column(1).to_pylist()]
                 digests = np.array([divmod(xxhash.xxh3_128_intdigest(x.tobytes()), 1 << 64) for x in sets], np.uint64).view(np.int64)
                 rare = [rare_shingles(x, common, order, similarity) for x in sets]
-                ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare).view(np.int64)))
+                known = [np.isin(x, hot) for x in rare] if len(hot) else [np.zeros(len(x), bool) for x in rare]
                 sizes = pa.array([len(x) for x in sets], pa.int32())
-                columns = [some.column(0), *(pa.array(x.view(np.int64)) for x in prints(sets)), sizes, pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists, some.column(2), some.column(3)]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "word", "n", "digest_a", "digest_b", "rare", file, row])
+                columns = [some.column(0), *(pa.array(x.view(np.int64)) for x in prints(sets)), sizes, pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists([x[~k] for x, k in zip(rare, known, strict=True)]), lists([x[k] for x, k in zip(rare, known, strict=True)]), some.column(2), some.column(3)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "word", "n", "digest_a", "digest_b", "rare", "hot", file, row])
 
     texts = stored.select(F.monotonically_increasing_id().alias("node"), F.col(f"`{text_col}`"), file, row)
-    rows = written(texts.mapInArrow(describe, f"node long, fp long, word long, n int, digest_a long, digest_b long, rare array<long>, {file} long, {row} long"), "prints")
+    rows = written(texts.mapInArrow(describe, f"node long, fp long, word long, n int, digest_a long, digest_b long, rare array<long>, hot array<long>, {file} long, {row} long"), "prints")
     total = rows.count()
     distinct = written(rows.groupBy("digest_a", "digest_b").agg(F.min("node").alias("node")).select("node"), "distinct", total)
 
@@ -530,12 +547,51 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, rad
         edges = _meetings(runs, similarity, radius)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
 
-    dealt = rows.join(distinct, "node", "left_semi").select(F.explode("rare").alias("key"), "node", "fp", "word", "n")
+    own = rows.join(distinct, "node", "left_semi")
+    dealt = own.select(F.explode("rare").alias("key"), "node", "fp", "word", "n")
     met = dealt.repartition(count, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
+    if len(hot):  # a hot shingle is a node itself, below all texts
+        key = F.col("key")
+        met = met.union(own.select("node", F.explode("hot").alias("key")).select("node", F.when(key < 0, key).otherwise(-1 - key)))
     labels = connected_components(met, "u", "v")
-    members = written(rows.join(labels, "node").select("component", "node", "fp", "word", file, row), "members", total)
+    members = written(rows.join(labels, "node").select("component", "node", "fp", "word", "n", file, row), "members", total)
+    source = stored.select(F.col(f"`{text_col}`").alias("text_"), F.col(file).alias("file_"), F.col(row).alias("row_"))
+    members = members.withColumnsRenamed({file: "file_", row: "row_"})
+    near = split_groups(source, members, width=width, similarity=similarity, radius=radius, group_size=group_size)
+    stays = distinct.join(near, "node", "left_anti")
+    goes = written(rows.join(stays, "node", "left_anti").select(file, row), "copies", total)
+    discard(near)
+    gone = F.broadcast(goes) if goes.count() <= 1_000_000 else goes  # 16 bytes a row
+    return stored.join(gone, [file, row], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], keys: int, width: int) -> Iterator[tuple[tuple, tuple]]:
+    """(key, (other columns ..., shingle set)) of rows whose last column is the text."""
+    for batch in batches:
+        known = zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 1)), strict=True)
+        for i, r in enumerate(known):
+            yield r[:keys], (*r[keys:], shingle_set(batch.column(batch.num_columns - 1)[i].as_py(), width))
+
+
+def split_groups(source: DataFrame, members: DataFrame, *, width: int, similarity: float, radius: int, group_size: int) -> DataFrame:
+    """(node) of members (component, node, fp, word, n shingles, file_, row_) whose class has
+    a smaller node: classes are the components of a group's links of exact similarity.
+    source has the texts by (file_, row_).
+
+    A group of up to group_size shingles is split in one task. A larger one is dealt into
+    pieces of about half that size, and the first nodes of the pieces' classes are dealt
+    anew, until one piece holds them or their number falls no more; a group of copies
+    shrinks to one class so. Where several classes are left, every member outside the
+    largest meets all members of other classes, piece by piece, which finds all links:
+    no task holds more than half of group_size and one text.
+    """
+    spark = members.sparkSession
+    count, half = partitions(spark), max(group_size // 2, 1)
+
+    def sized(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= 1_000_000 else df  # 60 bytes a row
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memos()
         group, held = None, []
 
@@ -544,24 +600,98 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, rad
             root = similar_groups(list(sets), [np.array(x, np.int64).view(np.uint64) for x in (fps, words)], similarity, radius)
             nodes = np.array(nodes, np.int64)
             goes = root != np.arange(len(root))
-            return pa.RecordBatch.from_arrays([pa.array(nodes[goes])], ["node"])
-
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for i, (component, *known) in enumerate(zip(*columns, strict=True)):
-                if component != group and held:
-                    yield links()
-                    held = []
-                group = component
-                held.append((*known, shingle_set(batch.column(4)[i].as_py(), width)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[goes]), pa.array(nodes[root[goes]])], ["node", "leader"])
+
+        for key, member in _sets(batches, 2, width):
+            if key != group and held:
+                yield links()
+                held = []
+            group = key
+            held.append(member)
         if held:
             yield links()
 
-    where = F.broadcast(members) if members.count() <= 1_000_000 else members
-    grouped = stored.select(F.col(f"`{text_col}`").alias("text_"), file, row).join(where, [file, row]).select("component", "node", "fp", "word", "text_")
-    near = grouped.repartition(count, "component").sortWithinPartitions("component", "node").mapInArrow(verify, "node long")
-    near = written(near, "near", total)
-    stays = distinct.join(near, "node", "left_anti")
-    goes = written(rows.join(stays, "node", "left_anti").select(file, row), "copies", total)
-    gone = F.broadcast(goes) if goes.count() <= 1_000_000 else goes  # 16 bytes a row
-    return stored.join(gone, [file, row], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    def split(pieces: DataFrame, name: str) -> DataFrame:
+        """(node, leader) from members with a column piece."""
+        where = sized(pieces.select("component", "piece", "node", "fp", "word", "file_", "row_"))
+        found = source.join(where, ["file_", "row_"]).select("component", "piece", "node", "fp", "word", "text_")
+        near = found.repartition(count, "component", "piece").sortWithinPartitions("component", "piece", "node").mapInArrow(classes, "node long, leader long")
+        return written(near, name, pieces.count())
+
+    def sizes(df: DataFrame) -> DataFrame:
+        return df.groupBy("component").agg(F.sum(F.greatest("n", F.lit(1))).alias("size"))
+
+    piece = lambda parts, salt: F.pmod(F.xxhash64("node", F.lit(salt)), parts)
+    heavy = written(sizes(members).where(F.col("size") > group_size), "heavy", members.count())
+    if heavy.isEmpty():
+        return split(members.withColumn("piece", F.lit(0).cast("long")), "near").select("node")
+    heavy_ids = sized(heavy.select("component"))
+    light = split(members.join(heavy_ids, "component", "left_anti").withColumn("piece", F.lit(0).cast("long")), "light")
+    left = written(members.join(heavy_ids, "component"), "left", members.count())
+    large, linked, n = left, None, left.count()
+    for turn in range(100):
+        parts = written(sizes(left).withColumn("parts", F.when(F.col("size") > group_size, F.ceil(F.col("size") / half)).otherwise(1)), "parts", n)
+        found = split(left.join(sized(parts), "component").withColumn("piece", piece(F.col("parts"), turn)), "links")
+        linked = found if linked is None else linked.union(found)
+        left = written(left.join(found, "node", "left_anti"), "left", n)
+        before, n = n, left.count()
+        if n > 0.9 * before or not parts.where("parts > 1").limit(1).count():
+            break
+    named = connected_components(linked, "node", "leader").withColumnRenamed("component", "label")
+    labelled = written(large.join(named, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled", before)
+    by_class = labelled.groupBy("component", "label").agg(F.sum(F.greatest("n", F.lit(1))).alias("size"))
+    major = by_class.groupBy("component").agg(F.max_by("label", F.struct("size", "label")).alias("major"), F.sum("size").alias("size"), F.max("size").alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    plan = written(major.select("component", "major", F.ceil(F.col("size") / half).alias("pieces"), F.ceil((F.col("size") - F.col("top")) / half).alias("blocks")), "plan", before)
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
+        group: tuple | None = None
+        held: list[tuple] = []
+        root: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
+        arrays: list[np.ndarray] = []
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        def edges() -> pa.RecordBatch:
+            out = np.array(found, np.int64).reshape(-1, 2)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
+
+        for key, (role, label, fp, word, own) in _sets(batches, 3, width):
+            if key != group:
+                yield edges()
+                group, held, root, arrays = key, [], {}, []
+            if not role:
+                held.append((label, fp, word, own))
+                continue
+            if not held:
+                continue
+            if not arrays:
+                arrays = [np.array([h[i] for h in held], np.int64) for i in range(3)] + [np.array([len(h[3]) for h in held])]
+            labels_, fps, words, n_ = arrays
+            apart = np.bitwise_count((fps ^ fp).view(np.uint64)).astype(np.int16) + np.bitwise_count((words ^ word).view(np.uint64))
+            fits = np.minimum(n_, len(own)) >= similarity * np.maximum(n_, len(own)) - 1e-9
+            for i in np.flatnonzero((labels_ != label) & (apart <= radius) & fits):
+                a, b = find(int(labels_[i])), find(label)
+                if a == b or not len(own):
+                    continue
+                both = int(_overlaps(own, [held[i][3]])[0])
+                if both >= similarity * (len(own) + n_[i] - both) - 1e-9:
+                    root[max(a, b)] = min(a, b)
+                    found.append((a, b))
+        yield edges()
+
+    if not plan.isEmpty():
+        upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+        met = source.join(sized(labelled), ["file_", "row_"]).join(sized(plan), "component")
+        minors = met.where("label <> major").select("component", piece(F.col("blocks"), -1).alias("block"), F.explode(upto("pieces")).alias("piece"), F.lit(0).alias("role"), "label", "fp", "word", "text_")
+        others = met.select("component", F.explode(upto("blocks")).alias("block"), piece(F.col("pieces"), -2).alias("piece"), F.lit(1).alias("role"), "label", "fp", "word", "text_")
+        task = ["component", "block", "piece"]
+        crossed = minors.unionByName(others).repartition(count, *task).sortWithinPartitions(*task, "role").mapInArrow(cross, "u long, v long")
+        linked = linked.union(written(crossed, "crossed"))
+        named = connected_components(linked, "node", "leader").withColumnRenamed("component", "label")
+    return written(light.select("node").union(named.where("label <> node").select("node")), "near", before)

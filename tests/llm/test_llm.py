@@ -1,11 +1,17 @@
 import zlib
 from collections import Counter
 
+import sys
+from pathlib import Path
+
 import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).parent))
+from near_copies import brute_near_groups, five_word_sets
+
 from emberline.llm import byte_bpe, decontam, langid, quality, sharding, simhash, token_count, token_output, url_lm, warc
 
 ODD = [None, "", " ", "a", "Don't stop, now.", "x\x1cy\x85z  q\n\n r ", "a" * 3000, "<|endoftext|> <|EndOfText|>", "ΣΑΣ İstanbul é 你好 🎉", "one two three four five six seven", "one two three four five six seven"]
@@ -76,19 +82,20 @@ def brute_components(prints, distance):
         label = new
 
 
-@pytest.mark.parametrize("most", [8192, 3])
-def test_near_edges_keep_components(spark, most):
-    rng = np.random.default_rng(3)
-    centers = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+@pytest.mark.parametrize(("distance", "most"), [(1, 1), (2, 1), (3, 1), (4, 8192), (4, 3), (4, 1), (5, 1), (5, 8192)])
+def test_near_edges_keep_components(spark, distance, most):
+    rng = np.random.default_rng(distance)
+    centers = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
     prints = [c for c in centers]
     for c in centers:
-        for _ in range(12):
+        for _ in range(4):
             x = c
-            for b in rng.choice(64, rng.integers(1, 7), replace=False):
+            for b in rng.choice(64, rng.integers(1, distance + 3), replace=False):
                 x ^= np.uint64(1) << np.uint64(b)
             prints.append(x)
+        prints.append(prints[-1] ^ np.uint64((1 << distance) - 1 << 20))  # just linked
     prints = np.unique(np.array(prints, np.uint64).view(np.int64))
-    edges = simhash.near_edges(spark.createDataFrame([(int(x),) for x in prints], "fp long"), 4, most=most)
+    edges = simhash.near_edges(spark.createDataFrame([(int(x),) for x in prints], "fp long"), distance, most=most)
     root = {int(x): int(x) for x in prints}
 
     def find(x):
@@ -99,10 +106,39 @@ def test_near_edges_keep_components(spark, most):
     for r in edges.collect():
         a, b = find(r.u), find(r.v)
         root[max(a, b)] = min(a, b)
-    label = brute_components(prints.view(np.uint64), 4)
+    label = brute_components(prints.view(np.uint64), distance)
     assert [find(int(x)) for x in prints] == [int(prints[i]) for i in label]
 
 
+def test_fingerprints_by_brute_force(spark, odd, docs):
+    """Fingerprints bit by bit and components over all pairs, for odd texts and a hot one
+    that half of the rows hold."""
+    import re
+
+    import xxhash
+
+    def fingerprint(text):
+        own = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        shingles = [" ".join(own[i : i + 4]) for i in range(max(len(own) - 3, 1))] if own else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    some = docs.select("doc_id", "text")
+    hot = spark.range(1000, 1300).selectExpr("id as doc_id", "'One hot text, of many rows ' as text")
+    for table in (odd.select("doc_id", "text"), some.union(hot)):
+        rows = table.collect()
+        prints = {r.text: fingerprint(r.text) for r in rows}
+        distinct = np.array(sorted(set(prints.values())), np.uint64)
+        label = dict(zip(distinct.tolist(), brute_components(distinct, 4), strict=True))
+        least = {}
+        for r in rows:
+            if r.doc_id is not None:
+                c = label[prints[r.text]]
+                least[c] = min(least.get(c, r.doc_id), r.doc_id)
+        want = Counter((r.doc_id, prints[r.text], least.get(label[prints[r.text]])) for r in rows)
+        assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.simhash_components(table).collect()) == want
+
+
 def test_simhash(odd, none):
     rows = simhash.simhash_components(odd).collect()
     assert len(rows) == len(ODD)
@@ -123,6 +159,38 @@ def test_language(spark, odd, none, docs):
     assert langid.identify(none, model).count() == 0 and {r.lang_pred for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def test_letters():
+    assert langid.word_list("½ ² ① Ⅷ 12 _ \u0301") == []
+    assert langid.word_list("X²y ½é 日本五 ÀB1c Ж") == ["x", "y", "é", "日本五", "àb", "c", "ж"]
+
+
+def test_filter_is_nearly_exact_sets(spark, docs):
+    """The filter has every n-gram that exact counts give a language, and few others."""
+    known = [(r.text, r.lang) for r in docs.where(~langid.held_out()).collect() if r.text and r.lang]
+    counts = {}
+    for text, lang in known:
+        for w in langid.word_list(text):
+            counts.setdefault(lang, Counter()).update(langid.grams(w))
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    top = {}
+    for own in share.values():
+        for g, p in own.items():
+            top[g] = max(top.get(g, 0), p)
+    sets = {x: {g for g, p in own.items() if p >= 0.5 * top[g]} for x, own in share.items()}
+    model = langid.train(docs.where(~langid.held_out()))
+    keys = sorted(top)
+    has = model.contains(keys)
+    assert model.langs == sorted(sets) and len(keys) > 1000
+    for i, x in enumerate(model.langs):
+        exact = np.array([k in sets[x] for k in keys])
+        assert has[exact, i].all() and has[~exact, i].mean() < 0.01
+    rows = spark.createDataFrame([(1, "½ ² ①"), (2, "12 34"), (3, "the ½")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(rows, model).collect()} == {1: "und", 2: "und", 3: "en"}
+    few = langid.train(docs, most_rows=100)
+    got = langid.identify(docs, few).join(docs, "doc_id").where("lang is not null")
+    assert got.where("lang = lang_pred").count() > 0.9 * got.count()
+
+
 def test_quality(spark, odd, none, docs):
     for r in quality.quality_verdicts(docs).collect():
         words = next(d for d in [r]).n_words
@@ -279,32 +347,6 @@ def test_decisions_hold_for_other_splits(spark, tmp_path):
     assert len({t for _, t in sorted((r.doc_id, r.text or "") for r in simhash.one_of_each(docs).collect())}) == 201
 
 
-def five_word_sets(texts):
-    """The distinct five-word shingles of each text, found without the operators."""
-    out = []
-    for t in texts:
-        w = (t or "").lower().split()
-        out.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
-    return out
-
-
-def brute_near_groups(texts, similarity=0.8):
-    sets, root = five_word_sets(texts), list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if (not a and not b) or (a | b and len(a & b) >= similarity * len(a | b) - 1e-9):
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    return [find(i) for i in range(len(texts))]
-
-
 def test_one_of_each_by_brute_force(spark):
     """Pairs of all similarities, close to 0.8 above all; chains; a common passage."""
     rng = np.random.default_rng(11)
