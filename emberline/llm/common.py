@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import weakref
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from ..operators.storage import placed, shared_dir, written
@@ -43,6 +45,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 _MEMOS: weakref.WeakSet = weakref.WeakSet()
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
 
 
 class WordMemo:
@@ -82,7 +88,11 @@ class WordMemo:
 
 
 def release_memos() -> None:
-    """Empties the memos of this process. Python workers are reused by later operators,
-    which call this first, so that one operator's words aren't held during the next."""
+    """Empties the memos of this process and gives freed memory back. Python workers are
+    reused by later operators, which call this first, so that one operator's words aren't
+    held during the next."""
     for memo in list(_MEMOS):
         memo.young, memo.old = {}, {}
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
