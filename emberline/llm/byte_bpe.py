@@ -28,7 +28,7 @@ class ByteBPE:
     """Encodes by a file of ranks: each match of the pattern apart, no special tokens."""
 
     #: A space between two characters that aren't white space always starts a match.
-    SAFE = re.compile(r"(?<!\s) (?!\s)")
+    SAFE = re.compile(r"(?<!\s)(?= (?!\s))")
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -36,35 +36,37 @@ class ByteBPE:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.table = {i: b for b, i in self.ranks.items()}
+        #: Ranks of two ids in a row, wherever their bytes together are a token.
+        self.wide = max(self.ranks.values(), default=0).bit_length()
+        self.pairs = {a << self.wide | b: r for t, r in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None}
         self.pattern = regex.compile(pattern)
         #: Bits of a rank that a word of the lower bitmap tells apart: two levels for any vocabulary.
         self.shift = (max(self.ranks.values(), default=0).bit_length() + 1) // 2
         self.bit = [1 << i for i in range(1 << self.shift)]
-        self.bytes = [bytes([i]) for i in range(256)]
-        self.byte_ids = [self.ranks.get(b, -1) for b in self.bytes]
-        self.pieces = WordMemo(lambda many: [packed(self.merge(p.encode())) for p in many])
+        self.byte_ids = [self.ranks.get(bytes([i]), -1) for i in range(256)]
         self.latin = "L}" in pattern and "N}" in pattern
-        self.memo = WordMemo(self._chunks)
+        self.tails = {c: packed(self.merge(c.encode())) for c in ",."}
+        self.pieces = WordMemo(lambda many: [packed(self.merge(p.encode())) for p in many], limit=50_000)
+        self.memo = WordMemo(self._chunks, limit=450_000)
 
     def _chunks(self, many: list[str]) -> list[bytes]:
-        """Ids of chunks of text; their matches are looked up together."""
-        units: list[str] = []
-        spans = []
+        """Ids of chunks of text. A run of letters behind at most a blank, with at most a
+        comma or full stop behind, needs no search if the pattern takes letters apart; the
+        run is a chunk itself, so it is remembered as one."""
+        out: list[bytes] = []
+        young, old, bodies = self.memo.young, self.memo.old, {}
         for t in many:
-            own = self._matches(t)
-            spans.append((len(units), len(units) + len(own)))
-            units += own
-        ids = self.pieces(units)
-        return [ids[a] if b == a + 1 else b"".join(ids[a:b]) for a, b in spans]
-
-    def _matches(self, text: str) -> list[str]:
-        """The pattern's matches. A run of letters behind at most a blank, with at most a
-        comma or full stop behind, needs no search if the pattern takes letters apart."""
-        if self.latin:
-            body, tail = (text[:-1], text[-1]) if text[-1:] in (",", ".") else (text, "")
-            if body[body[:1] == " " :].isalpha():
-                return [body, tail] if tail else [body]
-        return self.pattern.findall(text)
+            tail = self.tails.get(t[-1:]) if self.latin else None
+            body = t[:-1] if tail else t
+            if not self.latin or not body[body[:1] == " " :].isalpha():
+                out.append(b"".join(self.pieces(self.pattern.findall(t))))
+                continue
+            ids = young.get(body) or old.get(body) or bodies.get(body)
+            if ids is None:
+                bodies[body] = ids = packed(self.merge(body.encode()))
+            out.append(ids + tail if tail else ids)
+        young.update((b, i) for b, i in bodies.items() if len(b) <= self.memo.longest)
+        return out
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token.
@@ -75,13 +77,12 @@ class ByteBPE:
         rank_at has the rank of the pair that now starts at a position; an entry of
         another rank is stale and skipped.
         """
-        ranks, table, shift, bit = self.ranks, self.table, self.shift, self.bit
-        if (whole := ranks.get(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n, known, within = len(piece), ranks.get, (1 << shift) - 1
-        sym = list(map(self.bytes.__getitem__, piece))
+        shift, bit, wide = self.shift, self.bit, self.wide
+        n, known, within = len(piece), self.pairs.get, (1 << shift) - 1
         ids = list(map(self.byte_ids.__getitem__, piece))
-        rank_at = [known(a + b, -1) for a, b in zip(sym, sym[1:], strict=False)]
+        rank_at = [known(a << wide | b, -1) for a, b in zip(ids, ids[1:], strict=False)]
         rank_at.append(-1)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         buckets: dict[int, list[int]] = {}
@@ -118,16 +119,16 @@ class ByteBPE:
             if rank_at[i] != rank:
                 fresh = ()
                 continue
-            joined, j = table[rank], after[i]
-            sym[i], ids[i], rank_at[j] = joined, rank, -1
+            j = after[i]
+            ids[i], rank_at[j] = rank, -1
             after[i] = k = after[j]
             h = before[i]
             rank_at[i] = r = -1
             if k < n:
                 before[k] = i
-                rank_at[i] = r = known(joined + sym[k], -1)
+                rank_at[i] = r = known(rank << wide | ids[k], -1)
             if h >= 0:
-                rank_at[h] = s = known(sym[h] + joined, -1)
+                rank_at[h] = s = known(ids[h] << wide | rank, -1)
                 fresh = ((i, r), (h, s))
             else:
                 fresh = ((i, r),)
@@ -141,8 +142,7 @@ class ByteBPE:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        first, *rest = self.SAFE.split(text)
-        return b"".join(self.memo([first, *[f" {t}" for t in rest]]))
+        return b"".join(self.memo(self.SAFE.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
