@@ -8,11 +8,12 @@ import weakref
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
 from ..operators.storage import placed, shared_dir, written
 
-__all__ = ["ASCII_SPACE", "WORD", "WordMemo", "partitions", "placed", "release_memos", "shared_dir", "small_batches", "words", "written"]
+__all__ = ["ASCII_SPACE", "WORD", "NoArrowStore", "WordMemo", "arrow_store", "partitions", "placed", "release_memos", "shared_dir", "small_batches", "words", "written"]
 
 #: Words are runs of everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +41,19 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
             spark.conf.set(key, str(most))
 
 
+class NoArrowStore(ValueError):
+    """A shared folder that Spark reaches and Arrow's file systems don't."""
+
+
+def arrow_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder in which workers write files of a format that
+    Spark has no writer for: local and shared mounts, HDFS, S3 (s3a too) and GCS."""
+    try:
+        return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+    except (pa.ArrowInvalid, OSError) as e:
+        raise NoArrowStore(f"Arrow has no file system for {uri}") from e
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

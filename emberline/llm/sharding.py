@@ -52,14 +52,15 @@ def quantile_ranges(sample: list[tuple[int, float]], target: float) -> list[Rang
     return out
 
 
-def subdivide(ranges: list[Range], sizes: dict[int, int], target: float, by_key: bool) -> list[Range]:
-    """Ranges of over twice the target in pieces: with by_key, spans of keys are cut into
-    equal spans; a single key, or else any range, is dealt by row number."""
+def subdivide(ranges: list[Range], sizes: dict[int, tuple[int, int]], target: float, most_rows: int, by_key: bool) -> list[Range]:
+    """Ranges of over twice the target's bytes or over most_rows rows (sizes: both by range)
+    in pieces: with by_key, spans of keys are cut into equal spans; a single key, or else
+    any range, is dealt by row number."""
     out = []
     for i, r in enumerate(ranges):
-        size = sizes.get(i, 0)
-        n = -(-size // max(int(target), 1))
-        if r.parts > 1 or size <= 2 * target:
+        size, rows = sizes.get(i, (0, 0))
+        n = max(-(-size // max(int(target), 1)), -(-rows // most_rows))
+        if r.parts > 1 or size <= 2 * target and rows <= most_rows:
             out.append(r)
         elif by_key and r.hi - r.lo + 1 >= n:
             cuts = [r.lo + (r.hi - r.lo + 1) * j // n for j in range(n)] + [r.hi + 1]
@@ -115,13 +116,16 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 16, ranges_per_shard: int =
 
     Equal texts have one key and share a shard; only where they exceed a shard's share
     are they subdivided, by row. A null text has size 1, the crc of an empty one, and a
-    key of its own. Null or repeated doc_ids and equal rows stay, each with a slot; an
-    empty table gives an empty result; other columns are not read.
+    key of its own. A very long text is a record like any other. Null or repeated doc_ids
+    and equal rows stay, each with a slot; slots of a range follow key, doc_id and the
+    order in which rows were read, which decides ties; an empty table gives an empty
+    result; other columns are not read.
 
     The texts are read once; what is kept of a row is five numbers. The sample is
     bounded by the number of ranges; shard and slot come from exact sums over all rows.
     Rows are numbered within a range (rows_per_range at most on average, subdivided
-    where overfull), and ranges by prefix sums, so no task sees a whole shard.
+    where it has over four times the mean rows or twice the mean bytes, so that many tiny
+    or null texts are split too), and ranges by prefix sums, so no task sees a whole shard.
     """
     text = F.col(text_col)
     body = F.coalesce(text.cast("string"), F.lit(""))
@@ -131,14 +135,14 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 16, ranges_per_shard: int =
     if not total.rows:
         return records.select("doc_id", "size", "text_crc32", law, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     fine = shards * max(ranges_per_shard, -(-total.rows // (shards * rows_per_range)))
-    target = total.bytes / fine
+    target, most_rows = total.bytes / fine, max(1, 4 * total.rows // fine)
     unit = total.bytes / (fine * sample_per_range)  # a record of this size is drawn for sure
     chance = F.pmod(F.xxhash64(F.col("uid"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = records.where(chance * unit < F.col("size")).select("key", F.greatest(F.col("size").cast("double"), F.lit(unit)).alias("weight"))
     ranges = quantile_ranges([(r.key, r.weight) for r in drawn.collect()], target)
     for by_key in (True, False):
-        sizes = {r.piece: r.bytes for r in _sizes(_in_ranges(records, ranges), "piece")}
-        ranges = subdivide(ranges, sizes, target, by_key)
+        sizes = {r.piece: (r.bytes, r.rows) for r in _sizes(_in_ranges(records, ranges), "piece")}
+        ranges = subdivide(ranges, sizes, target, most_rows, by_key)
     placed = _in_ranges(records, ranges)
     slots = pack([(r.piece, r.part, r.bytes, r.rows) for r in _sizes(placed, "piece", "part")], shards)
     bases = local_table(docs.sparkSession, [(*k, *v) for k, v in slots.items()], "piece int, part int, shard int, base long")

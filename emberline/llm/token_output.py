@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordMemo, partitions, shared_dir, small_batches, words
+from ..operators.storage import discard
+from .common import WordMemo, arrow_store, partitions, shared_dir, small_batches, words, written
 from .word_pieces import halves
 
 _ENCODERS: dict = {}
@@ -115,28 +116,38 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
     folder out, which all executors must reach. Returns the manifest.
 
     A null or empty text gives only the end id. Documents are in ascending doc_id
-    order, null doc_ids first; rows of equal doc_id are in order of their text's hash
-    and text, each with its own place. An empty table gives a data set without
-    documents. Other columns are not read. A file is written under a name of its own
-    attempt and then renamed, so a task that runs twice leaves one whole file.
+    order, null doc_ids first; rows of equal doc_id are in order of their place in a
+    stored table, each with its own. An empty table gives a data set without documents.
+    Other columns are not read. Texts are encoded where they are read and only their ids
+    are shuffled, by ranges of doc_id and, among equal or null ones, of that place, so
+    rows of one doc_id may go to many files. A file is written under a name of its own
+    attempt and then renamed, so a task that runs twice leaves one whole file. A worker
+    holds a batch of 16 MB, or one longer text.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    arrow_store(out)
     dtype, n = id_type(tokenizer_path, end_id), partitions(spark)
     end = np.array([end_id], dtype).tobytes()
     width = len(end)
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(tokenizer_path, dtype)
+        for batch in batches:
+            coded = [coder(t) + end for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], ["id", "ids"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        store, root = pafs.FileSystem.from_uri(out)
+        store, root = arrow_store(out)
         store.create_dir(root, recursive=True)
         names = {k: f"{root}/{k}-{part}.bin" for k in ("ids", "offsets", "docs")}
-        encode, docs_n, nulls, tokens = encoder(tokenizer_path, dtype), 0, 0, 0
+        docs_n, nulls, tokens = 0, 0, 0
         files = {k: store.open_output_stream(f"{v}.{attempt}") for k, v in names.items()}
         files["offsets"].write(np.zeros(1, "<i8").tobytes())
         for batch in batches:
-            coded = [encode(t) + end for t in batch.column(1).to_pylist()]
+            coded = batch.column(1).to_pylist()
             files["ids"].write(b"".join(coded))
             ends = tokens + np.cumsum([len(c) // width for c in coded], dtype="<i8")
             files["offsets"].write(ends.tobytes())
@@ -151,10 +162,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs_n], "null_ids": [nulls], "tokens": [tokens], "width": [width]}, schema=pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("null_ids", pa.int64()), ("tokens", pa.int64()), ("width", pa.int32())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
+    coded = written(rows.mapInArrow(encode, "id long, ids binary"), "coded")
+    order = [F.col("id").asc_nulls_first(), F.col("place")]
+    dealt = coded.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "ids")
     schema = "part int, docs long, null_ids long, tokens long, width int"
     manifest = dealt.mapInArrow(write, schema).collect()  # a row for each partition, written as one file
     spark.createDataFrame(manifest, schema).coalesce(1).write.parquet(f"{out}/manifest")
+    discard(coded)
     return spark.read.parquet(f"{out}/manifest")
 
 
@@ -179,7 +193,7 @@ def read_tokens(spark: SparkSession, path: str, *, docs_at_once: int = 512, byte
         return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(path)
+        store, root = arrow_store(path)
         for batch in batches:
             for r in batch.to_pylist():
                 dtype = np.dtype(f"<u{r['width']}")

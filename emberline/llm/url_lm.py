@@ -16,6 +16,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup
+from ..operators.storage import discard
 from .common import written
 
 #: The query's rules: (verdict, rule); a rule is a host and the path's beginning.
@@ -83,17 +85,34 @@ def train(labelled: DataFrame, order: int = 4) -> DataFrame:
     return model.select("k", "gram", F.log(F.col("p_b") / F.col("p_a")).alias("ratio"))
 
 
-def score(urls: DataFrame, model: DataFrame, order: int = 4, most_broadcast: int = 1_000_000) -> DataFrame:
-    """(host, path, score) for the distinct (host, path) in urls: the mean log ratio by
-    position; a character that neither model has seen counts as 0. The model is broadcast
-    up to most_broadcast rows (of about 60 bytes), else joined by shuffles."""
-    small = model.count() <= most_broadcast
-    at = _positions(urls.select("host", "path"), order)
+def _ratios(grams: DataFrame, model: DataFrame, order: int, most: int) -> DataFrame:
+    """grams (g0..g{order}, ...) with r: the ratio of the longest gram in the model, 0 if
+    there is none. A length's part of the model is broadcast up to `most` rows, else met by
+    a shuffle."""
     for k in range(order + 1):
         own = model.where(F.col("k") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
-        at = at.join(F.broadcast(own) if small else own, f"g{k}", "left")
+        grams = grams.join(F.broadcast(own) if own.count() <= most else own, f"g{k}", "left")
     best = F.coalesce(*(F.col(f"r{k}") for k in range(order, -1, -1)), F.lit(0.0))
-    return at.groupBy("host", "path").agg(F.round(F.avg(best), 9).alias("score"))
+    return grams.withColumn("r", best)
+
+
+def score(urls: DataFrame, model: DataFrame, order: int = 4, most_broadcast: int = 200_000) -> DataFrame:
+    """(host, path, score) for the distinct (host, path) in urls: the mean log ratio by
+    position; a character that neither model has seen counts as 0. A model of up to
+    most_broadcast rows (of about 60 bytes) is broadcast. Beyond that, the distinct longest
+    grams of all positions meet the model, each once, and positions get theirs by lookup,
+    as a few grams are most of all positions."""
+    at = _positions(urls.select("host", "path"), order)
+    if model.count() <= most_broadcast:
+        scored = _ratios(at, model, order, most_broadcast)
+    else:
+        grams = [f"g{k}" for k in range(order + 1)]
+        longest = F.coalesce(*(F.col(g) for g in reversed(grams))).alias("longest")
+        distinct = written(at.select(longest, *grams).groupBy("longest").agg(F.count("*").alias("n"), *(F.first(g).alias(g) for g in grams)), "grams")
+        total = distinct.agg(F.sum("n")).first()[0] or 0
+        found = written(_ratios(distinct, model, order, most_broadcast).select("longest", "r", "n"), "ratios")
+        scored = lookup(at.select("host", "path", longest), found, ["longest"], total=total)
+    return scored.groupBy("host", "path").agg(F.round(F.avg("r"), 9).alias("score"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, *, order: int = 4, false_blocks: float = 0.01, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -104,8 +123,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, *, order:
     training above it (0 if there were none), and allow otherwise. A URL with neither host
     nor path (null, or without ://) is allowed and has no score, and so are all others if
     no rule has labelled any. Null or repeated ids and equal rows stay, a verdict for
-    each; an empty table gives an empty result; other columns are not read. URLs are
-    scored once each, so one that many rows share isn't gathered anywhere.
+    each; an empty table gives an empty result; other columns are not read. Of rules that
+    fit, no two are equally long but the same. URLs are scored once each, a very long one
+    by a row for each of its characters. Only rows that no rule decides meet the scores,
+    by lookup, so a URL that many rows share isn't gathered anywhere.
     """
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
@@ -118,7 +139,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, *, order:
     scores = written(open_urls.join(score(open_urls, model, order), ["host", "path"]), "scores")
     calm = scores.where("verdict is not null").agg(F.percentile_approx("score", 1 - false_blocks, 10_000)).first()[0]
     limit = 0.0 if calm is None else calm
-    open_scores = scores.where("verdict is null").select("host", "path", "score")
-    said = parsed.join(open_scores, ["host", "path"], "left").withColumns({"rule": rule, "ruled": verdict})
+    open_scores = written(scores.where("verdict is null").select("host", "path", "score", "n"), "open_scores")
+    said = parsed.withColumns({"rule": rule, "ruled": verdict})
+    asked = F.col("ruled").isNull() & ((F.col("host") != "") | (F.col("path") != ""))
+    total = open_scores.agg(F.sum("n")).first()[0] or 0
+    scored = lookup(said.where(asked), open_scores, ["host", "path"], total=total)
+    rest = said.where(~asked).withColumn("score", F.lit(None).cast("double"))
+    discard(urls, model, scores)
     own = F.when(F.col("score") > limit, F.lit("block")).otherwise(F.lit("allow"))
-    return said.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
+    return scored.unionByName(rest).select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")

@@ -10,12 +10,13 @@ from hashlib import sha1
 from uuid import UUID, uuid5
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, written
+from ..operators.skew import lookup
+from ..operators.storage import discard
+from .common import arrow_store, shared_dir, small_batches, written
 
 _SPACE = UUID(int=0)
 _END = b"\r\n\r\n"
@@ -109,30 +110,38 @@ def read_records(stream, chunk: int = 1 << 18) -> Iterator[Record]:
         yield parse_record(b"".join(parts))
 
 
-def write_warc(pages: DataFrame, out: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, out: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, most_broadcast: int = 200_000) -> DataFrame:
     """Writes a record for each row to archives in the folder out, one for each task, and
     returns the table of their names and record counts.
 
     Of rows with equal payloads of min_revisit_bytes at least, the one of the largest
     page_id is the response (of several with that page_id one of them; null ids count
     as smallest), the others are revisits of it. A null payload is empty. An empty
-    table gives archives without records. Equal payloads meet as digests only, by partial
-    maximums, so a payload that many rows share isn't gathered anywhere.
+    table gives archives without records. Other columns are not read. Equal payloads meet
+    as digests only, by partial maximums. Which payloads are repeated is broadcast up to
+    most_broadcast of them; beyond that rows meet it by lookup, so a payload that many rows
+    share isn't gathered anywhere. A worker holds a batch of 16 MB, or one longer payload.
     """
     spark = pages.sparkSession
     small_batches(spark, 500)
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = written(pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"), F.sha1(body).alias("sha")), "pages")
     big = rows.where(F.octet_length("payload") >= min_revisit_bytes)
-    tops = written(big.groupBy("sha").agg(F.max(F.struct("page_id", "uid")).alias("top"), F.count("*").alias("n")).where("n > 1").select("sha", "top"), "tops")
-    least = tops if tops.count() > 200_000 else F.broadcast(tops)  # 70 bytes a row
-    met = rows.join(least, (rows["sha"] == tops["sha"]) & (F.octet_length("payload") >= min_revisit_bytes), "left")
+    tops = big.groupBy("sha").agg(F.max(F.struct("page_id", "uid")).alias("top"), F.count("*").alias("n"))
+    tops = written(tops.where("n > 1"), "tops")
+    repeated = tops.agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).first()
+    if repeated.kinds <= most_broadcast:  # 70 bytes a row
+        met = big.join(F.broadcast(tops.drop("n")), "sha", "left")
+    else:
+        met = lookup(big, tops, ["sha"], total=repeated.rows)
+    small = rows.where(F.octet_length("payload") < min_revisit_bytes).withColumn("top", F.lit(None).cast(tops.schema["top"].dataType))
+    met = met.unionByName(small) if min_revisit_bytes else met
     revisit = F.col("top").isNotNull() & (F.col("top.uid") != F.col("uid"))
     table = met.select("uid", "page_id", "url", "payload", revisit.alias("revisit"), F.col("top.uid").alias("to_uid"), F.col("top.page_id").alias("to_page"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        store, root = pafs.FileSystem.from_uri(out)
+        store, root = arrow_store(out)
         store.create_dir(root, recursive=True)
         name, n = f"part-{context.partitionId()}.warc.gz", 0
         with store.open_output_stream(f"{root}/{name}.{context.taskAttemptId()}", compression=None) as f:
@@ -144,6 +153,7 @@ def write_warc(pages: DataFrame, out: str, *, id_col: str = "page_id", url_col:
         yield pa.RecordBatch.from_pydict({"name": [name], "records": [n]}, schema=pa.schema([("name", pa.string()), ("records", pa.int64())]))
 
     table.mapInArrow(write, "name string, records long").write.parquet(f"{out}/manifest")
+    discard(rows, tops)
     return spark.read.parquet(f"{out}/manifest")
 
 
@@ -156,7 +166,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     n = max(1, files.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(path)
+        store, root = arrow_store(path)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{root}/{name}", compression=None) as f:
@@ -178,7 +188,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages to the shared folder and returns, for each row, what is read back
-    without the payload."""
+    without the payload: one row for each page, null ids and payloads, repeated and equal
+    rows as in write_warc, nothing for an empty table."""
     out = shared_dir(pages.sparkSession, "warc")
     write_warc(pages, out)
     return read_warc(pages.sparkSession, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
