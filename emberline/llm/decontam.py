@@ -6,10 +6,11 @@ whole sequence if it has fewer. Two texts are as similar as the sum of the least
 that of the greatest counts of their shingles.
 
 Windows of a similarity above zero share a shingle with the item, and of those that
-share the same ones, one starts at a shared shingle (or ends with the text); so windows
-are taken there, where enough shared shingles follow for the similarity asked for. Each
-gets a SimHash, is met with the item's in blocks of bits (more blocks than bits may
-differ, so one of them agrees) and, within the radius, is verified exactly.
+share the same ones, one starts at a shared shingle (or ends with the text). So windows of
+an item's length are taken where a shingle of any item of that length is, and enough such
+shingles follow for the similarity asked for. Each window gets a SimHash, which finds its
+items among all of that length by blocks of bits: more blocks than bits may differ, so
+fingerprints within the radius agree in one. What is within the radius is verified exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions, written
 from .native import signed
 
 WIDTH = 5
@@ -46,20 +47,21 @@ def shingle_array(width: int, words: str = "words") -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(hashes: Column) -> Column:
-    """64 bits, each 1 if over half of the hashes have it. Two bits are counted at a
-    time, in the halves of a long."""
+def simhash(hashes: Column, most: int) -> Column:
+    """64 bits, each 1 if over half of the hashes have it. Several bits are counted at a
+    time, in lanes of a long that are wide enough for `most` hashes."""
+    lane = 8 if most < 1 << 8 else 16 if most < 1 << 16 else 32
     n, out = F.size(hashes).cast("long"), F.lit(0).cast("long")
-    pair = F.lit((1 << 32) | 1).cast("long")
+    ones = F.lit(sum(1 << i for i in range(0, BITS, lane))).cast("long")
 
-    def pairs(b: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, b).bitwiseAND(pair))
+    def sums(b: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, b).bitwiseAND(ones))
 
-    for b in range(32):
-        both = pairs(b)
-        low, high = both.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(both, 32)
-        out = out.bitwiseOR(F.when(2 * low > n, F.lit(signed(1 << b))).otherwise(F.lit(0).cast("long")))
-        out = out.bitwiseOR(F.when(2 * high > n, F.lit(signed(1 << (b + 32)))).otherwise(F.lit(0).cast("long")))
+    for b in range(lane):
+        many = sums(b)
+        for at in range(0, BITS, lane):
+            count = F.shiftrightunsigned(many, at).bitwiseAND(F.lit((1 << lane) - 1))
+            out = out.bitwiseOR(F.when(2 * count > n, F.lit(signed(1 << (b + at)))).otherwise(F.lit(0).cast("long")))
     return out
 
 
@@ -78,15 +80,19 @@ def _sized(df: DataFrame, most: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, radius: int = 23, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_broadcast: int = 500_000) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity, distance, text_hash): for every
     document and item the window of n_words words from word `start` that is most
-    similar, the first of equals, where the similarity is at least as asked for. The
-    window has the item's length, or is the whole document if that is shorter.
-
-    radius: of 64 bits, the windows of a similarity of 0.8 differ in about 10 (deviation
-    3), so 23 loses none in practice. Null or empty texts have no words and match
+    similar, the first of equals that start at a shared shingle or end with the text, where
+    the similarity is at least as asked for. The window has the item's length, or is the
+    whole document if that is shorter.
+
+    radius: of 64 bits, windows of a similarity of 0.8 differ in about 10 (deviation 3), so
+    a window beyond 23 is one of about 100,000 at just that similarity, and rarer above.
+    Such wide blocks rule few items out; what keeps the pairs few is that only windows with
+    enough shingles of some item are fingerprinted. Null or empty texts have no words and match
     nothing. Items of under five words match as whole sequences. Rows that agree in
     doc_id and text give one result; text_hash tells rows of one doc_id apart. Null ids
     stay null. An empty table of either kind gives an empty result. Other columns are not
-    read. The items' shingles and the windows' documents are broadcast up to
+    read. A very long text's words are held in one row, its windows are rows of their own.
+    The items' shingles and the windows' documents are broadcast up to
     most_broadcast rows, else joined by shuffles; documents without a shared shingle
     are never shuffled.
     """
@@ -104,41 +110,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0
 
 def _contaminated(docs: DataFrame, items: DataFrame, width: int, row: list[Column], text_col: str, similarity: float, radius: int, most: int) -> DataFrame:
     texts = F.transform(F.sequence(F.lit(0), F.size("words") - width), lambda i: F.array_join(F.slice("words", i + 1, width), " "))
-    items = written(items.select("item_id", F.size("words").alias("w"), shingle_array(width).alias("h"), texts.alias("shingles")).select("*", simhash(F.col("h")).alias("item_fp")), "item_prints")
-    known = written(items.select("item_id", "w", F.explode(F.array_distinct("h")).alias("h")), "item_shingles")
+    hashed = items.select("item_id", F.size("words").alias("w"), F.explode(F.array(shingle_array(width))).alias("h"), texts.alias("shingles"))
+    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
+    items = written(hashed.select("*", F.explode(F.array(simhash(F.col("h"), longest))).alias("item_fp")), "item_prints")
+    known = written(items.select("w", F.explode("h").alias("h")).distinct(), "item_shingles")
 
-    # shingles that a document shares with an item, by place
+    # places of shingles that some item of a length has
     words = _words(docs, text_col, row)
-    n = F.size("words").alias("n")
-    at = words.select("doc_id", "text_hash", n, F.posexplode(shingle_array(width)).alias("pos", "h"))
+    here = words.where(F.size("words") >= width).select("doc_id", "text_hash", "words", F.explode(F.sequence(F.lit(0), F.size("words") - width)).alias("pos"))
+    at = here.select("doc_id", "text_hash", F.size("words").alias("n"), "pos", F.xxhash64(*(F.get("words", F.col("pos") + k) for k in range(width))).alias("h"))
     hits = at.join(_sized(known, most), "h")
-    by_item = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.first("w").alias("w"), F.first("n").alias("n"), F.sort_array(F.collect_set("pos")).alias("pos"))
+    by_length = hits.groupBy("doc_id", "text_hash", "w").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("pos")).alias("pos"))
     size = F.least("w", "n")
-    sized = by_item.withColumn("size", size).withColumn("in_window", F.col("size") - (width - 1))
+    sized = by_length.withColumn("size", size).withColumn("in_window", F.col("size") - (width - 1))
     sized = sized.withColumn("need", F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("in_window") + F.col("w") - (width - 1)) - 1e-9).cast("int"))
     rich = F.filter("pos", lambda p, j: F.coalesce(F.get(F.col("pos"), j + F.col("need") - 1) < p + F.col("in_window"), F.lit(False)))
     starts = F.array_distinct(F.transform(rich, lambda p: F.least(p, F.col("n") - F.col("size"))))
-    windows = written(sized.select("doc_id", "text_hash", "item_id", "size", "in_window", starts.alias("starts")).where(F.size("starts") > 0), "windows")
+    windows = sized.select("doc_id", "text_hash", "w", "size", starts.alias("starts")).where(F.size("starts") > 0)
 
     # their words, from those documents alone
-    per_doc = windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "size", "in_window", "starts")).alias("windows"))
+    per_doc = windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("w", "size", "starts")).alias("windows"))
     per_doc = written(per_doc, "window_docs").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "windows")
     these = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("text_hash") == F.col("t"))
     wanted = docs.select(*row, F.col(text_col).alias("text")).join(_sized(per_doc, most // 10), these).drop("d", "t")
     met = _words(wanted.dropDuplicates(["doc_id", "text_hash"]), "text", [F.col("doc_id"), F.col("text_hash"), F.col("windows")])
-    cut = F.flatten(F.transform("windows", lambda x: F.transform(x["starts"], lambda s: F.struct(x["item_id"].alias("item_id"), s.alias("start"), x["size"].alias("n_words"), F.slice(F.col("words"), s + 1, x["size"]).alias("words")))))
-    one = met.select("doc_id", "text_hash", F.inline(cut))
+    lengths = met.select("doc_id", "text_hash", "words", F.explode("windows").alias("x")).select("doc_id", "text_hash", "words", "x.w", "x.size", F.explode("x.starts").alias("start"))
+    one = lengths.select("doc_id", "text_hash", "w", "start", F.col("size").alias("n_words"), F.slice("words", F.col("start") + 1, F.col("size")).alias("words"))
+    one = one.repartition(partitions(docs.sparkSession), "doc_id", "text_hash", "start")  # a text's windows go to all tasks
     hashed = one.select("*", F.explode(F.array(shingle_array(width))).alias("h"))
-    printed = hashed.select("doc_id", "text_hash", "item_id", "start", "n_words", "words", F.explode(F.array(simhash(F.col("h")))).alias("fp"))
+    printed = hashed.select("doc_id", "text_hash", "w", "start", "n_words", "words", F.explode(F.array(simhash(F.col("h"), longest))).alias("fp"))
 
-    # fingerprints meet in blocks
+    # fingerprints find the items of their length in blocks
     masks = [signed(m) for m in block_masks(radius)]
     blocks = lambda fp: F.posexplode(F.array(*(F.col(fp).bitwiseAND(F.lit(m)) for m in masks))).alias("block", "value")
-    item_blocks = items.select("item_id", "item_fp", blocks("item_fp"))
-    pairs = printed.select("*", blocks("fp")).join(_sized(item_blocks, most), ["item_id", "block", "value"])
+    item_blocks = items.select("item_id", "w", "item_fp", blocks("item_fp"))
+    pairs = printed.select("*", blocks("fp")).join(_sized(written(item_blocks, "item_blocks"), most), ["w", "block", "value"])
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)))
-    near = pairs.where((F.col("block") == first) & (F.bit_count(differ) <= radius)).select("doc_id", "text_hash", "item_id", "start", "n_words", F.bit_count(differ).alias("distance"), "words")
+    near = pairs.where((F.bit_count(differ) <= radius) & (F.col("block") == first)).select("doc_id", "text_hash", "item_id", "start", "n_words", F.bit_count(differ).alias("distance"), "words")
 
     # and are verified on their shingles
     shingles = F.transform(F.sequence(F.lit(0), F.col("n_words") - width), lambda i: F.array_join(F.slice("words", i + 1, width), " "))
