@@ -29,6 +29,15 @@ class ByteBPE:
 
     #: A space between two characters that aren't white space always starts a match.
     SAFE = re.compile(r"(?<!\s)(?= (?!\s))")
+    #: Characters of texts that WORDS splits: Latin, dashes, quotation marks, the euro sign.
+    BEYOND = re.compile("[^\0-\u024f\u2010-\u2027\u20ac]")
+    #: Of such texts: letters behind at most one white space, and what is between, where an
+    #: apostrophe takes the letters behind it along. If a pattern takes letters, numbers
+    #: and other characters apart, none of its matches goes over the end of such a chunk.
+    LETTER = "".join(re.escape(chr(i)) for i in range(0x250) if chr(i).isalpha())
+    BLANK = " \t\n\x0b\x0c\r\x85\xa0"
+    WORDS = re.compile(f"[{BLANK}]?[{LETTER}]+|(?:'[{LETTER}]+|(?![{BLANK}]?[{LETTER}]).)+", re.DOTALL)
+    APART = (r"| ?\p{L}+|", r"| ?\p{N}+|", r"| ?[^\s\p{L}\p{N}]+|", r"|\s+(?!\S)|\s+")
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -44,29 +53,14 @@ class ByteBPE:
         self.shift = (max(self.ranks.values(), default=0).bit_length() + 1) // 2
         self.bit = [1 << i for i in range(1 << self.shift)]
         self.byte_ids = [self.ranks.get(bytes([i]), -1) for i in range(256)]
-        self.latin = "L}" in pattern and "N}" in pattern
-        self.tails = {c: packed(self.merge(c.encode())) for c in ",."}
+        self.apart = all(x in pattern for x in self.APART)
         self.pieces = WordMemo(lambda many: [packed(self.merge(p.encode())) for p in many], limit=50_000)
         self.memo = WordMemo(self._chunks, limit=450_000)
 
     def _chunks(self, many: list[str]) -> list[bytes]:
-        """Ids of chunks of text. A run of letters behind at most a blank, with at most a
-        comma or full stop behind, needs no search if the pattern takes letters apart; the
-        run is a chunk itself, so it is remembered as one."""
-        out: list[bytes] = []
-        young, old, bodies = self.memo.young, self.memo.old, {}
-        for t in many:
-            tail = self.tails.get(t[-1:]) if self.latin else None
-            body = t[:-1] if tail else t
-            if not self.latin or not body[body[:1] == " " :].isalpha():
-                out.append(b"".join(self.pieces(self.pattern.findall(t))))
-                continue
-            ids = young.get(body) or old.get(body) or bodies.get(body)
-            if ids is None:
-                bodies[body] = ids = packed(self.merge(body.encode()))
-            out.append(ids + tail if tail else ids)
-        young.update((b, i) for b, i in bodies.items() if len(b) <= self.memo.longest)
-        return out
+        """Ids of chunks of text. Letters behind at most a blank are one match."""
+        plain = [self.apart and t[t[:1] == " " :].isalpha() for t in many]
+        return [packed(self.merge(t.encode())) if p else b"".join(self.pieces(self.pattern.findall(t))) for t, p in zip(many, plain, strict=True)]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token.
@@ -142,7 +136,8 @@ class ByteBPE:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        return b"".join(self.memo(self.SAFE.split(text)))
+        known = self.apart and self.BEYOND.search(text) is None
+        return b"".join(self.memo(self.WORDS.findall(text) if known else self.SAFE.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
