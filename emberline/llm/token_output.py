@@ -25,9 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import discard
-from .common import WordMemo, arrow_store, partitions, shared_dir, small_batches, words, written
-from .word_pieces import halves
+from .common import WordMemo, arrow_store, partitions, shared_dir, small_batches, words
+from .word_pieces import LATIN_UNITS, halves, is_latin
 
 _ENCODERS: dict = {}
 
@@ -46,8 +45,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool) if suffix else None
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.pieces = WordMemo(self._joined)
-        self.memo = WordMemo(self._words)
+        self.memo = WordMemo(self._words, limit=450_000)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -74,26 +72,27 @@ class WordEncoder:
         return out
 
     def _words(self, missing: list[str]) -> list[bytes]:
-        units: list[str] = []
-        odd: list[str] = []
-        spans = []
-        for w in missing:
-            h = halves(w)
-            at = len(units)
-            if h is None:
-                spans.append((len(odd), -1))
-                odd.append(w)
-            elif h[1]:
-                units += h
-                spans.append((at, at + 2))
-            else:
-                units.append(h[0])
-                spans.append((at, at + 1))
-        ids, whole = self.pieces(units), self._library(odd)
-        return [whole[a] if b < 0 else ids[a] if b == a + 1 else ids[a] + ids[b - 1] for a, b in spans]
+        """Ids of words: of their halves, which are remembered as words themselves, or, for
+        words of another form, by the library."""
+        young, old = self.memo.young, self.memo.old
+        parts = [halves(w) for w in missing]
+        units = dict.fromkeys(x for h in parts if h for x in h if x and x not in young and x not in old)
+        fresh = dict(zip(units, self._joined(list(units)), strict=True))
+        young.update((x, ids) for x, ids in fresh.items() if len(x) <= self.memo.longest)
+        odd = iter(self._library([w for w, h in zip(missing, parts, strict=True) if h is None]))
+
+        def known(x: str) -> bytes:
+            for memo in (fresh, young, old):
+                if (ids := memo.get(x)) is not None:
+                    return ids
+            return b""
+
+        return [next(odd) if h is None else known(h[0]) + known(h[1]) for h in parts]
 
     def __call__(self, text: str | None) -> bytes:
-        return b"".join(self.memo(words(text))) if text else b""
+        if not text:
+            return b""
+        return b"".join(self.memo(LATIN_UNITS.findall(text) if is_latin(text) else words(text)))
 
 
 def encoder(path: str, dtype: str) -> WordEncoder:
@@ -116,13 +115,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
     folder out, which all executors must reach. Returns the manifest.
 
     A null or empty text gives only the end id. Documents are in ascending doc_id
-    order, null doc_ids first; rows of equal doc_id are in order of their place in a
-    stored table, each with its own. An empty table gives a data set without documents.
-    Other columns are not read. Texts are encoded where they are read and only their ids
-    are shuffled, by ranges of doc_id and, among equal or null ones, of that place, so
-    rows of one doc_id may go to many files. A file is written under a name of its own
-    attempt and then renamed, so a task that runs twice leaves one whole file. A worker
-    holds a batch of 16 MB, or one longer text.
+    order, null doc_ids first; rows of equal doc_id are in the order in which they are
+    read, each with its own place. An empty table gives a data set without documents.
+    Other columns are not read. Texts are shuffled by ranges of doc_id and, among equal or
+    null ones, of that order, so rows of one doc_id may go to many files. (Their ids are no
+    smaller than the texts where words are rare, so encoding first saves nothing.) A file
+    is written under a name of its own attempt and then renamed, so a task that runs twice
+    leaves one whole file. A worker holds a batch of 16 MB, or one longer text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -131,23 +130,17 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
     end = np.array([end_id], dtype).tobytes()
     width = len(end)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path, dtype)
-        for batch in batches:
-            coded = [coder(t) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], ["id", "ids"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         store, root = arrow_store(out)
         store.create_dir(root, recursive=True)
         names = {k: f"{root}/{k}-{part}.bin" for k in ("ids", "offsets", "docs")}
-        docs_n, nulls, tokens = 0, 0, 0
+        encode, docs_n, nulls, tokens = encoder(tokenizer_path, dtype), 0, 0, 0
         files = {k: store.open_output_stream(f"{v}.{attempt}") for k, v in names.items()}
         files["offsets"].write(np.zeros(1, "<i8").tobytes())
         for batch in batches:
-            coded = batch.column(1).to_pylist()
+            coded = [encode(t) + end for t in batch.column(1).to_pylist()]
             files["ids"].write(b"".join(coded))
             ends = tokens + np.cumsum([len(c) // width for c in coded], dtype="<i8")
             files["offsets"].write(ends.tobytes())
@@ -162,13 +155,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs_n], "null_ids": [nulls], "tokens": [tokens], "width": [width]}, schema=pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("null_ids", pa.int64()), ("tokens", pa.int64()), ("width", pa.int32())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    coded = written(rows.mapInArrow(encode, "id long, ids binary"), "coded")
     order = [F.col("id").asc_nulls_first(), F.col("place")]
-    dealt = coded.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "ids")
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text")
     schema = "part int, docs long, null_ids long, tokens long, width int"
     manifest = dealt.mapInArrow(write, schema).collect()  # a row for each partition, written as one file
     spark.createDataFrame(manifest, schema).coalesce(1).write.parquet(f"{out}/manifest")
-    discard(coded)
     return spark.read.parquet(f"{out}/manifest")
 
 

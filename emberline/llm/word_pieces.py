@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 
 _BEYOND_LATIN = re.compile(f"[^{chr(0)}-{chr(0x12F)}]")
+_LETTERS, _SPACE = "".join(chr(i) for i in range(0x130) if chr(i).isalpha()), r"\x20\x09-\x0D"
+#: Of a Latin text: words of letters, the comma or full stop at their end apart from them,
+#: and words of another form.
+LATIN_UNITS = re.compile(rf"[{_LETTERS}]+(?=[,.]?(?:[{_SPACE}]|\Z))|[,.](?=[{_SPACE}]|\Z)|[^{_SPACE}]+")
 
 
 def is_latin(text: str) -> bool:
