@@ -45,7 +45,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool) if suffix else None
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.memo = WordMemo(self._words, limit=450_000)
+        self.memo = WordMemo(self._words, limit=700_000)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
