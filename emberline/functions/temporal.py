@@ -11,6 +11,11 @@ def epoch_s(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
+def epoch_us(ts: Column) -> Column:
+    """Microseconds since 1970 of a wall-clock time, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def seconds_apart(a: Column, b: Column) -> Column:
     return F.abs(epoch_s(a) - epoch_s(b))
 

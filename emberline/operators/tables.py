@@ -14,9 +14,9 @@ def comparable(value: Column, kind: T.DataType) -> Column:
     return F.array_sort(F.map_entries(value)) if isinstance(kind, T.MapType) else value
 
 
-def free_names(df: DataFrame, *wanted: str) -> list[str]:
-    """Names like the wanted ones that no column of df has."""
-    taken, out = {c.lower() for c in df.columns}, []
+def free_names(df: DataFrame | list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df (or of a list of names) has."""
+    taken, out = {c.lower() for c in (df if isinstance(df, list) else df.columns)}, []
     for w in wanted:
         while w.lower() in taken:
             w = f"_{w}"
