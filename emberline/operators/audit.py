@@ -29,10 +29,10 @@ def completeness(df: DataFrame) -> DataFrame:
     return _long(df, {f.name: {"completeness": F.round(F.when(n > 0, 100.0 * F.count(F.col(f"`{f.name}`")) / n), 2)} for f in df.schema})
 
 
-def column_profile(df: DataFrame, most_samples: int = 3, few: int = 5) -> DataFrame:
-    """(column_name, null_count, null_percent, distinct_count, min_value, max_value, samples).
+def column_profile(df: DataFrame) -> DataFrame:
+    """(column_name, null_count, null_percent, distinct_count, min_value, max_value).
     NaN counts as null. Least and greatest values, as text, of numbers, dates and times;
-    up to most_samples values in order of columns with at most `few` distinct ones."""
+    for samples of the others see value_samples."""
     n = F.count(F.lit(1))
     out = {}
     for f in df.schema:
@@ -47,11 +47,15 @@ def column_profile(df: DataFrame, most_samples: int = 3, few: int = 5) -> DataFr
 
 def value_samples(df: DataFrame, most_samples: int = 3, few: int = 5) -> DataFrame:
     """(column_name, sample): the first values in order of columns with at most `few`
-    distinct ones. Distinct values are cut at few + 1 in every task, so none gathers more."""
-    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(f.name).alias("column_name"), F.col(f"`{f.name}`").cast("string").alias("sample")) for f in df.schema))).alias("x")).select("x.*").where("sample is not null").distinct()
-    counted = pairs.groupBy("column_name").agg(F.count("*").alias("kinds")).where(F.col("kinds") <= few)
-    kept = pairs.join(counted, "column_name").groupBy("column_name").agg(F.slice(F.sort_array(F.collect_list("sample")), 1, most_samples).alias("s"))
-    return kept.select("column_name", F.explode("s").alias("sample"))
+    distinct ones. Two passes: sketches of a fixed size tell the columns that could have so
+    few, and only those columns' values are gathered, a set of a few in each task."""
+    text = {c: F.col(f"`{c}`").cast("string") for c in df.columns}
+    roughly = df.agg(*(F.approx_count_distinct(v).alias(str(i)) for i, v in enumerate(text.values()))).first()
+    known = [c for c, n in zip(text, roughly, strict=True) if 0 < n <= 4 * few]
+    if not known:
+        return df.sparkSession.createDataFrame([], "column_name string, sample string")
+    sets = _long(df, {c: {"s": F.collect_set(text[c])} for c in known})
+    return sets.where(F.size("s") <= few).select("column_name", F.explode(F.slice(F.sort_array("s"), 1, most_samples)).alias("sample"))
 
 
 def key_audit(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,6 +80,7 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def date_columns(df: DataFrame) -> list[str]:
+    """Columns whose names sound like dates or times."""
     return [c for c in df.columns if any(w in c.lower() for w in DATE_WORDS)]
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import comparable
+from .storage import delete_folder
+from .tables import comparable, free_names
 
 LINEAGE = ["landing_source_file", "ingestion_timestamp", "updated_source_file", "updated_timestamp"]
 
@@ -91,41 +92,77 @@ def upsert(target: DataFrame | None, source: DataFrame, keys: list[str], now: Co
     return rows if target is None else merge_df(target, rows, keys)
 
 
+def latest_ingestion(feed: DataFrame) -> DataFrame:
+    """(latest_ingestion), one row: when the feed's last rows came in; null if it is empty."""
+    return feed.agg(F.max("ingestion_timestamp").alias("latest_ingestion"))
+
+
 def close_missing(target: DataFrame, current: DataFrame, key: str, latest: Column, now: Column) -> DataFrame:
     """Ends the open rows whose key isn't in the current snapshot and which were ingested
     before it: end_timestamp becomes the snapshot's time."""
-    marks = current.select(key).distinct().withColumn("_current", F.lit(True))
-    met = target.join(marks, key, "left")
-    gone = F.col("_current").isNull() & F.col("end_timestamp").isNull() & (F.col("ingestion_timestamp") < latest)
+    (mark,) = free_names(target, "current")
+    met = target.join(current.select(key).distinct().withColumn(mark, F.lit(True)), key, "left")
+    gone = F.col(mark).isNull() & F.col("end_timestamp").isNull() & (F.col("ingestion_timestamp") < latest)
     changes = {"end_timestamp": F.when(gone, latest).otherwise(F.col("end_timestamp")), "updated_timestamp": F.when(gone, now).otherwise(F.col("updated_timestamp"))}
-    return met.withColumns(changes).drop("_current").select(*target.columns)
+    return met.withColumns(changes).select(*target.columns)
+
+
+def merge_snapshot(target: DataFrame | None, source: DataFrame, current: DataFrame, key: str, latest: Column, now: Column) -> DataFrame:
+    """An upsert of all rows ever seen (source) and the closure of those that the current
+    snapshot lacks, in one merge. A row of the snapshot is as the source says, open again
+    if it says so. Another one that has no end of its own keeps the end that it was closed
+    with, or is closed at `latest`, the snapshot's time, if it was ingested before. So a
+    closure lasts, and its time doesn't move, until the feed brings the row back."""
+    merged = upsert(target, source, [key], now)
+    mark, closed = free_names(merged, "current", "closed")
+    met = merged.join(current.select(key).distinct().withColumn(mark, F.lit(True)), key, "left")
+    met = met.join(target.select(key, F.col("end_timestamp").alias(closed)), key, "left") if target is not None else met.withColumn(closed, F.lit(None).cast(merged.schema["end_timestamp"].dataType))
+    end = F.coalesce("end_timestamp", closed, F.when(F.col("ingestion_timestamp") < latest, latest))
+    return met.withColumn("end_timestamp", F.when(F.col(mark), F.col("end_timestamp")).otherwise(end)).select(*merged.columns)
 
 
 class VersionedTable:
     """A Parquet table as a folder of versions. A version counts once its write has
-    ended, so readers see the old one until then; the path that is read is never
-    written."""
+    ended, so readers see the old one until then; the path that is read is never written.
+    The last `keep` versions stay. Of two writers that start from one version, one fails:
+    a version is never overwritten."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
 
-    def _versions(self) -> list[int]:
+    def _folders(self) -> list[tuple[int, bool]]:
+        """Version numbers in order, and whether each was written to its end."""
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not files.exists(path):
             return []
         names = [s.getPath() for s in files.listStatus(path)]
-        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted((int(p.getName()[1:]), files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))) for p in names if p.getName().startswith("v"))
+
+    def _versions(self) -> list[int]:
+        return [v for v, whole in self._folders() if whole]
 
     def read(self) -> DataFrame | None:
         """The last whole version, None if there is none."""
         found = self._versions()
         return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
 
+    def create(self, schema: str) -> bool:
+        """An empty table of the schema, if there is no table yet; whether it was made."""
+        if self._versions():
+            return False
+        self.write(self.spark.createDataFrame([], schema))
+        return True
+
     def write(self, df: DataFrame) -> int:
-        version = (self._versions() or [-1])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        found = self._folders()
+        version = found[-1][0] + 1 if found else 0  # not that of a write that broke off either
+        df.write.mode("errorifexists").parquet(f"{self.path}/v{version}")
+        kept = [v for v, whole in found if whole][-(self.keep - 1) :] if self.keep > 1 else []
+        for old, _ in found:
+            if old < min(kept, default=version):
+                delete_folder(self.spark, f"{self.path}/v{old}")
         return version
 
     def merge(self, source: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> int:
@@ -135,5 +172,4 @@ class VersionedTable:
         return self.write(merge(self.read(), source))
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(self.spark, self.path)

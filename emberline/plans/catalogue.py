@@ -292,3 +292,59 @@ def sanitised_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_replay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of files, merged into a table of the last one of each user."""
     return replay(spark, f"{sf_dir}/events.parquet", shared_dir(spark, "stream"), ["user_id"], F.struct("ts", "event_id")).select("user_id", "event_id", "value")
+
+
+@query("SELECT floor(epoch(max(o_orderdate)))::BIGINT AS latest_s FROM orders")
+def latest_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("ingestion_timestamp"))
+    return merge.latest_ingestion(feed).select(epoch_s(F.col("latest_ingestion")).alias("latest_s"))
+
+
+@query(f"""WITH {INCIDENTS}, k AS (SELECT *, id::BIGINT AS n FROM incidents)
+SELECT id AS record_id, floor(epoch(CASE WHEN e IS NOT NULL THEN e WHEN n % 5 <> 0 THEN NULL WHEN n % 3 = 1 THEN TIMESTAMP '2024-02-02 00:00:00' ELSE TIMESTAMP '2024-02-03 00:00:00' END))::BIGINT AS end_s FROM k""")
+def lake_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three days of a feed: what a day's snapshot lacks is closed, stays closed at that
+    time, and opens again if a later snapshot has it."""
+    number = F.col("record_id").cast("long")
+    here = [number % 3 != 0, number % 3 != 1, number % 5 != 0]
+    first = F.when(here[0], 0).when(here[1], 1).otherwise(2)
+    rows = incidents(spark, sf_dir).withColumn("day", first).withColumns({"ingestion_timestamp": F.expr("timestamp_ntz '2024-02-01 00:00:00' + make_dt_interval(day)"), "landing_source_file": F.concat(F.lit("f"), "day")})
+    stored = None
+    for day in range(3):
+        latest = ntz(f"2024-02-0{day + 1} 00:00:00")
+        seen = rows.where(F.col("day") <= day).drop("day")
+        stored = merge.merge_snapshot(stored, seen, seen.where(here[day]), "record_id", latest, latest)
+    return stored.select("record_id", epoch_s(F.col("end_timestamp")).alias("end_s"))
+
+
+@query("""WITH a AS (SELECT event_id, user_id, 1 AS refresh, value FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id, user_id, 2 AS refresh, value * 2 AS value FROM events WHERE event_id % 3 = 0)
+SELECT event_id::VARCHAR AS fire_detection_id, user_id::VARCHAR AS traffic_incident_id, refresh, value AS distance_km FROM b UNION ALL SELECT event_id::VARCHAR, user_id::VARCHAR, refresh, value FROM a WHERE event_id % 3 <> 0""")
+def gold_traffic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two refreshes of the impact table: pairs that the second doesn't find stay."""
+    e = table(spark, sf_dir, "events")
+    stored = spark.createDataFrame([], gold.TRAFFIC_IMPACT)
+    for refresh, found in ((1, e.where("event_id % 2 = 0")), (2, e.where("event_id % 3 = 0"))):
+        rows = found.select(F.col("event_id").cast("string").alias("fire_detection_id"), F.col("user_id").cast("string").alias("traffic_incident_id"), (F.col("value") * refresh).alias("distance_km"), F.expr(f"timestamp '2024-01-0{refresh} 00:00:00'").alias("gold_updated_at"), F.lit(1).alias("not_declared"))
+        stored = gold.merge_traffic_impact(stored, rows)
+    return stored.select("fire_detection_id", "traffic_incident_id", F.day("gold_updated_at").alias("refresh"), "distance_km")
+
+
+@query("""SELECT coalesce(s.id, t.id) AS id, CASE WHEN s.id IS NULL THEN t.status END AS status, s.price
+FROM (SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0) t FULL JOIN (SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 1) s ON t.id = s.id""")
+def merge_new_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge whose sides have other columns: the result has those of either."""
+    o = table(spark, sf_dir, "orders")
+    old = o.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey as id", "o_orderstatus as status")
+    return merge.merge_df(old, o.where("o_orderkey % 3 <> 1").selectExpr("o_orderkey as id", "o_totalprice as price"), ["id"])
+
+
+@query("SELECT r_regionkey AS region_key, NULL::VARCHAR AS geometry_json, r_name FROM region")
+def optional_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region_key"), "r_name")
+    return tables.with_optional(tables.with_optional(r, "geometry_json", "string"), "r_name", "int")
+
+
+@query("SELECT * FROM (VALUES ('orders', 'o_orderdate'), ('lineitem', 'l_shipdate')) t(table_name, column_name)")
+def date_like_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(t, c) for t in ("orders", "lineitem", "region") for c in audit.date_columns(table(spark, sf_dir, t))]
+    return spark.createDataFrame(found, "table_name string, column_name string")

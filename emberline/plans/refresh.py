@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit
-from ..operators.merge import VersionedTable, close_missing, merge_with_lineage, upsert
+from ..operators.merge import VersionedTable, latest_ingestion, merge_snapshot, merge_with_lineage, upsert
+from ..operators.storage import discard, written
 from ..operators.tables import latest_per_key, sanitise_columns
 from ..sources import files, xml
 from . import gold, silver
@@ -43,26 +44,55 @@ class Lake:
     def now(self) -> Column:
         return F.lit(self.clock()).cast("timestamp_ntz")
 
+    def raw(self, landing: dict[str, str]) -> None:
+        """landing: folders by source, of weather, traffic, fires_nrt, fires_hist and roads.
+        Files that RAW has rows of aren't read again. Roads are a snapshot: the newest
+        file's rows replace the others."""
+        self._all({f"raw_{s}": (lambda s=s, p=p: self._to_raw(s, p)) for s, p in landing.items()})
+
+    def _to_raw(self, name: str, path: str) -> None:
+        at, now = f"{self.path}/raw/{name}", self.now()
+        stored = files.read_raw(self.spark, at)
+        if name == "roads":
+            newest = files.latest_file(self.spark, path, "*.json")
+            if newest and (stored is None or stored.where(F.col("landing_source_path") == newest).isEmpty()):
+                files.write_raw(files.read_roads(self.spark, newest, now), at)
+            return
+        pattern, read = {"weather": ("*.json", files.read_json), "traffic": ("*.xml", xml.read_xml)}.get(name, ("*.csv", lambda *a: files.read_csv(*a, schema=files.FIRE_CSV)))
+        if found := files.new_files(self.spark, path, pattern, stored):
+            files.write_raw(read(self.spark, found, now), at, append=True)
+
     def to_bronze(self, name: str, raw: DataFrame) -> int:
         """The last row of each key, merged where something changed. Rows with a null key
         are left out: they would be inserted again each time."""
         keys = silver.KEYS[name]
-        clean = sanitise_columns(raw).dropna(subset=keys)
+        clean = sanitise_columns(raw.drop("landing_source_path")).dropna(subset=keys)
         return self.table(name).merge(latest_per_key(clean, keys), lambda old, new: merge_with_lineage(old, new, keys, self.now()))
 
     def bronze(self, landing: dict[str, str]) -> None:
-        """landing: folders by source, of weather, traffic, fires_nrt, fires_hist and roads."""
-        readers = {"weather": files.read_json, "fires_nrt": lambda *a: files.read_csv(*a, schema=files.FIRE_CSV), "fires_hist": lambda *a: files.read_csv(*a, schema=files.FIRE_CSV), "traffic": xml.read_xml, "roads": files.read_roads}
-        self._all({f"bronze_{s}": (lambda s=s, p=p: self.to_bronze(f"bronze_{s}", readers[s](self.spark, p, self.now()))) for s, p in landing.items()})
+        """Takes landing files to RAW (see raw) and RAW rows that came in since bronze was
+        last changed to bronze."""
+        try:
+            self.raw(landing)
+        finally:  # a source that failed doesn't hold up the rest
+            self._all({f"bronze_{s}": (lambda s=s: self._to_bronze(s)) for s in landing})
+
+    def _to_bronze(self, name: str) -> None:
+        if (rows := files.read_raw(self.spark, f"{self.path}/raw/{name}")) is None:
+            return
+        if (old := self.table(f"bronze_{name}").read()) is not None:
+            changed = old.agg(F.max(F.greatest("ingestion_timestamp", F.coalesce("updated_timestamp", "ingestion_timestamp"))).alias("t")).first().t
+            rows = rows if changed is None else rows.where(F.col("ingestion_timestamp") > F.lit(changed).cast("timestamp_ntz"))
+        self.to_bronze(f"bronze_{name}", rows)
 
     def to_silver(self, name: str, rows: DataFrame) -> int:
         keys = silver.KEYS[name]
         return self.table(name).merge(rows, lambda old, new: upsert(old, new, keys, self.now()))
 
-    def silver(self, snapshot: DataFrame | None = None) -> None:
-        """snapshot: the record_ids of the traffic feed's last snapshot; open incidents that
-        it lacks are closed."""
-        self._all({"silver_weather": self._weather, "silver_fires": self._fires, "silver_traffic": lambda: self._traffic(snapshot), "silver_roads": self._roads})
+    def silver(self) -> None:
+        """The traffic feed's last ingestion is its current snapshot; open incidents that it
+        lacks are closed."""
+        self._all({"silver_weather": self._weather, "silver_fires": self._fires, "silver_traffic": self._traffic, "silver_roads": self._roads})
 
     def _weather(self) -> None:
         if (b := self.table("bronze_weather").read()) is not None:
@@ -75,13 +105,13 @@ class Lake:
             self.table("silver_fires").write(fires.withColumn("updated_timestamp", self.now()))
             self.table("silver_fire_clusters").write(clusters.withColumn("updated_timestamp", self.now()))
 
-    def _traffic(self, snapshot: DataFrame | None) -> None:
-        if (b := self.table("bronze_traffic").read()) is None:
+    def _traffic(self) -> None:
+        feed = files.read_raw(self.spark, f"{self.path}/raw/traffic")
+        if feed is None or (b := self.table("bronze_traffic").read()) is None:
             return
-        self.to_silver("silver_traffic", silver.traffic(b))
-        if snapshot is not None:
-            stored = self.table("silver_traffic").read()
-            self.table("silver_traffic").write(close_missing(stored, snapshot, "record_id", self.now(), self.now()))
+        latest = F.lit(latest_ingestion(feed).first()[0]).cast("timestamp_ntz")
+        current = feed.where(F.col("ingestion_timestamp") == latest)
+        self.table("silver_traffic").merge(silver.traffic(b), lambda old, new: merge_snapshot(old, new, current, "record_id", latest, self.now()))
 
     def _roads(self) -> None:
         if (b := self.table("bronze_roads").read()) is not None:
@@ -90,11 +120,35 @@ class Lake:
     def gold(self, as_of: Column) -> None:
         stored = {n: self.table(f"silver_{n}").read() for n in ("fires", "fire_clusters", "weather", "traffic", "roads")}
         fires, clusters, weather, incidents, roads = (t if t is None else t.drop("updated_source_file", "updated_timestamp") for t in stored.values())
-        tables: dict[str, Callable[[], DataFrame]] = {"gold_fire_risk": lambda: gold.fire_risk(fires, weather, as_of), "gold_fire_evolution": lambda: gold.fire_evolution(fires, clusters), "gold_fire_traffic_impact": lambda: gold.fire_traffic_impact(fires, incidents)}
-        tables["gold_fire_exposure"] = lambda: gold.fire_exposure(gold.fire_roads(fires, roads))
-        tables["gold_fire_road_impact"] = lambda: gold.fire_road_impact(gold.fire_roads(fires, roads), gold.road_incidents(roads, incidents))
-        tables["gold_evacuation_routes"] = lambda: gold.evacuation_routes(gold.fire_roads(fires, roads), gold.road_incidents(roads, incidents))
-        self._all({n: (lambda n=n, t=t: self.table(n).write(t().withColumn("gold_updated_at", self.now()))) for n, t in tables.items()})
+        shared: dict[str, DataFrame] = {}
+
+        def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+            if name not in shared:
+                shared[name] = written(make(), name)
+            return shared[name]
+
+        near_roads = lambda: once("fire_roads", lambda: gold.fire_roads(fires, roads))
+        at_roads = lambda: once("road_incidents", lambda: gold.road_incidents(roads, incidents))
+        tables: dict[str, Callable[[], DataFrame]] = {
+            "gold_fire_risk": lambda: gold.fire_risk(fires, weather, as_of),
+            "gold_fire_evolution": lambda: gold.fire_evolution(fires, clusters),
+            "gold_fire_exposure": lambda: gold.fire_exposure(near_roads()),
+            "gold_fire_road_impact": lambda: gold.fire_road_impact(near_roads(), at_roads()),
+            "gold_evacuation_routes": lambda: gold.evacuation_routes(near_roads(), at_roads()),
+        }
+
+        def traffic_impact() -> int:
+            """Pairs of earlier refreshes stay; the one table that isn't made anew."""
+            name = "gold_fire_traffic_impact"
+            stored = self.table(name)
+            stored.create(gold.TRAFFIC_IMPACT)
+            return stored.merge(gold.fire_traffic_impact(fires, incidents).withColumn("gold_updated_at", self.now()), lambda old, new: gold.merge_traffic_impact(old, new))
+
+        stages = {n: (lambda n=n, t=t: self.table(n).write(t().withColumn("gold_updated_at", self.now()))) for n, t in tables.items()}
+        try:
+            self._all({**stages, "gold_fire_traffic_impact": traffic_impact})
+        finally:
+            discard(*shared.values())
 
     def audit(self, *names: str) -> DataFrame:
         """(table_name, column_name, completeness) of the stored tables."""

@@ -1,4 +1,6 @@
-"""Scans of landing files into RAW rows with lineage, and the RAW sink."""
+"""Scans of landing files into RAW rows with lineage, and the RAW sink.
+
+Paths are URIs as Spark takes them; none is rewritten for a particular lake's layout."""
 
 from __future__ import annotations
 
@@ -15,15 +17,15 @@ ROAD_TAGS = ["highway", "ref", "name", "maxspeed", "lanes", "oneway", "surface",
 
 def with_lineage(df: DataFrame, now: Column) -> DataFrame:
     """df with the file that each row comes from and the time of ingestion."""
-    return df.select("*", F.col("_metadata.file_name").alias("landing_source_file"), now.cast("timestamp_ntz").alias("ingestion_timestamp"))
+    return df.select("*", F.col("_metadata.file_name").alias("landing_source_file"), F.col("_metadata.file_path").alias("landing_source_path"), now.cast("timestamp_ntz").alias("ingestion_timestamp"))
 
 
-def read_json(spark: SparkSession, path: str, now: Column, schema: str | T.StructType = WEATHER_JSON) -> DataFrame:
+def read_json(spark: SparkSession, path: str | list[str], now: Column, schema: str | T.StructType = WEATHER_JSON) -> DataFrame:
     """Rows of all JSON files below path, each an object or a list of objects."""
     return with_lineage(spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path), now)
 
 
-def read_csv(spark: SparkSession, path: str, now: Column, schema: str | T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], now: Column, schema: str | T.StructType | None = None) -> DataFrame:
     """Rows of all CSV files below path, columns by the header's names. Without a schema the
     types are inferred, at the price of a second pass."""
     reader = spark.read.option("header", True).option("recursiveFileLookup", True)
@@ -32,7 +34,7 @@ def read_csv(spark: SparkSession, path: str, now: Column, schema: str | T.Struct
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     raw = with_lineage(reader.csv(path), now)
     cols = [(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted]
-    return raw.select(*cols, "landing_source_file", "ingestion_timestamp")
+    return raw.select(*cols, "landing_source_file", "landing_source_path", "ingestion_timestamp")
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame | None:
@@ -51,8 +53,13 @@ def write_raw(df: DataFrame, path: str, *, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").parquet(path)
 
 
-def table_or_none(spark: SparkSession, name: str) -> DataFrame | None:
-    return spark.table(name) if spark.catalog.tableExists(name) else None
+def new_files(spark: SparkSession, path: str, pattern: str, loaded: DataFrame | None) -> list[str]:
+    """Paths of the files below path that no row of loaded came from (landing_source_path):
+    a listing, without the files' contents, and only a run's new files reach the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path")
+    if loaded is not None:
+        files = files.join(loaded.select(F.col("landing_source_path").alias("path")).distinct(), "path", "left_anti")
+    return sorted(r.path for r in files.collect())
 
 
 def latest_file(spark: SparkSession, path: str, pattern: str = "*") -> str | None:

@@ -33,10 +33,14 @@ Transport = Callable[[str, str, dict], Response]
 
 
 def urllib_transport(method: str, url: str, options: dict) -> Response:
+    headers = dict(options.get("headers") or {})
     data = urllib.parse.urlencode(options["data"]).encode() if options.get("data") else None
+    if options.get("json") is not None:
+        data = json.dumps(options["json"]).encode()
+        headers.setdefault("Content-Type", "application/json")
     if options.get("params"):
         url = f"{url}?{urllib.parse.urlencode(options['params'])}"
-    request = urllib.request.Request(url, data=data, headers=options.get("headers") or {}, method=method)
+    request = urllib.request.Request(url, data=data, headers=headers, method=method)
     try:
         with urllib.request.urlopen(request, timeout=options.get("timeout")) as r:
             return Response(r.status, r.read(), dict(r.headers))
@@ -45,16 +49,17 @@ def urllib_transport(method: str, url: str, options: dict) -> Response:
 
 
 class Client:
-    """A plain client: None where a request fails to get an answer."""
+    """A plain client: None where a request gets no answer or one of status 400 and more."""
 
     def __init__(self, timeout: float = 90, transport: Transport = urllib_transport):
         self.timeout, self.transport = timeout, transport
 
     def _ask(self, method: str, url: str, **options: Any) -> Response | None:
         try:
-            return self.transport(method, url, {"timeout": self.timeout, **options})
+            answer = self.transport(method, url, {"timeout": self.timeout, **options})
         except Exception:
             return None
+        return answer if answer.status < 400 else None
 
     def get(self, url: str, **options: Any) -> Response | None:
         return self._ask("GET", url, **options)

@@ -53,8 +53,8 @@ def flatten_xml(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
     return at.mapInArrow(run, "record_id string, values map<string,string>" + (f", {kinds}" if kinds else ""))
 
 
-def read_xml(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    """Records of all .xml files below path, with lineage."""
+def read_xml(spark: SparkSession, path: str | list[str], now: Column) -> DataFrame:
+    """Records of all .xml files below path, or at the paths, with lineage."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path)
-    named = files.select("content", F.element_at(F.split("path", "/"), -1).alias("landing_source_file"))
-    return flatten_xml(named, "content", ["landing_source_file"]).withColumn("ingestion_timestamp", now.cast("timestamp_ntz"))
+    named = files.select("content", F.element_at(F.split("path", "/"), -1).alias("landing_source_file"), F.col("path").alias("landing_source_path"))
+    return flatten_xml(named, "content", ["landing_source_file", "landing_source_path"]).withColumn("ingestion_timestamp", now.cast("timestamp_ntz"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -7,8 +8,10 @@ from pyspark.sql import functions as F
 from emberline.functions.geo import haversine_km, in_region
 from emberline.functions.scoring import at_least, known, severity_label, severity_rank
 from emberline.functions.temporal import active_at, detection_time
-from emberline.operators import audit, merge, spatial, tables
+from emberline.operators import audit, merge, spatial, storage, tables
 from emberline.operators.graph import connected_components
+from emberline.operators.intervals import stabbing_sums
+from emberline.operators.skew import lookup
 
 
 def test_haversine(spark):
@@ -90,12 +93,75 @@ def test_close_missing(spark):
     assert got == {"a": None, "b": dt.datetime(2024, 1, 5), "c": dt.datetime(2024, 1, 1)}
 
 
+def test_stabbing_sums_are_brute_force(spark):
+    rng = random.Random(3)
+    spans = [(rng.choice("ab") if i % 9 else None, s := rng.randrange(100), None if i % 5 == 0 else s + rng.randrange(40), rng.randrange(1, 4)) for i in range(200)]
+    points = [(rng.choice("abc") if i % 7 else None, rng.randrange(-5, 150), i, "kept") for i in range(150)]
+    df = spark.createDataFrame(points, "k string, at int, lo int, row_ string")
+    got = stabbing_sums(df, "k", F.col("at").cast("long"), spark.createDataFrame(spans, "k string, lo long, hi long, w long"), ["w"], spans=5)
+    want = {p: sum(w for k, lo, hi, w in spans if k is not None and k == p[0] and lo <= p[1] and (hi is None or p[1] < hi)) for p in points}
+    assert {(r.k, r.at, r.lo, r.row_): r.w for r in got.collect()} == want and got.columns == [*df.columns, "w"]
+    none = stabbing_sums(df, "k", F.col("at").cast("long"), spark.createDataFrame([], "k string, lo long, hi long, w long"), ["w"])
+    assert {r.w for r in none.collect()} == {0}
+
+
+def test_lookup_splits_hot_keys(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i % 40}", i) for i in range(200)], "k string, v int")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top")).where("k <> 'k3'")
+    for how, size in (("left", 700), ("inner", 695)):
+        out = lookup(rows, counts, ["k"], total=700, how=how)
+        got = out.collect()
+        assert len(got) == size and out.columns == ["k", "v", "top"] and {r.top for r in got if r.k == "hot"} == {499}
+    assert all(r.top is None for r in lookup(rows, counts, ["k"], total=700).where("k = 'k3'").collect())
+
+
+def test_shared_folder_and_discard(spark, tmp_path):
+    kept = storage.written(spark.range(5), "kept")
+    gone = storage.written(kept, "gone")
+    storage.discard(gone, spark.range(2))
+    assert kept.count() == 5 and not os.path.exists(gone._stored_at.removeprefix("file://"))
+
+    class Far:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Far
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(storage.NoSharedFolder):
+        storage.shared_dir(Session, "x")
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 5, 7), (1, 6, 8)], "k int, t int, rank int")
+    assert [tuple(r) for r in tables.latest_per_key(df, ["k"], "t").collect()] == [(1, 6, 8)]
+    assert tables.nearest_per_key(df, ["k"], "t", ["rank"]).columns == ["k", "t", "rank"]
+    left = spark.createDataFrame([(40.0, -3.0, 1, 2)], "lat double, lon double, cell int, i int")
+    right = spark.createDataFrame([(40.1, -3.1, 3)], "rlat double, rlon double, j int")
+    assert [tuple(r) for r in spatial.box_join(left, right, spatial.NEAR, ("lat", "lon"), ("rlat", "rlon")).collect()] == [(40.0, -3.0, 1, 2, 40.1, -3.1, 3)]
+
+
+def test_audit_sample(spark):
+    df = spark.range(10).selectExpr("id", "id as a", "id as b", "id as c", "'f' as landing_source_file")
+    got = audit.audit_sample(df)
+    assert got.columns == ["id", "a", "b", "landing_source_file"] and got.count() == 3
+    few = spark.range(50).selectExpr("id % 3 as few", "id as many", "cast(null as string) as none", "concat('x', id % 5) as five")
+    assert {(r.column_name, r.sample) for r in audit.value_samples(few).collect()} == {("few", "0"), ("few", "1"), ("few", "2"), ("five", "x0"), ("five", "x1"), ("five", "x2")}
+    assert audit.value_samples(few.select("none")).count() == 0
+
+
 def test_versioned_table(spark, tmp_path):
     table = merge.VersionedTable(spark, f"file://{tmp_path}/t")
     assert table.read() is None
     table.write(spark.range(3))
     table.merge(spark.range(5), lambda old, new: old.union(new))
     assert table.read().count() == 8
+    os.makedirs(tmp_path / "t/v2")  # a write that broke off
+    for n in range(4):
+        assert table.write(spark.range(n)) == 3 + n
+    assert table.read().count() == 3 and table._versions() == [4, 5, 6]
 
 
 def test_latest_is_order_free(spark):
