@@ -26,8 +26,10 @@ from ..operators.tables import free_names
 from .common import WordMemo, release_memos, small_batches
 
 ORDERS = (3, 4)
-#: Runs of letters in texts without numerals other than digits.
+#: Runs of letters in texts without numerals other than digits; the Latin letters and
+#: punctuation around the six of Latin-1 have none.
 _PLAIN = re.compile(r"[^\W\d_]+")
+_BEYOND = re.compile("[^\0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u20ac]")
 LONGEST = 200  # longer words are taken in pieces of this many letters, so that a memo key is short
 
 
@@ -47,9 +49,9 @@ def word_list(text: str | None) -> list[str]:
     if not text:
         return []
     low = text.lower()
-    odd, letters = (None, _PLAIN) if low.isascii() else _odd_numerals()
+    odd, letters = _odd_numerals() if _BEYOND.search(low) else (None, _PLAIN)
     found = (letters if odd and odd.search(low) else _PLAIN).findall(low)
-    if any(len(w) > LONGEST for w in found):
+    if max(map(len, found), default=0) > LONGEST:
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
 
