@@ -76,6 +76,7 @@ def unnest_parallel(df: DataFrame, arrays: dict[str, Column], keep: list[str], *
     """A row for each position of the array named `driver`, with the values of all arrays
     there; shorter ones give null, rows without a driver array vanish."""
     others = [n for n in arrays if n != driver]
-    base = df.select(*keep, *(a.alias(f"_{n}") for n, a in arrays.items()))
-    out = base.select(*keep, *(f"_{n}" for n in others), F.posexplode(f"_{driver}").alias(index, driver))
-    return out.select(*keep, index, driver, *(F.get(F.col(f"_{n}"), F.col(index)).alias(n) for n in others))
+    held = dict(zip(arrays, free_names([*keep, index, *arrays], *arrays), strict=True))
+    base = df.select(*keep, *(a.alias(held[n]) for n, a in arrays.items()))
+    out = base.select(*keep, *(held[n] for n in others), F.posexplode(held[driver]).alias(index, driver))
+    return out.select(*keep, index, driver, *(F.get(F.col(held[n]), F.col(index)).alias(n) for n in others))

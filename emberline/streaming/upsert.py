@@ -13,6 +13,8 @@ def merge_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str],
     of the greatest `version` (a column that orders a key's rows), whatever order the rows
     arrive in, so late and repeated ones change nothing. Runs until all files that are
     there have been read; a later start goes on with new files only."""
+    if "_version" in stream.columns:
+        raise ValueError("the table keeps a row's version in a column _version, which the stream has itself")
     table = VersionedTable(stream.sparkSession, path)
 
     def merge(batch: DataFrame, _: int) -> None:

@@ -175,6 +175,8 @@ def test_names_and_unnest(spark):
     df = spark.createDataFrame([(1, ["p", "q"], [1.0]), (2, None, [2.0])], "id int, t array<string>, v array<double>")
     got = tables.unnest_parallel(df, {"t": F.col("t"), "v": F.col("v")}, ["id"], driver="t").collect()
     assert [(r.id, r.t, r.v) for r in got] == [(1, "p", 1.0), (1, "q", None)]
+    clash = tables.unnest_parallel(df.withColumn("_t", F.lit(9)), {"t": F.col("t"), "v": F.col("v")}, ["id", "_t"], driver="t")
+    assert [(r["_t"], r.t) for r in clash.collect()] == [(9, "p"), (9, "q")]
 
 
 def test_profile(spark):
