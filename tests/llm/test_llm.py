@@ -365,6 +365,24 @@ def test_one_of_each_by_brute_force(spark):
     assert sum(0.7 <= x < 0.8 for x in near) > 10 and sum(0.8 <= x < 0.85 for x in near) > 10
 
 
+def test_stages_drop_what_their_operators_reject(spark):
+    """The first two stages keep the rows that the operators' own results name, repeats and
+    other columns included; both decisions are made over the stage's whole input."""
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"n_words": F.lit(1), "lang_pred": F.lit("x")})
+    docs = docs.union(docs.where("doc_id % 10 = 0"))
+    good = corpus_pipeline.quality_rules(spark, docs, sf_dir)
+    kept = Counter(r.doc_id for r in quality.quality_verdicts(docs).where("kept").collect())
+    assert Counter(r.doc_id for r in good.collect()) == kept and good.columns == docs.columns
+    spoken = corpus_pipeline.language_id(spark, docs, sf_dir)
+    found = langid.identify(docs, langid.train(docs.where(~langid.held_out()))).where("lang_pred <> 'und' and score >= 0.25")
+    assert Counter(r.doc_id for r in spoken.collect()) == Counter(r.doc_id for r in found.collect()) and spoken.columns == docs.columns
+    rest = Counter(r.doc_id for r in docs.collect()) - kept
+    assert rest and all(r.base_failed or r.distance2 > 23.5 for r in quality.quality_verdicts(docs).where("not kept").collect())
+
+
 def test_pipeline_rows(spark):
     """run() keeps one document of each group of near copies, found by brute force, that
     has no passage of the benchmark."""
