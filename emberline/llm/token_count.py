@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordMemo, small_batches, words
-from .word_pieces import halves
+from .word_pieces import LATIN_UNITS, halves, is_latin
 
 _COUNTERS: dict = {}
 
@@ -65,8 +65,8 @@ class TokenCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.bytes = {b: c for b, c in zip(range(256), self._byte_letters(), strict=True)}
-        self.pieces = WordMemo(lambda many: [self._piece(p) for p in many])
-        self.memo = WordMemo(lambda many: [self._word(w) for w in many])
+        self.pieces = WordMemo(lambda many: [self._piece(p) for p in many], limit=50_000)
+        self.memo = WordMemo(self._words, limit=700_000)
 
     @staticmethod
     def _byte_letters() -> list[str]:
@@ -84,16 +84,28 @@ class TokenCounter:
         normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if p]
 
-    def _word(self, word: str) -> int:
-        if (h := halves(word)) is not None:
-            body = "".join(map(self.bytes.__getitem__, h[0].encode()))
-            return sum(self.pieces([body, h[1]] if h[1] else [body]))
-        found = self.special.findall(word) if self.special else []
-        rest = self.special.split(word) if found else [word]
-        return len(found) + sum(sum(self.pieces(p)) for t in rest if t and (p := self._split(t)))
+    def _words(self, many: list[str]) -> list[int]:
+        """Counts of words; letters in lower case are remembered as words themselves."""
+        young, old = self.memo.young, self.memo.old
+        out, fresh = [], {}
+        for w in many:
+            if (h := halves(w)) is None:
+                found = self.special.findall(w) if self.special else []
+                rest = self.special.split(w) if found else [w]
+                out.append(len(found) + sum(sum(self.pieces(p)) for t in rest if t and (p := self._split(t))))
+                continue
+            body, tail = h
+            n = young.get(body) or old.get(body) or fresh.get(body)
+            if n is None:
+                fresh[body] = n = self._piece("".join(map(self.bytes.__getitem__, body.encode())))
+            out.append(n + sum(self.pieces([tail])) if tail else n)
+        young.update((w, n) for w, n in fresh.items() if len(w) <= self.memo.longest)
+        return out
 
     def __call__(self, text: str | None) -> int:
-        return sum(self.memo(words(text))) if text else 0
+        if not text:
+            return 0
+        return sum(self.memo(LATIN_UNITS.findall(text) if is_latin(text) else words(text)))
 
 
 def counter(path: str) -> TokenCounter:
