@@ -55,7 +55,7 @@ class ByteBPE:
         self.byte_ids = [self.ranks.get(bytes([i]), -1) for i in range(256)]
         self.apart = all(x in pattern for x in self.APART)
         self.pieces = WordMemo(lambda many: [packed(self.merge(p.encode())) for p in many], limit=50_000)
-        self.memo = WordMemo(self._chunks, limit=450_000)
+        self.memo = WordMemo(self._chunks, limit=350_000)
 
     def _chunks(self, many: list[str]) -> list[bytes]:
         """Ids of chunks of text. Letters behind at most a blank are one match."""
