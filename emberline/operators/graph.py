@@ -9,6 +9,10 @@ from .skew import lookup
 from .storage import discard, written
 
 
+#: So many edges, of 16 bytes, are few enough for one task if they all have one node.
+FEW_EDGES = 250_000
+
+
 def _signature(edges: DataFrame) -> tuple:
     """Equal for equal sets of edges, whatever their order."""
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -22,7 +26,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
 
     In a round, every node first hands its larger neighbours to the smallest node it
     knows, then its smaller ones. Node ids meet by partial minimums, and nodes of many
-    edges by broadcast (see lookup), so such a node doesn't land in one task. Each round
+    edges by broadcast (see lookup; graphs of up to FEW_EDGES are simply joined, which
+    keeps plans small), so a node of more edges than that doesn't land in one task. Each round
     is written to the shared folder, which keeps plans short and survives lost executors.
     The rounds end when every node points to its component's smallest node, which is when
     nothing changes.
@@ -34,7 +39,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         counted = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = lookup(both, counted, ["u"], total=2 * rows, how="inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        met = both.join(counted.drop("n"), "u") if rows <= FEW_EDGES else lookup(both, counted, ["u"], total=2 * rows, how="inner")
+        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, now = now, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components", rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions.geo import haversine_km, in_region
 from emberline.functions.scoring import at_least, known, severity_label, severity_rank
 from emberline.functions.temporal import active_at, detection_time
-from emberline.operators import audit, merge, spatial, storage, tables
+from emberline.operators import audit, graph, merge, spatial, storage, tables
 from emberline.operators.graph import connected_components
 from emberline.operators.intervals import stabbing_sums
 from emberline.operators.skew import lookup
@@ -31,7 +31,9 @@ def test_box_join_is_brute_force(spark, box):
     assert got == want and len(want) > 100
 
 
-def test_components_are_union_find(spark):
+@pytest.mark.parametrize("few", [250_000, 0])
+def test_components_are_union_find(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(None, 3), (7, 7)]
     root = {}
