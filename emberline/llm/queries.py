@@ -83,6 +83,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    conv = F.col("conv_id")
+    found = prefix_trie(table(spark, sf_dir, "conversations"), fork_from=conv - conv % 5, fork_at=F.crc32(conv.cast("string").cast("binary")) % 9)
+    return found.drop("text_file", "text_row")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    vec = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, vec % 50 == 0)
+
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
@@ -95,6 +111,46 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
 FROM d
 """
 
+OP11_SQL = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+size AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+forks AS (SELECT s.c, s.c - s.c % 5 AS p, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, length(s.c::VARCHAR) + 1), lambda i: ascii(substr(s.c::VARCHAR, i, 1))::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295::BIGINT) % 9 AS h
+  FROM size s),
+heads AS (SELECT f.c, f.p, f.h, least(f.h, coalesce(o.n, 0)) AS k FROM forks f LEFT JOIN size o ON o.c = f.p),
+turns AS (SELECT f.c, t.pos AS d, r, x FROM heads f JOIN t ON t.c = f.p AND t.pos <= f.h
+  UNION ALL SELECT f.c, f.k + t.pos - f.h, r, x FROM heads f JOIN t ON t.c = f.c AND t.pos > f.h),
+prefixes AS (SELECT c, d, strlen(x) AS b, list(struct_pack(r := r, x := x)) OVER (PARTITION BY c ORDER BY d) AS k FROM turns
+  UNION ALL SELECT c, 0, 0, [] FROM heads),
+members AS (SELECT c, d, b, min(c) OVER w AS rep, count(*) OVER w AS n, max(d) OVER (PARTITION BY c) AS top
+  FROM prefixes WINDOW w AS (PARTITION BY d, k)),
+nodes AS (SELECT m.c, m.d, m.n, m.b, p.rep AS parent FROM members m LEFT JOIN members p ON p.c = m.c AND p.d = m.d - 1 WHERE m.c = m.rep),
+kids AS (SELECT parent AS c, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (SELECT v.c, v.d, (v.n - 1) * v.b AS saved, (k.n IS NULL)::BIGINT AS leaf FROM nodes v LEFT JOIN kids k USING (c, d)),
+sums AS (SELECT m.rep AS c, m.d, sum(o.leaf) AS leaves, sum(o.saved) AS saved FROM members m JOIN own o ON o.c = m.c AND o.d >= m.d GROUP BY ALL),
+ends AS (SELECT rep AS c, d, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM members WHERE d = top GROUP BY ALL)
+SELECT v.c::BIGINT AS conv_id, v.d::BIGINT AS depth, v.parent::BIGINT AS parent_conv_id, v.n::BIGINT AS n_convs,
+  coalesce(k.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes v JOIN sums s USING (c, d) LEFT JOIN kids k USING (c, d) LEFT JOIN ends e USING (c, d)
+"""
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e, row_number() OVER () AS uid
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (SELECT a.uid AS a, a.vec_id AS anchor_id, r.uid AS r, r.vec_id AS id, a.label = r.label AS alike, list_inner_product(a.e, r.e)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id % 50 = 0 AND a.uid <> r.uid),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, r) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER w AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.a, p.r ORDER BY n.score DESC, n.id, n.r)
+QUALIFY row_number() OVER w <= 3
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
@@ -106,6 +162,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op10_warc": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL}
