@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import delete_folder
 from .tables import comparable, free_names
@@ -20,57 +22,130 @@ class DuplicateKeys(ValueError):
     """A key that several source rows have."""
 
 
-def _aligned(df: DataFrame, fields: dict[str, str], name: str) -> DataFrame:
-    cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in fields.items()]
-    return df.select(F.struct(*cols).alias(name))
+def quoted(name: str) -> str:
+    """A column's name as F.col takes it whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def merge_df(target: DataFrame, source: DataFrame, keys: list[str], *, update: dict[str, Rule] | str | None = "all", update_when: Rule | None = None, insert: dict[str, Rule] | str | None = "all", not_matched: tuple[Rule, dict[str, Rule]] | None = None, check: bool = True) -> DataFrame:
-    """The target after a merge of the source.
+def _aligned(df: DataFrame, fields: dict[str, str], name: str) -> Column:
+    """A struct of the fields; a column is found without regard to case, null if it is missing."""
+    own = {c.lower(): c for c in df.columns}
+    cols = [(F.col(quoted(own[c.lower()])) if c.lower() in own else F.lit(None)).cast(t).alias(c) for c, t in fields.items()]
+    return F.struct(*cols).alias(name)
+
+
+@dataclass(frozen=True)
+class Merge:
+    """What a load does to a table.
 
     Keys match by =, so null keys never do: such target rows stay and such source rows
     are inserted. update: new values of matched rows, "all" for the source's, where
     update_when holds; insert: values of new rows, "all" for the source's (other columns
     of a dict come from the source); not_matched: a condition and new values for target
     rows without a source row. Rules get two functions from a column's name to the
-    target's and the source's value. Columns are those of either side; a side that lacks
-    one has null there. Several source rows of one key raise DuplicateKeys if check.
+    target's and the source's value. The table's columns are those of either side, whose
+    names differ in more than case, but for `hidden` ones, which only rules read; a side
+    that lacks one has null there. Several source rows of one key raise DuplicateKeys if check.
     """
-    fields = {f.name: f.dataType.simpleString() for f in target.schema} | {f.name: f.dataType.simpleString() for f in source.schema if f.name not in target.columns}
-    if check:
-        twice = source.dropna(subset=keys).groupBy(*keys).count().where("count > 1").limit(1).collect()
-        if twice:
-            raise DuplicateKeys(f"several source rows have the key {tuple(twice[0])[:-1]}")
-    t, s = _aligned(target, fields, "t"), _aligned(source, fields, "s")
-    on = F.lit(True)
-    for k in keys:
-        on = on & (F.col(f"t.{k}") == F.col(f"s.{k}"))
-    met = t.join(s, on, "full_outer")
-    old, new = (lambda c: F.col("t")[c]), (lambda c: F.col("s")[c])
-    has_t, has_s = F.col("t").isNotNull(), F.col("s").isNotNull()
-    changed = (has_t & has_s & F.coalesce(update_when(old, new), F.lit(False))) if update_when else (has_t & has_s)
-    if insert is None:
-        met = met.where(has_t)
-    out = []
-    for c in fields:
-        value = F.when(~has_t, insert[c](old, new) if isinstance(insert, dict) and c in insert else new(c))
-        if update == "all":
-            value = value.when(changed, new(c))
-        elif update and c in update:
-            value = value.when(changed, update[c](old, new))
-        if not_matched and c in not_matched[1]:
-            value = value.when(has_t & ~has_s & F.coalesce(not_matched[0](old, new), F.lit(False)), not_matched[1][c](old, new))
-        out.append(value.otherwise(old(c)).cast(fields[c]).alias(c))
-    return met.select(*out)
 
+    source: DataFrame
+    keys: list[str]
+    update: dict[str, Rule] | str | None = "all"
+    update_when: Rule | None = None
+    insert: dict[str, Rule] | str | None = "all"
+    not_matched: tuple[Rule, dict[str, Rule]] | None = None
+    hidden: tuple[str, ...] = ()
+    check: bool = True
+
+    def fields(self, target: T.StructType | None) -> dict[str, str]:
+        """Names and types of the merged table's columns."""
+        out = {f.name: f.dataType.simpleString() for f in target or []}
+        have = {c.lower() for c in (*out, *self.hidden)}
+        return out | {f.name: f.dataType.simpleString() for f in self.source.schema if f.name.lower() not in have}
+
+    def whole_keys(self) -> Column:
+        out = F.lit(True)
+        for k in self.keys:
+            out = out & F.col(quoted(k)).isNotNull()
+        return out
 
-def merge_with_lineage(target: DataFrame | None, source: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    def checked(self) -> None:
+        if self.check:
+            twice = self.source.where(self.whole_keys()).groupBy(*map(quoted, self.keys)).count().where("count > 1").limit(1).collect()
+            if twice:
+                raise DuplicateKeys(f"several source rows have the key {tuple(twice[0])[:-1]}")
+
+    def sides(self, target: DataFrame, fields: dict[str, str], *more: str) -> tuple[DataFrame, DataFrame, Column]:
+        """Target rows as a struct t (with the columns `more` beside it), source rows as a
+        struct s, and the condition under which they match."""
+        seen = fields | {f.name: f.dataType.simpleString() for f in self.source.schema if f.name in self.hidden}
+        on = F.lit(True)
+        for k in self.keys:
+            on = on & (F.col("t")[k] == F.col("s")[k])
+        return target.select(*more, _aligned(target, fields, "t")), self.source.select(_aligned(self.source, seen, "s")), on
+
+    @staticmethod
+    def _values() -> tuple[Rows, Rows]:
+        return (lambda c: F.col("t")[c]), (lambda c: F.col("s")[c])
+
+    def updates(self) -> Column:
+        """Whether a matched row changes."""
+        if not self.update:
+            return F.lit(False)
+        return F.coalesce(self.update_when(*self._values()), F.lit(False)) if self.update_when else F.lit(True)
+
+    def closes(self) -> Column:
+        """Whether a target row without a source row changes."""
+        return F.coalesce(self.not_matched[0](*self._values()), F.lit(False)) if self.not_matched else F.lit(False)
+
+    def _ruled(self, rules: dict[str, Rule] | str | None, c: str, kind: str) -> Column | None:
+        old, new = self._values()
+        if isinstance(rules, dict):
+            rule = {k.lower(): r for k, r in rules.items()}.get(c.lower())
+            return rule(old, new).cast(kind) if rule else None
+        return new(c) if rules == "all" else None
+
+    def updated(self, c: str, kind: str) -> Column:
+        value = self._ruled(self.update, c, kind)
+        return self._values()[0](c) if value is None else value
+
+    def inserted(self, c: str, kind: str) -> Column:
+        value = self._ruled(self.insert, c, kind)
+        return self._values()[1](c) if value is None else value
+
+    def closed(self, c: str, kind: str) -> Column:
+        value = self._ruled(self.not_matched and self.not_matched[1], c, kind)
+        return self._values()[0](c) if value is None else value
+
+    def applied(self, target: DataFrame | None) -> DataFrame:
+        """All rows of the table after the merge; None: a table without rows."""
+        fields = self.fields(target.schema if target is not None else None)
+        if target is not None:
+            self.checked()
+        else:
+            target = self.source.select(*map(quoted, self.source.columns)).where("false")
+        t, s, on = self.sides(target, fields)
+        met = t.join(s, on, "full_outer" if self.insert is not None else "left")
+        has_t, has_s = F.col("t").isNotNull(), F.col("s").isNotNull()
+        out = []
+        for c, kind in fields.items():
+            value = F.when(~has_t, self.inserted(c, kind)).when(has_t & has_s & self.updates(), self.updated(c, kind))
+            if self.not_matched:
+                value = value.when(has_t & ~has_s & self.closes(), self.closed(c, kind))
+            out.append(value.otherwise(F.col("t")[c]).cast(kind).alias(c))
+        return met.select(*out)
+
+
+def merge_df(target: DataFrame, source: DataFrame, keys: list[str], **rules: object) -> DataFrame:
+    """The target after a merge of the source; rules as those of Merge."""
+    return Merge(source, keys, **rules).applied(target)
+
+
+def lineage_merge(source: DataFrame, keys: list[str], now: Column) -> Merge:
     """Updates a row only if a column other than keys and lineage differs; keeps the first
     landing file and ingestion time, and stamps the update's. New rows have no update."""
     empty = {"updated_source_file": F.lit(None).cast("string"), "updated_timestamp": F.lit(None).cast("timestamp_ntz")}
     rows = source.withColumns(empty)
-    if target is None:
-        return rows
     values = [c for c in rows.columns if c not in keys and c not in LINEAGE]
     kinds = {f.name: f.dataType for f in rows.schema}
 
@@ -83,13 +158,22 @@ def merge_with_lineage(target: DataFrame | None, source: DataFrame, keys: list[s
     update: dict[str, Rule] = {c: (lambda old, new, c=c: new(c)) for c in values}
     update["updated_source_file"] = lambda old, new: new("landing_source_file")
     update["updated_timestamp"] = lambda old, new: now
-    return merge_df(target, rows, keys, update=update, update_when=differs)
+    return Merge(rows, keys, update=update, update_when=differs)
 
 
-def upsert(target: DataFrame | None, source: DataFrame, keys: list[str], now: Column) -> DataFrame:
+def merge_with_lineage(target: DataFrame | None, source: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """The target after lineage_merge."""
+    return lineage_merge(source, keys, now).applied(target)
+
+
+def upsert_merge(source: DataFrame, keys: list[str], now: Column) -> Merge:
     """All columns of matched rows from the source, and new rows, stamped with the update."""
-    rows = source.withColumns({"updated_source_file": F.col("landing_source_file"), "updated_timestamp": now})
-    return rows if target is None else merge_df(target, rows, keys)
+    return Merge(source.withColumns({"updated_source_file": F.col("landing_source_file"), "updated_timestamp": now}), keys)
+
+
+def upsert(target: DataFrame | None, source: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """The target after upsert_merge."""
+    return upsert_merge(source, keys, now).applied(target)
 
 
 def latest_ingestion(feed: DataFrame) -> DataFrame:
@@ -107,18 +191,28 @@ def close_missing(target: DataFrame, current: DataFrame, key: str, latest: Colum
     return met.withColumns(changes).select(*target.columns)
 
 
-def merge_snapshot(target: DataFrame | None, source: DataFrame, current: DataFrame, key: str, latest: Column, now: Column) -> DataFrame:
+def snapshot_merge(source: DataFrame, current: DataFrame, key: str, latest: Column, now: Column) -> Merge:
     """An upsert of all rows ever seen (source) and the closure of those that the current
     snapshot lacks, in one merge. A row of the snapshot is as the source says, open again
     if it says so. Another one that has no end of its own keeps the end that it was closed
     with, or is closed at `latest`, the snapshot's time, if it was ingested before. So a
     closure lasts, and its time doesn't move, until the feed brings the row back."""
-    merged = upsert(target, source, [key], now)
-    mark, closed = free_names(merged, "current", "closed")
-    met = merged.join(current.select(key).distinct().withColumn(mark, F.lit(True)), key, "left")
-    met = met.join(target.select(key, F.col("end_timestamp").alias(closed)), key, "left") if target is not None else met.withColumn(closed, F.lit(None).cast(merged.schema["end_timestamp"].dataType))
-    end = F.coalesce("end_timestamp", closed, F.when(F.col("ingestion_timestamp") < latest, latest))
-    return met.withColumn("end_timestamp", F.when(F.col(mark), F.col("end_timestamp")).otherwise(end)).select(*merged.columns)
+    rows = upsert_merge(source, [key], now).source
+    (mark,) = free_names(rows, "current")
+    rows = rows.join(current.select(key).distinct().withColumn(mark, F.lit(True)), key, "left")
+    closing = lambda side: F.when(side("ingestion_timestamp") < latest, latest)
+
+    def end(old: Rows, new: Rows) -> Column:
+        return F.when(new(mark), new("end_timestamp")).otherwise(F.coalesce(new("end_timestamp"), old("end_timestamp"), closing(new)))
+
+    update: dict[str, Rule] = {c: (lambda old, new, c=c: new(c)) for c in rows.columns if c != mark}
+    missing = lambda old, new: old("end_timestamp").isNull() & (old("ingestion_timestamp") < latest)
+    return Merge(rows, [key], update=update | {"end_timestamp": end}, insert={"end_timestamp": end}, not_matched=(missing, {"end_timestamp": lambda old, new: latest}), hidden=(mark,))
+
+
+def merge_snapshot(target: DataFrame | None, source: DataFrame, current: DataFrame, key: str, latest: Column, now: Column) -> DataFrame:
+    """The target after snapshot_merge."""
+    return snapshot_merge(source, current, key, latest, now).applied(target)
 
 
 class VersionedTable:

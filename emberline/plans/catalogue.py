@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import in_region
 from ..functions.temporal import detection_time, epoch_s
 from ..operators import audit, merge, spatial, tables
+from ..operators.keyed import KeyedTable
 from ..operators.storage import shared_dir
 from ..sources.files import ROADS_JSON, road_rows
 from ..sources.grid import weather_grid as grid_points
@@ -155,6 +156,14 @@ def _two_loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
+def _merged(spark: SparkSession, loads: list[merge.Merge], keys: list[str]) -> DataFrame:
+    """A stored table after the loads."""
+    stored = KeyedTable(spark, shared_dir(spark, "merged"), keys)
+    for load in loads:
+        stored.merge(load)
+    return stored.read()
+
+
 LOADS = """o AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS d, o_orderpriority AS p FROM orders), t AS (SELECT id, status, price FROM o WHERE d < TIMESTAMP '1999-01-01'),
 s AS (SELECT id, status, CASE WHEN p = '1-URGENT' THEN price + 1 ELSE price END AS price FROM o WHERE d >= TIMESTAMP '1997-01-01')"""
 
@@ -164,7 +173,7 @@ SELECT id, CASE WHEN ti IS NULL OR ch THEN ss ELSE ts END AS status, CASE WHEN t
 def merge_conditional_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _two_loads(spark, sf_dir)
     now = ntz("2024-01-03 00:00:00")
-    out = merge.merge_with_lineage(merge.merge_with_lineage(None, old, ["id"], now), new, ["id"], now)
+    out = _merged(spark, [merge.lineage_merge(load, ["id"], now) for load in (old, new)], ["id"])
     return out.select("id", "status", "price", "landing_source_file", "updated_source_file")
 
 
@@ -172,7 +181,7 @@ def merge_conditional_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _two_loads(spark, sf_dir)
     now = ntz("2024-01-03 00:00:00")
-    return merge.upsert(merge.upsert(None, old, ["id"], now), new, ["id"], now).select("id", "status", "price", "landing_source_file")
+    return _merged(spark, [merge.upsert_merge(load, ["id"], now) for load in (old, new)], ["id"]).select("id", "status", "price", "landing_source_file")
 
 
 @query(f"WITH {INCIDENTS}, cur AS (SELECT o_orderkey::VARCHAR AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01') SELECT id AS record_id, floor(epoch(CASE WHEN e IS NULL AND id NOT IN (SELECT id FROM cur) THEN TIMESTAMP '{AS_OF}' ELSE e END))::BIGINT AS end_s, e IS NULL AND id NOT IN (SELECT id FROM cur) AS closed FROM incidents")
@@ -309,12 +318,12 @@ def lake_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     here = [number % 3 != 0, number % 3 != 1, number % 5 != 0]
     first = F.when(here[0], 0).when(here[1], 1).otherwise(2)
     rows = incidents(spark, sf_dir).withColumn("day", first).withColumns({"ingestion_timestamp": F.expr("timestamp_ntz '2024-02-01 00:00:00' + make_dt_interval(day)"), "landing_source_file": F.concat(F.lit("f"), "day")})
-    stored = None
+    loads = []
     for day in range(3):
         latest = ntz(f"2024-02-0{day + 1} 00:00:00")
         seen = rows.where(F.col("day") <= day).drop("day")
-        stored = merge.merge_snapshot(stored, seen, seen.where(here[day]), "record_id", latest, latest)
-    return stored.select("record_id", epoch_s(F.col("end_timestamp")).alias("end_s"))
+        loads.append(merge.snapshot_merge(seen, seen.where(here[day]), "record_id", latest, latest))
+    return _merged(spark, loads, ["record_id"]).select("record_id", epoch_s(F.col("end_timestamp")).alias("end_s"))
 
 
 @query("""WITH a AS (SELECT event_id, user_id, 1 AS refresh, value FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id, user_id, 2 AS refresh, value * 2 AS value FROM events WHERE event_id % 3 = 0)
@@ -322,11 +331,12 @@ SELECT event_id::VARCHAR AS fire_detection_id, user_id::VARCHAR AS traffic_incid
 def gold_traffic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two refreshes of the impact table: pairs that the second doesn't find stay."""
     e = table(spark, sf_dir, "events")
-    stored = spark.createDataFrame([], gold.TRAFFIC_IMPACT)
+    stored = KeyedTable(spark, shared_dir(spark, "impacts"), gold.IMPACT_KEYS)
+    stored.create(gold.TRAFFIC_IMPACT)
     for refresh, found in ((1, e.where("event_id % 2 = 0")), (2, e.where("event_id % 3 = 0"))):
         rows = found.select(F.col("event_id").cast("string").alias("fire_detection_id"), F.col("user_id").cast("string").alias("traffic_incident_id"), (F.col("value") * refresh).alias("distance_km"), F.expr(f"timestamp '2024-01-0{refresh} 00:00:00'").alias("gold_updated_at"), F.lit(1).alias("not_declared"))
-        stored = gold.merge_traffic_impact(stored, rows)
-    return stored.select("fire_detection_id", "traffic_incident_id", F.day("gold_updated_at").alias("refresh"), "distance_km")
+        stored.merge(gold.traffic_impact_merge(rows))
+    return stored.read().select("fire_detection_id", "traffic_incident_id", F.day("gold_updated_at").alias("refresh"), "distance_km")
 
 
 @query("""SELECT coalesce(s.id, t.id) AS id, CASE WHEN s.id IS NULL THEN t.status END AS status, s.price
@@ -335,7 +345,8 @@ def merge_new_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merge whose sides have other columns: the result has those of either."""
     o = table(spark, sf_dir, "orders")
     old = o.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey as id", "o_orderstatus as status")
-    return merge.merge_df(old, o.where("o_orderkey % 3 <> 1").selectExpr("o_orderkey as id", "o_totalprice as price"), ["id"])
+    new = o.where("o_orderkey % 3 <> 1").selectExpr("o_orderkey as id", "o_totalprice as price")
+    return _merged(spark, [merge.Merge(old, ["id"]), merge.Merge(new, ["id"])], ["id"])
 
 
 @query("SELECT r_regionkey AS region_key, NULL::VARCHAR AS geometry_json, r_name FROM region")

@@ -14,13 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit
-from ..operators.merge import VersionedTable, latest_ingestion, merge_snapshot, merge_with_lineage, upsert
+from ..operators.keyed import KeyedTable
+from ..operators.merge import VersionedTable, latest_ingestion, lineage_merge, snapshot_merge, upsert_merge
 from ..operators.storage import discard, written
 from ..operators.tables import latest_per_key, sanitise_columns
 from ..sources import files, xml
 from . import gold, silver
 
 
+#: Keys of the tables that loads are merged into.
+MERGED = {n: k for n, k in silver.KEYS.items() if n != "silver_fires"} | {"gold_fire_traffic_impact": gold.IMPACT_KEYS}
+
+
 class StagesFailed(RuntimeError):
     """Some stages failed; `errors` has them by name."""
 
@@ -38,8 +43,10 @@ class Lake:
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc).replace(tzinfo=None)
     status: dict[str, str] = field(default_factory=dict)
 
-    def table(self, name: str) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.path}/{name}")
+    def table(self, name: str) -> VersionedTable | KeyedTable:
+        """A table that loads are merged into, or one that is made anew each time."""
+        at = f"{self.path}/{name}"
+        return KeyedTable(self.spark, at, MERGED[name]) if name in MERGED else VersionedTable(self.spark, at)
 
     def now(self) -> Column:
         return F.lit(self.clock()).cast("timestamp_ntz")
@@ -67,7 +74,7 @@ class Lake:
         are left out: they would be inserted again each time."""
         keys = silver.KEYS[name]
         clean = sanitise_columns(raw.drop("landing_source_path")).dropna(subset=keys)
-        return self.table(name).merge(latest_per_key(clean, keys), lambda old, new: merge_with_lineage(old, new, keys, self.now()))
+        return self.table(name).merge(lineage_merge(latest_per_key(clean, keys), keys, self.now()))
 
     def bronze(self, landing: dict[str, str]) -> None:
         """Takes landing files to RAW (see raw) and RAW rows that came in since bronze was
@@ -87,7 +94,7 @@ class Lake:
 
     def to_silver(self, name: str, rows: DataFrame) -> int:
         keys = silver.KEYS[name]
-        return self.table(name).merge(rows, lambda old, new: upsert(old, new, keys, self.now()))
+        return self.table(name).merge(upsert_merge(rows, keys, self.now()))
 
     def silver(self) -> None:
         """The traffic feed's last ingestion is its current snapshot; open incidents that it
@@ -111,7 +118,7 @@ class Lake:
             return
         latest = F.lit(latest_ingestion(feed).first()[0]).cast("timestamp_ntz")
         current = feed.where(F.col("ingestion_timestamp") == latest)
-        self.table("silver_traffic").merge(silver.traffic(b), lambda old, new: merge_snapshot(old, new, current, "record_id", latest, self.now()))
+        self.table("silver_traffic").merge(snapshot_merge(silver.traffic(b), current, "record_id", latest, self.now()))
 
     def _roads(self) -> None:
         if (b := self.table("bronze_roads").read()) is not None:
@@ -142,7 +149,7 @@ class Lake:
             name = "gold_fire_traffic_impact"
             stored = self.table(name)
             stored.create(gold.TRAFFIC_IMPACT)
-            return stored.merge(gold.fire_traffic_impact(fires, incidents).withColumn("gold_updated_at", self.now()), lambda old, new: gold.merge_traffic_impact(old, new))
+            return stored.merge(gold.traffic_impact_merge(gold.fire_traffic_impact(fires, incidents).withColumn("gold_updated_at", self.now())))
 
         stages = {n: (lambda n=n, t=t: self.table(n).write(t().withColumn("gold_updated_at", self.now()))) for n, t in tables.items()}
         try:

@@ -89,7 +89,7 @@ def test_days_of_a_lake(spark, tmp_path):
     stored = lake.table("gold_fire_traffic_impact")
     assert stored.read().columns == [c.strip().split(" ")[0] for c in gold.TRAFFIC_IMPACT.split(",")] and not stored.create(gold.TRAFFIC_IMPACT)
     assert lake.table("bronze_fires_nrt").read().first().updated_timestamp is None
-    assert len(stored._versions()) <= 3
+    assert len(stored.versions()) <= 3
     stored.drop()
     assert stored.read() is None
 
