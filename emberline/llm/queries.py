@@ -99,6 +99,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, vec % 50 == 0)
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, ("assign", "access", "hex", "guess")))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.sha2(said(F.filter("spans", lambda s: s["kind"] < 3)).cast("binary"), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), said(F.col("spans")).alias("spans"), "n_guess")
+
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
@@ -164,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLES: dict[str, str] = {"op10_warc": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL}
