@@ -52,9 +52,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def context_values(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, bool]]:
-    """(start, end, value, judged) of the values in credential contexts, without closing
-    punctuation; judged where they have 6 characters or more and no pattern's match meets them."""
+def context_values(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, value) of the values of 6 characters or more in credential contexts,
+    without closing punctuation."""
     low = text.lower()
     if not any(h in low for h in _CONTEXT_HINTS):
         return []
@@ -62,7 +62,8 @@ def context_values(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[i
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(_TAIL)
         start, end = m.start(1), m.start(1) + len(value)
-        out.append((start, end, value, len(value) >= 6 and not any(a < end and start < b for a, _, b in taken)))
+        if len(value) >= 6:
+            out.append((start, end, value))
     return out
 
 
@@ -174,14 +175,14 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     return best[n]
 
 
-_FOUND = "n_assign long, n_access long, n_hex long, base array<struct<start:int,kind:int,end:int>>, asked array<struct<start:int,end:int,value:string,judged:boolean>>"
-_FOUND_TYPE = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))), ("asked", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("judged", pa.bool_())])))])
+_FOUND = "n_assign long, n_access long, n_hex long, base array<struct<start:int,kind:int,end:int>>, asked array<struct<start:int,end:int,value:string>>"
+_FOUND_TYPE = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))), ("asked", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])))])
 
 
 def _search(text: str) -> dict:
     base = base_spans(text)
     counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
-    asked = [dict(zip(("start", "end", "value", "judged"), v, strict=True)) for v in context_values(text, base)]
+    asked = [dict(zip(("start", "end", "value"), v, strict=True)) for v in context_values(text)]
     return {"n_assign": counts[0], "n_access": counts[1], "n_hex": counts[2], "base": [{"start": s, "kind": k, "end": e} for s, k, e in base], "asked": asked}
 
 
@@ -197,7 +198,7 @@ def find_secrets(docs: DataFrame, *, least_guesses: float = 10.0, id_col: str =
     kind: 0 assign, 1 access, 2 hex, 3 guess.
 
     The first three are the patterns' matches (see base_spans). guess: the value of a
-    credential context that no such match meets, if guessing it takes 10 ** least_guesses
+    credential context, within such a match or not, if guessing it takes 10 ** least_guesses
     guesses at least. Null and empty texts have no spans; long texts are searched whole;
     null, repeated and equal rows stay rows of their own; an empty table gives an empty
     result; other columns are not read. A word's cost is the log of how rare it is: the
@@ -215,12 +216,11 @@ def find_secrets(docs: DataFrame, *, least_guesses: float = 10.0, id_col: str =
     asked = found.where(F.size("asked") > 0).select("uid", F.explode("asked").alias("a")).select("uid", "a.*")
     base = F.col("base").cast("array<struct<start:int,kind:int,end:int>>")
     out = found.select("uid", "doc_id", "n_assign", "n_access", "n_hex", base.alias("spans"))
-    judged = asked.where("judged")
-    values = written(judged.groupBy("value").agg(F.count("*").alias("n")), "values")
+    values = written(asked.groupBy("value").agg(F.count("*").alias("n")), "values")
     if values.isEmpty():
         return out.select("doc_id", "n_assign", "n_access", "n_hex", "spans", F.lit(0).cast("long").alias("n_guess"))
     secret = _judged(rows, asked, values, least_guesses)
-    hits = lookup(judged, secret, ["value"], total=values.agg(F.sum("n")).first()[0], how="inner")
+    hits = lookup(asked, secret, ["value"], total=values.agg(F.sum("n")).first()[0], how="inner")
     more = hits.groupBy("uid").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("more"))
     met = out.join(more, "uid", "left")
     extra = F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
