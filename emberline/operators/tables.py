@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import written
+
 
 def comparable(value: Column, kind: T.DataType) -> Column:
     """A value that can be compared and hashed: a map as its entries in order."""
@@ -45,8 +47,39 @@ def nearest_per_key(df: DataFrame, keys: list[str], distance: str, ties: list[st
     return _first_of(df, window)
 
 
-def previous(value: str, by: str, order: list[str]) -> Column:
-    return F.lag(value).over(Window.partitionBy(by).orderBy(*order))
+#: A group of so many rows at most goes to one task.
+FEW_ROWS = 10_000
+
+
+def with_previous(df: DataFrame, value: str, by: str, order: list[str], name: str) -> DataFrame:
+    """df with a column `name`: the value of the row before, in `order`, of the same `by`;
+    null for the first and where that is null. Rows of a null `by` are one group.
+
+    Groups of over a quarter of a mean partition's rows, of which there are fewer than four
+    a partition, are dealt by ranges of (by, order); a range begins with the last value of
+    the one before, so no task has all rows of a group. Others go through a window."""
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(F.col(by).alias("by_")).agg(F.count("*").alias("n"))
+    total = df.count()
+    large = counts.where(F.col("n") > max(total // (4 * tasks), FEW_ROWS)).select("by_")
+    if large.isEmpty():
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(by).orderBy(*order)))
+    same = F.col(by).eqNullSafe(F.col("by_"))
+    few = F.broadcast(large)
+    rest = df.join(few, same, "left_anti").withColumn(name, F.lag(value).over(Window.partitionBy(by).orderBy(*order)))
+    (part,) = free_names([*df.columns, name], "part")
+    hot = df.join(few, same, "left_semi").repartitionByRange(tasks, by, *order)
+    hot = written(hot.withColumn(part, F.spark_partition_id()), "ranges")
+    rank = F.struct(*order)
+    ends = hot.groupBy(by, part).agg(F.max_by(F.struct(F.col(value).alias("v")), rank).alias("last"))
+    before = ends.select(by, part, F.lag("last").over(Window.partitionBy(by).orderBy(part)).alias("before"))  # a row a range and group
+    own = Window.partitionBy(by, part).orderBy(*order)
+    at, back = free_names([*df.columns, name, part], "at", "back")
+    carried = F.broadcast(before.where("before is not null").select(F.col(by).alias("by_"), F.col(part).alias("part_"), F.col("before.v").alias(back)))
+    met = hot.withColumns({at: F.row_number().over(own), name: F.lag(value).over(own)}).join(carried, same & (F.col(part) == F.col("part_")), "left")
+    out = met.withColumn(name, F.when(F.col(at) == 1, F.col(back)).otherwise(F.col(name)))
+    return rest.unionByName(out.select(*(F.col(f"`{c}`") for c in rest.columns)))
 
 
 def union_by_name(*tables: DataFrame) -> DataFrame:
