@@ -215,6 +215,18 @@ def merge_snapshot(target: DataFrame | None, source: DataFrame, current: DataFra
     return snapshot_merge(source, current, key, latest, now).applied(target)
 
 
+def presence_merge(source: DataFrame, gone: DataFrame, key: str, now: Column) -> Merge:
+    """As snapshot_merge, from (key, gone_at): when the first snapshot after the last one
+    that has the row was taken, null if that is the last of all. However many snapshots
+    came in at once, a row ends when the first of them that lacks it was taken."""
+    rows = upsert_merge(source, [key], now).source
+    (mark,) = free_names(rows, "gone_at")
+    rows = rows.join(gone.select(F.col(key), F.col("gone_at").alias(mark)), key, "left")
+    end = lambda old, new: F.coalesce(new("end_timestamp"), new(mark))
+    update: dict[str, Rule] = {c: (lambda old, new, c=c: new(c)) for c in rows.columns if c != mark}
+    return Merge(rows, [key], update=update | {"end_timestamp": end}, insert={"end_timestamp": end}, hidden=(mark,))
+
+
 class VersionedTable:
     """A Parquet table as a folder of versions. A version counts once its write has
     ended, so readers see the old one until then; the path that is read is never written.

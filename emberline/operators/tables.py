@@ -11,9 +11,22 @@ from pyspark.sql import types as T
 from .storage import written
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind)
+
+
 def comparable(value: Column, kind: T.DataType) -> Column:
-    """A value that can be compared and hashed: a map as its entries in order."""
-    return F.array_sort(F.map_entries(value)) if isinstance(kind, T.MapType) else value
+    """A value that can be compared and hashed: maps, wherever in it, as entries in order."""
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: comparable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(comparable(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    entry = lambda e: F.struct(e["key"].alias("key"), comparable(e["value"], kind.valueType).alias("value"))
+    return F.array_sort(F.transform(F.map_entries(value), entry))
 
 
 def free_names(df: DataFrame | list[str], *wanted: str) -> list[str]:

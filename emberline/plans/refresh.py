@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..operators.keyed import KeyedTable
-from ..operators.merge import VersionedTable, latest_ingestion, lineage_merge, snapshot_merge, upsert_merge
+from ..operators.merge import VersionedTable, lineage_merge, presence_merge, upsert_merge
 from ..operators.storage import discard, written
 from ..operators.tables import latest_per_key, sanitise_columns
 from ..sources import files, xml
+from ..sources.ledger import FileLedger
 from . import gold, silver
 
 
@@ -34,6 +35,20 @@ class StagesFailed(RuntimeError):
         self.errors = errors
 
 
+class MissingTable(LookupError):
+    """A table that a decision table is made from and that the lake doesn't have yet."""
+
+
+def _fire_files(spark: SparkSession, paths: list[str], now: Column, *, error: str) -> DataFrame:
+    return files.read_csv(spark, paths, now, schema=files.FIRE_CSV).withColumn(error, F.lit(None).cast("string"))
+
+
+def _road_files(spark: SparkSession, paths: list[str], now: Column, *, error: str) -> DataFrame:
+    rows = files.read_json(spark, paths, now, files.ROADS_JSON, error=error)
+    good = files.road_rows(rows.where(F.col(error).isNull()))
+    return good.unionByName(rows.where(F.col(error).isNotNull()).drop("elements"), allowMissingColumns=True)
+
+
 @dataclass
 class Lake:
     """Tables below one folder, refreshed from landing folders."""
@@ -53,21 +68,28 @@ class Lake:
 
     def raw(self, landing: dict[str, str]) -> None:
         """landing: folders by source, of weather, traffic, fires_nrt, fires_hist and roads.
-        Files that RAW has rows of aren't read again. Roads are a snapshot: the newest
-        file's rows replace the others."""
+        Files that the ledger has aren't read again; each is a snapshot of its own, in the
+        order in which they were changed. What can't be read is told in the status. Of roads
+        the newest file's rows replace the others."""
         self._all({f"raw_{s}": (lambda s=s, p=p: self._to_raw(s, p)) for s, p in landing.items()})
 
-    def _to_raw(self, name: str, path: str) -> None:
-        at, now = f"{self.path}/raw/{name}", self.now()
-        stored = files.read_raw(self.spark, at)
-        if name == "roads":
-            newest = files.latest_file(self.spark, path, "*.json")
-            if newest and (stored is None or stored.where(F.col("landing_source_path") == newest).isEmpty()):
-                files.write_raw(files.read_roads(self.spark, newest, now), at)
-            return
-        pattern, read = {"weather": ("*.json", files.read_json), "traffic": ("*.xml", xml.read_xml)}.get(name, ("*.csv", lambda *a: files.read_csv(*a, schema=files.FIRE_CSV)))
-        if found := files.new_files(self.spark, path, pattern, stored):
-            files.write_raw(read(self.spark, found, now), at, append=True)
+    def ledger(self) -> FileLedger:
+        return FileLedger(self.spark, f"{self.path}/ledger")
+
+    def _to_raw(self, name: str, path: str) -> str | None:
+        """What of the new files can't be read, if anything; the rest is in RAW."""
+        at, ledger = f"{self.path}/raw/{name}", self.ledger()
+        pattern, read = {"weather": ("*.json", files.read_json), "traffic": ("*.xml", xml.read_xml), "roads": ("*.json", _road_files)}.get(name, ("*.csv", _fire_files))
+        new = ledger.arrived(name, path, pattern, self.clock(), newest_only=name == "roads")
+        if new is None:
+            return None
+        rows = written(new.stamped(read(self.spark, new.paths, self.now(), error="error")), "arrived")
+        good = rows.where("error is null").drop("error")
+        if not good.isEmpty():
+            files.write_raw(good, at, append=name != "roads")
+        faults = ledger.note(new, rows)
+        discard(rows)
+        return "; ".join(faults) or None
 
     def to_bronze(self, name: str, raw: DataFrame) -> int:
         """The last row of each key, merged where something changed. Rows with a null key
@@ -97,8 +119,8 @@ class Lake:
         return self.table(name).merge(upsert_merge(rows, keys, self.now()))
 
     def silver(self) -> None:
-        """The traffic feed's last ingestion is its current snapshot; open incidents that it
-        lacks are closed."""
+        """An incident is closed when the first snapshot of the traffic feed was taken that
+        lacks it, and open again once a later one has it."""
         self._all({"silver_weather": self._weather, "silver_fires": self._fires, "silver_traffic": self._traffic, "silver_roads": self._roads})
 
     def _weather(self) -> None:
@@ -116,9 +138,9 @@ class Lake:
         feed = files.read_raw(self.spark, f"{self.path}/raw/traffic")
         if feed is None or (b := self.table("bronze_traffic").read()) is None:
             return
-        latest = F.lit(latest_ingestion(feed).first()[0]).cast("timestamp_ntz")
-        current = feed.where(F.col("ingestion_timestamp") == latest)
-        self.table("silver_traffic").merge(snapshot_merge(silver.traffic(b), current, "record_id", latest, self.now()))
+        seen = feed.groupBy("record_id").agg(F.max("ingestion_timestamp").alias("snapshot"))
+        gone = seen.join(self.ledger().snapshots("traffic"), "snapshot", "left").select("record_id", F.col("next").alias("gone_at"))
+        self.table("silver_traffic").merge(presence_merge(silver.traffic(b), gone, "record_id", self.now()))
 
     def _roads(self) -> None:
         if (b := self.table("bronze_roads").read()) is not None:
@@ -129,6 +151,11 @@ class Lake:
         fires, clusters, weather, incidents, roads = (t if t is None else t.drop("updated_source_file", "updated_timestamp") for t in stored.values())
         shared: dict[str, DataFrame] = {}
 
+        def need(*names: str) -> None:
+            missing = [f"silver_{n}" for n in names if stored[n] is None]
+            if missing:
+                raise MissingTable(f"{', '.join(missing)} must be made first")
+
         def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
             if name not in shared:
                 shared[name] = written(make(), name)
@@ -137,15 +164,16 @@ class Lake:
         near_roads = lambda: once("fire_roads", lambda: gold.fire_roads(fires, roads))
         at_roads = lambda: once("road_incidents", lambda: gold.road_incidents(roads, incidents))
         tables: dict[str, Callable[[], DataFrame]] = {
-            "gold_fire_risk": lambda: gold.fire_risk(fires, weather, as_of),
-            "gold_fire_evolution": lambda: gold.fire_evolution(fires, clusters),
-            "gold_fire_exposure": lambda: gold.fire_exposure(near_roads()),
-            "gold_fire_road_impact": lambda: gold.fire_road_impact(near_roads(), at_roads()),
-            "gold_evacuation_routes": lambda: gold.evacuation_routes(near_roads(), at_roads()),
+            "gold_fire_risk": lambda: need("fires", "weather") or gold.fire_risk(fires, weather, as_of),
+            "gold_fire_evolution": lambda: need("fires", "fire_clusters") or gold.fire_evolution(fires, clusters),
+            "gold_fire_exposure": lambda: need("fires", "roads") or gold.fire_exposure(near_roads()),
+            "gold_fire_road_impact": lambda: need("fires", "roads", "traffic") or gold.fire_road_impact(near_roads(), at_roads()),
+            "gold_evacuation_routes": lambda: need("fires", "roads", "traffic") or gold.evacuation_routes(near_roads(), at_roads()),
         }
 
         def traffic_impact() -> int:
             """Pairs of earlier refreshes stay; the one table that isn't made anew."""
+            need("fires", "traffic")
             name = "gold_fire_traffic_impact"
             stored = self.table(name)
             stored.create(gold.TRAFFIC_IMPACT)
@@ -167,11 +195,12 @@ class Lake:
         return out
 
     def _all(self, stages: dict[str, Callable[[], object]]) -> None:
+        """Runs stages one by one; the status of each is ok, failed or what it says itself."""
         errors: dict[str, Exception] = {}
         for name, run in stages.items():
             try:
-                run()
-                self.status[name] = "ok"
+                said = run()
+                self.status[name] = said if isinstance(said, str) else "ok"
             except Exception as e:
                 errors[name], self.status[name] = e, "failed"
         if errors:

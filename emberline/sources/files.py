@@ -20,9 +20,18 @@ def with_lineage(df: DataFrame, now: Column) -> DataFrame:
     return df.select("*", F.col("_metadata.file_name").alias("landing_source_file"), F.col("_metadata.file_path").alias("landing_source_path"), now.cast("timestamp_ntz").alias("ingestion_timestamp"))
 
 
-def read_json(spark: SparkSession, path: str | list[str], now: Column, schema: str | T.StructType = WEATHER_JSON) -> DataFrame:
-    """Rows of all JSON files below path, each an object or a list of objects."""
-    return with_lineage(spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path), now)
+def read_json(spark: SparkSession, path: str | list[str], now: Column, schema: str | T.StructType = WEATHER_JSON, *, error: str | None = None) -> DataFrame:
+    """Rows of all JSON files below path, each an object or a list of objects. error: a
+    column of that name says what of a file isn't JSON, null for its rows."""
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if error:
+        wanted = T.StructType([*wanted.fields, T.StructField(error, T.StringType())])
+    reader = spark.read.schema(wanted).option("multiLine", True).option("recursiveFileLookup", True)
+    rows = with_lineage((reader.option("columnNameOfCorruptRecord", error) if error else reader).json(path), now)
+    if not error:
+        return rows
+    read = F.when(F.col(f"`{wanted.names[0]}`").isNull(), F.lit("nothing")).otherwise(F.lit("a part"))
+    return rows.withColumn(error, F.when(F.col(error).isNotNull(), F.concat(F.lit("not JSON, "), read, F.lit(" of it is read"))))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], now: Column, schema: str | T.StructType | None = None) -> DataFrame:
@@ -53,15 +62,6 @@ def write_raw(df: DataFrame, path: str, *, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").parquet(path)
 
 
-def new_files(spark: SparkSession, path: str, pattern: str, loaded: DataFrame | None) -> list[str]:
-    """Paths of the files below path that no row of loaded came from (landing_source_path):
-    a listing, without the files' contents, and only a run's new files reach the driver."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path")
-    if loaded is not None:
-        files = files.join(loaded.select(F.col("landing_source_path").alias("path")).distinct(), "path", "left_anti")
-    return sorted(r.path for r in files.collect())
-
-
 def latest_file(spark: SparkSession, path: str, pattern: str = "*") -> str | None:
     """The path of the file below path that was changed last, by name among equals."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "modificationTime")
