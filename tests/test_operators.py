@@ -181,8 +181,14 @@ def test_names_and_unnest(spark):
     assert [(r["_t"], r.t) for r in clash.collect()] == [(9, "p"), (9, "q")]
 
 
-def test_profile(spark):
+def test_profile(spark, monkeypatch):
     df = spark.createDataFrame([(1, float("nan")), (2, 3.0), (2, None)], "a int, b double")
     got = {r.column_name: r for r in audit.column_profile(df).collect()}
     assert (got["b"].null_count, got["b"].max_value, got["a"].distinct_count) == (2, "3.0", 2)
+    assert audit.column_profile(df.where("false")).select("column_name", "distinct_count").collect() == [("a", 0), ("b", 0)]
+    monkeypatch.setattr(audit, "KEPT_VALUES", 7)
+    wide = spark.range(500).selectExpr("id % 20 as few", "id as many", "if(id % 3 = 0, null, id % 11) as some", "map('k', id % 5) as m", "if(id % 2 = 0, 0.0d, -0.0d) as zero")
+    profile = audit.column_profile(wide)
+    assert {r.column_name: r.distinct_count for r in profile.collect()} == {"few": 20, "many": 500, "some": 11, "m": 5, "zero": 1}
+    assert "Expand" not in profile._jdf.queryExecution().optimizedPlan().toString()
     assert audit.key_audit(df, ["a"]).first().duplicate_rows == 1
