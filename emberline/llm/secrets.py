@@ -216,7 +216,7 @@ def find_secrets(docs: DataFrame, *, least_guesses: float = 10.0, id_col: str =
     asked = found.where(F.size("asked") > 0).select("uid", F.explode("asked").alias("a")).select("uid", "a.*")
     base = F.col("base").cast("array<struct<start:int,kind:int,end:int>>")
     out = found.select("uid", "doc_id", "n_assign", "n_access", "n_hex", base.alias("spans"))
-    values = written(asked.groupBy("value").agg(F.count("*").alias("n")), "values")
+    values = written(asked.groupBy("value").agg(F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()), "values")
     if values.isEmpty():
         return out.select("doc_id", "n_assign", "n_access", "n_hex", "spans", F.lit(0).cast("long").alias("n_guess"))
     secret = _judged(rows, asked, values, least_guesses)
@@ -235,7 +235,7 @@ def _runs(text: str) -> Column:
 def _judged(rows: DataFrame, asked: DataFrame, values: DataFrame, least: float) -> DataFrame:
     """(value, n): the values that take 10 ** least guesses or more."""
     cut = F.udf(pieces, "array<string>", useArrow=True)
-    parts = written(values.select("value", F.explode(cut("value")).alias("word")), "pieces")
+    parts = written(values.select("number", F.explode(cut("value")).alias("word")), "pieces")  # no row holds a long value
     wanted = written(parts.groupBy("word").agg(F.count("*").alias("n")), "wanted")
     held = asked.select(F.explode(_runs("value")).alias("word")).groupBy("word").agg(F.count("*").alias("inside"))
     counts = rows.select(F.explode(_runs("text")).alias("word")).groupBy("word").agg(F.count("*").alias("all"))
@@ -245,8 +245,8 @@ def _judged(rows: DataFrame, asked: DataFrame, values: DataFrame, least: float)
     known = counts.join(wanted, "word").join(held, "word", "left").where(outside > 0).select("word", "n", F.log10(F.lit(float(total)) / outside).alias("cost"))
     known = written(known, "known")
     met = lookup(parts, known, ["word"], total=known.agg(F.sum("n")).first()[0] or 0, how="inner") if not known.isEmpty() else parts.where("false").withColumn("cost", F.lit(0.0))
-    lists = met.groupBy("value").agg(F.collect_list("word").alias("words"), F.collect_list("cost").alias("costs"))
+    lists = met.groupBy("number").agg(F.collect_list("word").alias("words"), F.collect_list("cost").alias("costs"))
     cost = F.udf(lambda v, w, c: guess_cost(v, dict(zip(w or [], c or [], strict=True))), "double", useArrow=True)
-    done = written(values.join(lists, "value", "left").withColumn("cost", cost("value", "words", "costs")).where(F.col("cost") >= least).select("value", "n"), "secrets")
+    done = written(values.join(lists, "number", "left").withColumn("cost", cost("value", "words", "costs")).where(F.col("cost") >= least).select("value", "n"), "secrets")
     discard(parts, wanted, counts, known)
     return done
