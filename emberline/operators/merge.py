@@ -231,10 +231,26 @@ class VersionedTable:
     """A Parquet table as a folder of versions. A version counts once its write has
     ended, so readers see the old one until then; the path that is read is never written.
     The last `keep` versions stay. Of two writers that start from one version, one fails:
-    a version is never overwritten."""
-
-    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+    a version is never overwritten. name: the table's name in the catalog (database.table),
+    under which spark.table and SQL read the last version."""
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3, name: str | None = None):
+        self.spark, self.path, self.keep, self.name = spark, path.rstrip("/"), keep, name
+
+    def _publish(self, version: int) -> None:
+        """Points the catalog's table at a version. A table of the same columns is moved, so
+        readers find one all the time; another one is declared anew."""
+        name = ".".join(map(quoted, self.name.split(".")))
+        if "." in self.name:
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {name.rpartition('.')[0]}")
+        at = f"{self.path}/v{version}"
+        if self.spark.catalog.tableExists(self.name):
+            if self.spark.table(name).schema == self.spark.read.parquet(at).schema:
+                self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{at}'")
+                self.spark.catalog.refreshTable(name)
+                return
+            self.spark.sql(f"DROP TABLE {name}")  # its files are the folder's own and stay
+        self.spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{at}'")
 
     def _folders(self) -> list[tuple[int, bool]]:
         """Version numbers in order, and whether each was written to its end."""
@@ -265,6 +281,8 @@ class VersionedTable:
         found = self._folders()
         version = found[-1][0] + 1 if found else 0  # not that of a write that broke off either
         df.write.mode("errorifexists").parquet(f"{self.path}/v{version}")
+        if self.name:
+            self._publish(version)
         kept = [v for v, whole in found if whole][-(self.keep - 1) :] if self.keep > 1 else []
         for old, _ in found:
             if old < min(kept, default=version):
@@ -278,4 +296,6 @@ class VersionedTable:
         return self.write(merge(self.read(), source))
 
     def drop(self) -> None:
+        if self.name and self.spark.catalog.tableExists(self.name):
+            self.spark.sql(f"DROP TABLE {'.'.join(map(quoted, self.name.split('.')))}")
         delete_folder(self.spark, self.path)

@@ -3,6 +3,7 @@ they derive; times leave as seconds, so that no zone matters."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,13 @@ from ..functions.temporal import detection_time, epoch_s
 from ..operators import audit, merge, spatial, tables
 from ..operators.keyed import KeyedTable
 from ..operators.storage import shared_dir
+from ..sources import files
 from ..sources.files import ROADS_JSON, road_rows
 from ..sources.grid import weather_grid as grid_points
 from ..sources.xml import flatten_xml
 from ..streaming.upsert import replay
 from . import gold, silver
+from .declared import FIRE_EXPOSURE, decision_table
 from .derived import AS_OF, FIRES, FORECAST, INCIDENTS, ROADS, fires, forecast, incidents, km, ntz, roads, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,9 +272,55 @@ def table_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.row_counts({t: table(spark, sf_dir, t) for t in INVENTORY})
 
 
-@query("SELECT round(36.0::DOUBLE + i * (7.5::DOUBLE / 39), 2) AS latitude, round(-9.0::DOUBLE + j * (12.5::DOUBLE / 54), 2) AS longitude FROM range(40) a(i), range(55) b(j) UNION ALL SELECT round(27.6::DOUBLE + i * ((29.4::DOUBLE - 27.6::DOUBLE) / 9), 2), round(-18.1::DOUBLE + j * ((-13.3::DOUBLE - -18.1::DOUBLE) / 29), 2) FROM range(10) a(i), range(30) b(j)")
+GRID = "SELECT round(36.0::DOUBLE + i * (7.5::DOUBLE / 39), 2) AS latitude, round(-9.0::DOUBLE + j * (12.5::DOUBLE / 54), 2) AS longitude FROM range(40) a(i), range(55) b(j) UNION ALL SELECT round(27.6::DOUBLE + i * ((29.4::DOUBLE - 27.6::DOUBLE) / 9), 2), round(-18.1::DOUBLE + j * ((-13.3::DOUBLE - -18.1::DOUBLE) / 29), 2) FROM range(10) a(i), range(30) b(j)"
+
+
+@query(f"WITH {FIRES}, g AS ({GRID}) SELECT latitude, longitude, count(event_id) AS fires FROM g LEFT JOIN fires ON lat BETWEEN latitude - 0.1::DOUBLE AND latitude + 0.1::DOUBLE AND lon BETWEEN longitude - 0.1::DOUBLE AND longitude + 0.1::DOUBLE GROUP BY ALL")
 def weather_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid_points(spark)
+    """The points that forecasts are asked for, with how many fires are around each."""
+    around = spatial.box_join(grid_points(spark), fires(spark, sf_dir).select("event_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), spatial.Box(0.1, 0.1), ("latitude", "longitude"), ("lat", "lon"))
+    counts = around.groupBy("latitude", "longitude").agg(F.count("*").alias("fires"))
+    return grid_points(spark).join(counts, ["latitude", "longitude"], "left").select("latitude", "longitude", F.coalesce("fires", F.lit(0)).alias("fires"))
+
+
+@query("SELECT o_orderkey AS latitude_e3, floor(epoch(o_orderdate) / 86400)::BIGINT AS day, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice END AS frp, o_orderstatus AS confidence, NULL::VARCHAR AS satellite FROM orders")
+def csv_landing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as detections in CSV files, read with the declared columns (a number that
+    isn't any is null, as is a column that the files lack) into RAW and back."""
+    o = table(spark, sf_dir, "orders")
+    text = F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice").cast("string")).otherwise("n/a")
+    work = shared_dir(spark, "landing")
+    o.select((F.col("o_orderkey") / 1000).alias("latitude"), F.col("o_orderdate").cast("date").alias("acq_date"), text.alias("frp"), F.col("o_orderstatus").alias("confidence")).write.option("header", True).csv(f"{work}/fires/2024/01")
+    files.write_raw(files.read_csv(spark, f"{work}/fires", ntz(AS_OF), files.FIRE_CSV), f"{work}/raw")
+    raw = files.read_raw(spark, f"{work}/raw")
+    return raw.select(F.round(F.col("latitude") * 1000).cast("long").alias("latitude_e3"), F.floor(epoch_s(F.col("acq_date")) / 86400).cast("long").alias("day"), "frp", "confidence", "satellite")
+
+
+@query("SELECT c_custkey AS id, h AS hour, c_acctbal AS temperature, CASE WHEN h < 2 THEN c_nationkey END AS humidity FROM customer, range(3) r(h)")
+def json_landing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as forecasts in JSON files, taken to RAW rows, then to a row an hour."""
+    c = table(spark, sf_dir, "customer")
+    hourly = F.struct(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda h: F.concat(F.lit("2024-01-15T0"), h, F.lit(":00"))).alias("time"), F.array_repeat("c_acctbal", 3).alias("temperature_2m"), F.array_repeat("c_nationkey", 2).alias("relative_humidity_2m"))
+    work = shared_dir(spark, "landing")
+    point = F.struct(F.col("c_custkey").alias("elevation"), F.lit(40.0).alias("latitude"), hourly.alias("hourly"))
+    c.groupBy(F.floor(F.col("c_custkey") / 500)).agg(F.to_json(F.collect_list(point)).alias("value")).select("value").write.text(f"{work}/weather/2024")
+    files.write_raw(files.read_json(spark, f"{work}/weather", ntz(AS_OF)), f"{work}/raw")
+    raw = files.read_raw(spark, f"{work}/raw")
+    arrays = {n: F.col(f"hourly.{n}") for n in ("time", "temperature_2m", "relative_humidity_2m")}
+    hours = tables.unnest_parallel(raw, arrays, ["elevation"], index="hour", driver="time")
+    return hours.select(F.col("elevation").cast("long").alias("id"), F.col("hour").cast("long").alias("hour"), F.col("temperature_2m").alias("temperature"), F.col("relative_humidity_2m").alias("humidity"))
+
+
+@query(f"WITH {FIRES}, {ROADS}, {NEAR_ROADS} SELECT fire_id AS fire_detection_id, way AS osm_way_id, lanes::INT AS lanes_count, round(d, 6) AS distance_to_fire_km, NULL::VARCHAR AS road_name, '{AS_OF[:10]}' AS updated FROM m WHERE d <= 5")
+def declared_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposures inserted into a table of the declared columns, and read by its name."""
+    name = f"emberline_q.exposure_{uuid.uuid4().hex[:8]}"
+    stored = merge.VersionedTable(spark, shared_dir(spark, "exposure"), name=name)
+    stored.create(FIRE_EXPOSURE)
+    near = gold.fire_exposure(gold.fire_roads(fires(spark, sf_dir), roads(spark, sf_dir))).where("exposure_level = 'HIGH'")
+    stored.write(decision_table("gold_fire_exposure", near.withColumn("gold_updated_at", F.lit(AS_OF).cast("timestamp"))))
+    out = spark.table(name)
+    return out.select("fire_detection_id", "osm_way_id", "lanes_count", F.round("distance_to_fire_km", 6).alias("distance_to_fire_km"), "road_name", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
 @query("SELECT o_orderkey::VARCHAR AS record_id, o_orderpriority AS severity, o_totalprice::VARCHAR AS first_price, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS status FROM orders")

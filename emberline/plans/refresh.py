@@ -21,6 +21,7 @@ from ..operators.tables import latest_per_key, sanitise_columns
 from ..sources import files, xml
 from ..sources.ledger import FileLedger
 from . import gold, silver
+from .declared import decision_table
 
 
 #: Keys of the tables that loads are merged into.
@@ -51,17 +52,21 @@ def _road_files(spark: SparkSession, paths: list[str], now: Column, *, error: st
 
 @dataclass
 class Lake:
-    """Tables below one folder, refreshed from landing folders."""
+    """Tables below one folder, refreshed from landing folders. database: the catalog's
+    database in which tables that are made anew each time can be read by name."""
 
     spark: SparkSession
     path: str
+    database: str | None = None
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc).replace(tzinfo=None)
     status: dict[str, str] = field(default_factory=dict)
 
     def table(self, name: str) -> VersionedTable | KeyedTable:
         """A table that loads are merged into, or one that is made anew each time."""
         at = f"{self.path}/{name}"
-        return KeyedTable(self.spark, at, MERGED[name]) if name in MERGED else VersionedTable(self.spark, at)
+        if name in MERGED:
+            return KeyedTable(self.spark, at, MERGED[name])
+        return VersionedTable(self.spark, at, name=self.database and f"{self.database}.{name}")
 
     def now(self) -> Column:
         return F.lit(self.clock()).cast("timestamp_ntz")
@@ -165,7 +170,7 @@ class Lake:
         at_roads = lambda: once("road_incidents", lambda: gold.road_incidents(roads, incidents))
         tables: dict[str, Callable[[], DataFrame]] = {
             "gold_fire_risk": lambda: need("fires", "weather") or gold.fire_risk(fires, weather, as_of),
-            "gold_fire_evolution": lambda: need("fires", "fire_clusters") or gold.fire_evolution(fires, clusters),
+            "gold_fire_evolution": lambda: need("fires", "fire_clusters") or gold.fire_evolution(stored["fires"], clusters),
             "gold_fire_exposure": lambda: need("fires", "roads") or gold.fire_exposure(near_roads()),
             "gold_fire_road_impact": lambda: need("fires", "roads", "traffic") or gold.fire_road_impact(near_roads(), at_roads()),
             "gold_evacuation_routes": lambda: need("fires", "roads", "traffic") or gold.evacuation_routes(near_roads(), at_roads()),
@@ -179,7 +184,7 @@ class Lake:
             stored.create(gold.TRAFFIC_IMPACT)
             return stored.merge(gold.traffic_impact_merge(gold.fire_traffic_impact(fires, incidents).withColumn("gold_updated_at", self.now())))
 
-        stages = {n: (lambda n=n, t=t: self.table(n).write(t().withColumn("gold_updated_at", self.now()))) for n, t in tables.items()}
+        stages = {n: (lambda n=n, t=t: self.table(n).write(decision_table(n, t().withColumn("gold_updated_at", self.now())))) for n, t in tables.items()}
         try:
             self._all({**stages, "gold_fire_traffic_impact": traffic_impact})
         finally:
