@@ -418,15 +418,24 @@ def _stars(edges: np.ndarray) -> np.ndarray:
     return np.stack([nodes, nodes[label]], axis=1)[label != np.arange(len(nodes))]
 
 
+#: Bits of so few shingles deviate too far to tell similar sets, which are counted at once.
+SMALL_SET = 30
+
+
 def _meetings(rows: list[np.ndarray], similarity: float, radius: int, few: int = 32) -> np.ndarray:
     """Edges that join the members (key, node, fp, word, n) of one key that could be
-    similar: by 128 bits and by size. rows: whole runs of equal keys."""
+    similar: by size, and by 128 bits unless one is a small set. rows: whole runs of equal
+    keys."""
     cuts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
     bounds = np.concatenate([[0], cuts, [len(rows[0])]])
     size = np.diff(bounds)
     found = [np.zeros((0, 2), np.int64)]
     for i in np.flatnonzero(size > few):
-        _, node, fp, word, _ = (x[bounds[i] : bounds[i + 1]] for x in rows)
+        _, node, fp, word, n = (x[bounds[i] : bounds[i + 1]] for x in rows)
+        small = np.flatnonzero(n < SMALL_SET)
+        small = small[np.argsort(n[small], kind="stable")]
+        close = n[small[:-1]] >= similarity * n[small[1:]] - 1e-9
+        found.append(np.stack([node[small[:-1]], node[small[1:]]], axis=1)[close])
         found.append(np.array(_forest([fp.view(np.uint64), word.view(np.uint64)], node, [BITS, radius]), np.int64).reshape(-1, 2))
     own = np.repeat((size > 1) & (size <= few), size)
     key, node, fp, word, n = (x[own] for x in rows)
@@ -435,7 +444,8 @@ def _meetings(rows: list[np.ndarray], similarity: float, radius: int, few: int =
         if not len(i):
             break
         apart = np.bitwise_count((fp[i] ^ fp[i + d]).view(np.uint64)).astype(np.int16) + np.bitwise_count((word[i] ^ word[i + d]).view(np.uint64))
-        i = i[(apart <= radius) & (np.minimum(n[i], n[i + d]) >= similarity * np.maximum(n[i], n[i + d]) - 1e-9)]
+        least = np.minimum(n[i], n[i + d])
+        i = i[((apart <= radius) | (least < SMALL_SET)) & (least >= similarity * np.maximum(n[i], n[i + d]) - 1e-9)]
         found.append(np.stack([node[i], node[i + d]], axis=1))
     return _stars(np.concatenate(found))
 
@@ -449,7 +459,7 @@ def _overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 def similar_groups(sets: list[np.ndarray], words: list[np.ndarray], similarity: float, radius: int) -> np.ndarray:
     """For each set the place of the first one reachable over links of at least the exact
-    similarity (shared hashes over all hashes of both) within `radius` of the words' bits."""
+    similarity (shared hashes over all hashes of both) within `radius` of the words' bits, which small sets needn't be."""
     root, size = np.arange(len(sets)), np.array([len(x) for x in sets])
     rest = root.copy()
     while len(rest):
@@ -457,8 +467,9 @@ def similar_groups(sets: list[np.ndarray], words: list[np.ndarray], similarity:
         while queue and len(rest):
             i = queue.pop()
             apart = sum(np.bitwise_count(w[rest] ^ w[i]).astype(np.int16) for w in words)
-            fits = np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9
-            near = np.flatnonzero((apart <= radius) & fits)
+            least = np.minimum(size[rest], size[i])
+            fits = least >= similarity * np.maximum(size[rest], size[i]) - 1e-9
+            near = np.flatnonzero(((apart <= radius) | (least < SMALL_SET)) & fits)
             gone = []
             for at in range(0, len(near), 1024):
                 some = near[at : at + 1024]
@@ -487,9 +498,10 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, rad
 
     Two sets of the similarity share one of their rarest shingles (see rare_shingles), so
     texts meet there, which loses none. What meets and differs in up to `radius` of 128
-    bits of SimHash joins a candidate group; the radius is far beyond what a similarity of
-    0.8 differs in (19, deviation 4) and keeps texts apart that share a common passage
-    alone (64, deviation 6). Shingles that a sample finds in about hot_key texts or more
+    bits of SimHash, or has under SMALL_SET shingles, joins a candidate group; the radius is
+    far beyond what a similarity of 0.8 differs in (19, deviation 4; the chance of more than
+    46 is below one in a billion from 30 shingles on) and keeps texts apart that share a
+    common passage alone (64, deviation 6). Shingles that a sample finds in about hot_key texts or more
     aren't gathered: all their texts join one group. Groups are then split exactly by
     their shingles (see split_groups), group_size shingles at most in a task.
     """
@@ -674,8 +686,9 @@ def split_groups(source: DataFrame, members: DataFrame, *, width: int, similarit
                 arrays = [np.array([h[i] for h in held], np.int64) for i in range(3)] + [np.array([len(h[3]) for h in held])]
             labels_, fps, words, n_ = arrays
             apart = np.bitwise_count((fps ^ fp).view(np.uint64)).astype(np.int16) + np.bitwise_count((words ^ word).view(np.uint64))
-            fits = np.minimum(n_, len(own)) >= similarity * np.maximum(n_, len(own)) - 1e-9
-            for i in np.flatnonzero((labels_ != label) & (apart <= radius) & fits):
+            least = np.minimum(n_, len(own))
+            fits = least >= similarity * np.maximum(n_, len(own)) - 1e-9
+            for i in np.flatnonzero((labels_ != label) & ((apart <= radius) | (least < SMALL_SET)) & fits):
                 a, b = find(int(labels_[i])), find(label)
                 if a == b or not len(own):
                     continue

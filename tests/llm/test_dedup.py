@@ -43,3 +43,25 @@ def test_hot_groups_by_brute_force(spark, group_size, hot_key):
     assert sizes.max() > 60 and len(sizes) > 70
     got = sorted(r.doc_id for r in simhash.one_of_each(docs, group_size=group_size, hot_key=hot_key).collect())
     assert got == sorted(set(root))
+
+
+def test_small_sets_are_not_filtered_by_bits(spark):
+    """Texts of 4 to 29 shingles, many with one rare shingle, and no bit that may differ: all
+    links of 0.8 are found all the same."""
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{rng.integers(0, 10**6)}"
+    texts = []
+    for g in range(60):
+        base = [word() for _ in range(int(rng.integers(8, 30)))]
+        for _ in range(4):
+            own = list(base)
+            if rng.random() < 0.7:
+                own[-1 if rng.random() < 0.5 else 0] = word()
+            texts.append(own + ([word()] if rng.random() < 0.5 else []))
+        texts.append(base)
+    shared = [word() for _ in range(5)]
+    texts += [shared + [word() for _ in range(int(rng.integers(0, 4)))] for _ in range(40)]  # one shingle in 40 texts
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    want = brute_near_groups([" ".join(t) for t in texts])
+    kept = {r.doc_id for r in simhash.one_of_each(docs, radius=0).collect()}
+    assert len(kept) == len(set(want)) < len(texts) - 60 and len({want[i] for i in kept}) == len(kept)
