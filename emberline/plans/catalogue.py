@@ -18,6 +18,7 @@ from ..sources import files
 from ..sources.files import ROADS_JSON, road_rows
 from ..sources.grid import weather_grid as grid_points
 from ..sources.xml import flatten_xml
+from ..streaming import snapshots
 from ..streaming.upsert import replay
 from . import gold, silver
 from .declared import FIRE_EXPOSURE, decision_table
@@ -358,8 +359,11 @@ def latest_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.latest_ingestion(feed).select(epoch_s(F.col("latest_ingestion")).alias("latest_s"))
 
 
-@query(f"""WITH {INCIDENTS}, k AS (SELECT *, id::BIGINT AS n FROM incidents)
-SELECT id AS record_id, floor(epoch(CASE WHEN e IS NOT NULL THEN e WHEN n % 5 <> 0 THEN NULL WHEN n % 3 = 1 THEN TIMESTAMP '2024-02-02 00:00:00' ELSE TIMESTAMP '2024-02-03 00:00:00' END))::BIGINT AS end_s FROM k""")
+CLOSURE = f"""WITH {INCIDENTS}, k AS (SELECT *, id::BIGINT AS n FROM incidents)
+SELECT id AS record_id, floor(epoch(CASE WHEN e IS NOT NULL THEN e WHEN n % 5 <> 0 THEN NULL WHEN n % 3 = 1 THEN TIMESTAMP '2024-02-02 00:00:00' ELSE TIMESTAMP '2024-02-03 00:00:00' END))::BIGINT AS end_s FROM k"""
+
+
+@query(CLOSURE)
 def lake_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three days of a feed: what a day's snapshot lacks is closed, stays closed at that
     time, and opens again if a later snapshot has it."""
@@ -375,6 +379,26 @@ def lake_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, loads, ["record_id"]).select("record_id", epoch_s(F.col("end_timestamp")).alias("end_s"))
 
 
+@query(CLOSURE)
+def stream_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same three days as XML documents, a few to a snapshot, read as a stream."""
+    number = F.col("record_id").cast("long")
+    here = [number % 3 != 0, number % 3 != 1, number % 5 != 0]
+    rows = incidents(spark, sf_dir).select("record_id", "end_timestamp", F.explode(F.array_compact(F.array(*(F.when(h, F.lit(d)) for d, h in enumerate(here))))).alias("day"))
+    end = F.coalesce(F.concat(F.lit("<end>"), F.date_format("end_timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("</end>")), F.lit(""))
+    one = F.concat(F.lit('<situationRecord id="'), "record_id", F.lit('"><n>1</n>'), end, F.lit("</situationRecord>"))
+    parts = rows.groupBy("day", F.floor(number / 8000).alias("part")).agg(F.array_join(F.collect_list(one), "").alias("all"))
+    time = F.concat(F.lit("<feed><time>2024-02-0"), F.col("day") + 1, F.lit("T00:00:00</time>"))
+    work = shared_dir(spark, "snapshots")
+    parts.repartition("day", "part").select(F.concat(time, "all", F.lit("</feed>")).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{work}/landing")
+    published = F.try_to_timestamp(F.regexp_extract(F.col("content").cast("string"), "<time>(.*?)</time>", 1))
+    documents = snapshots.document_stream(spark, f"{work}/landing", pattern="part-*")
+    snapshots.snapshot_stream(documents, f"{work}/table", f"{work}/checkpoint", published).awaitTermination()
+    found = snapshots.presence(spark, f"{work}/table")
+    own = F.try_to_timestamp(F.col("values")["end"]).cast("timestamp_ntz")
+    return found.select("record_id", epoch_s(F.coalesce(own, "gone_at")).alias("end_s"))
+
+
 @query("""WITH a AS (SELECT event_id, user_id, 1 AS refresh, value FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id, user_id, 2 AS refresh, value * 2 AS value FROM events WHERE event_id % 3 = 0)
 SELECT event_id::VARCHAR AS fire_detection_id, user_id::VARCHAR AS traffic_incident_id, refresh, value AS distance_km FROM b UNION ALL SELECT event_id::VARCHAR, user_id::VARCHAR, refresh, value FROM a WHERE event_id % 3 <> 0""")
 def gold_traffic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
