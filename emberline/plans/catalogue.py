@@ -304,7 +304,7 @@ def json_landing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = F.struct(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda h: F.concat(F.lit("2024-01-15T0"), h, F.lit(":00"))).alias("time"), F.array_repeat("c_acctbal", 3).alias("temperature_2m"), F.array_repeat("c_nationkey", 2).alias("relative_humidity_2m"))
     work = shared_dir(spark, "landing")
     point = F.struct(F.col("c_custkey").alias("elevation"), F.lit(40.0).alias("latitude"), hourly.alias("hourly"))
-    c.groupBy(F.floor(F.col("c_custkey") / 500)).agg(F.to_json(F.collect_list(point)).alias("value")).select("value").write.text(f"{work}/weather/2024")
+    c.groupBy(F.floor(F.col("c_custkey") / 500)).agg(F.to_json(F.collect_list(point)).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(f"{work}/weather/2024")
     files.write_raw(files.read_json(spark, f"{work}/weather", ntz(AS_OF)), f"{work}/raw")
     raw = files.read_raw(spark, f"{work}/raw")
     arrays = {n: F.col(f"hourly.{n}") for n in ("time", "temperature_2m", "relative_humidity_2m")}
