@@ -53,6 +53,9 @@ class Manifest:
     buckets: int
     segments: tuple[Segment, ...] = field(default=())
 
+    def folders(self) -> set[str]:
+        return {p.split("/")[0] for s in self.segments for p in (s.path, *s.dead)}
+
     def text(self) -> str:
         return json.dumps(asdict(self))
 
@@ -68,7 +71,8 @@ class KeyedTable:
     first; a bucket should hold a file or a few (rows_a_file). dead_share, most_segments:
     when a bucket is rewritten. The last `keep` versions can be read; files that none of
     them names are deleted. Rows of a null key are dealt to buckets by all their columns.
-    Of two writers that start from one version one gets VersionConflict."""
+    Of two writers that start from one version one gets VersionConflict; the files that it
+    wrote stay, as no version names them, until the table is dropped."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], *, buckets: int = 16, keep: int = 3, dead_share: float = 0.25, most_segments: int = 16, rows_a_file: int = 1_000_000):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
@@ -125,13 +129,11 @@ class KeyedTable:
         old, kept = found[: -self.keep], found[-self.keep :]
         if not old:
             return
-        folders = lambda m: {p.split("/")[0] for s in m.segments for p in (s.path, *s.dead)}
-        used = set().union(*(folders(self.manifest(v)) for v in kept))
-        gone = set().union(*(folders(self.manifest(v)) for v in old)) - used
+        used = set().union(*(self.manifest(v).folders() for v in kept))
+        gone = set().union(*(self.manifest(v).folders() for v in old)) - used
         for v in old:
             delete_folder(self.spark, f"{self.path}/manifests/{v:012d}.json")
-        for name in gone:
-            delete_folder(self.spark, f"{self.path}/{name}")
+        self._drop_folders(gone)
 
     # Reading
 
@@ -178,28 +180,27 @@ class KeyedTable:
 
     _buckets_there: int | None = None
 
-    def _store(self, df: DataFrame) -> list[Segment]:
-        """Writes rows as segments, in order of the key."""
+    def _store(self, df: DataFrame, *, stored: bool = False) -> list[Segment]:
+        """Writes rows as segments, in order of the key. stored: df reads a stored table."""
         name = f"rows-{uuid.uuid4().hex}"
         (bucket,) = free_names(df, "_bucket")
-        stored = written(df.withColumn(bucket, self._bucket(df)), "load")
-        sizes = {r[0]: r[1] for r in stored.groupBy(bucket).count().collect()}  # a row for each bucket
-        if not sizes:
+        rows = df.withColumn(bucket, self._bucket(df))
+        rows = rows if stored else written(rows, "load")
+        first, prunes = F.col(quoted(self.keys[0])), isinstance({f.name: f.dataType for f in df.schema}.get(self.keys[0]), (T.IntegralType, T.StringType))
+        ends = (F.min(first), F.max(first)) if prunes else (F.lit(None), F.lit(None))
+        facts = {r[0]: tuple(r)[1:] for r in rows.groupBy(bucket).agg(F.count("*"), *ends).collect()}  # a row for each bucket
+        if not facts:
             return []
-        files = max(1, -(-max(sizes.values()) // self.rows_a_file))
+        files = max(1, -(-max(f[0] for f in facts.values()) // self.rows_a_file))
         spread = F.pmod(F.xxhash64(*(F.col(quoted(k)) for k in self.keys), F.lit("file")), F.lit(files)) if files > 1 else F.lit(0)
-        dealt = stored.repartition(min(len(sizes) * files, 2000), F.col(bucket), spread).sortWithinPartitions(bucket, *map(quoted, self.keys))
+        dealt = rows.repartition(min(len(facts) * files, 2000), F.col(bucket), spread).sortWithinPartitions(bucket, *map(quoted, self.keys))
         dealt.write.partitionBy(bucket).parquet(f"{self.path}/{name}")
-        first = F.col(quoted(self.keys[0]))
-        prunes = isinstance(df.schema[self.keys[0]].dataType, (T.IntegralType, T.StringType)) if self.keys[0] in df.columns else False
-        ends = {r[0]: (r[1], r[2]) for r in stored.groupBy(bucket).agg(F.min(first), F.max(first)).collect()} if prunes else {}
-        discard(stored)
+        discard(rows)
         out = []
-        for b, n in sorted(sizes.items()):
+        for b, (n, least, greatest) in sorted(facts.items()):
             folder = f"{name}/{bucket}={b}"
             files_, at = self._hadoop(f"{self.path}/{folder}")
-            size = files_.getContentSummary(at).getLength()
-            out.append(Segment(b, folder, n, size, *ends.get(b, (None, None))))
+            out.append(Segment(b, folder, n, files_.getContentSummary(at).getLength(), least, greatest))
         return out
 
     def create(self, schema: str | T.StructType) -> bool:
@@ -253,13 +254,19 @@ class KeyedTable:
         rows = written(reduce(DataFrame.unionByName, changed), "changed") if changed else None
         if met is not None:
             discard(met)
-        if rows is None or rows.isEmpty():
+        made = [] if rows is None else self._store(rows.drop(file, row), stored=True)
+        if not made:
             return found.version
-        made = self._store(rows.drop(file, row))
         segments = [*self._dead(found, rows, file, row), *made]
         discard(rows)
         next_ = replace(found, version=found.version + 1, schema=kind.json(), segments=tuple(segments))
-        return self._commit(self._rewritten(next_))
+        last = self._rewritten(next_)
+        self._drop_folders(next_.folders() - last.folders() - found.folders())  # rewritten at once
+        return self._commit(last)
+
+    def _drop_folders(self, names: set[str]) -> None:
+        for name in names:
+            delete_folder(self.spark, f"{self.path}/{name}")
 
     def _touched(self, found: Manifest, load: Merge, schema: T.StructType) -> list[Segment]:
         """The segments that may hold a key of the load."""

@@ -44,7 +44,7 @@ def test_merges_are_those_of_whole_tables(spark, tmp_path):
     table = KeyedTable(spark, f"file://{tmp_path}/t", ["k", "n"], buckets=3, most_segments=3)
     whole, schema = None, "k string, n int, `a.b` string, landing_source_file string, ingestion_timestamp timestamp_ntz"
     for day in range(6):
-        keys = {(rng.choice(["x", "y", "ü", None]), rng.randrange(12)) for _ in range(14)}
+        keys = sorted({(rng.choice(["x", "y", "ü", None]), rng.randrange(12)) for _ in range(14)}, key=repr)
         load = spark.createDataFrame([(*k, rng.choice("pq"), f"f{day}", dt.datetime(2024, 1, day + 1)) for k in keys], schema)
         if day == 4:
             load = load.withColumn("more", F.lit(day))
