@@ -13,8 +13,8 @@ XML = """<d:feed xmlns:d="urn:x"><d:situationRecord id="r1"><d:latitude>40.1</d:
 
 
 def test_xml_first_value_wins():
-    assert xml.records_of(XML.encode()) == [("r1", {"latitude": "40.1", "longitude": "-3.7", "overallStartTime": "2024-01-01T10:00:00"})]
-    assert xml.records_of(b"<broken") == []
+    assert list(xml.records_of(XML.encode())) == [("r1", {"latitude": "40.1", "longitude": "-3.7", "overallStartTime": "2024-01-01T10:00:00"})]
+    assert list(xml.records_of(b"<broken")) == []
 
 
 def test_landing_to_gold(spark, tmp_path):
