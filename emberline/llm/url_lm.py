@@ -21,7 +21,7 @@ from ..operators.storage import discard
 from .common import written
 
 #: The query's rules: (verdict, rule); a rule is a host and the path's beginning.
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 ALPHABET = 256.0
 START, END = "\x02", "\x03"
 
