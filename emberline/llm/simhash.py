@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..operators.skew import lookup
 from ..operators.storage import discard
-from ..operators.tables import free_names
+from ..operators.tables import FEW_ROWS, at_places, free_names
 from .common import partitions, placed, release_memos, small_batches, written
 
 BITS = 64
@@ -568,13 +568,12 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, rad
     labels = connected_components(met, "u", "v")
     members = written(rows.join(labels, "node").select("component", "node", "fp", "word", "n", file, row), "members", total)
     source = stored.select(F.col(f"`{text_col}`").alias("text_"), F.col(file).alias("file_"), F.col(row).alias("row_"))
-    members = members.withColumnsRenamed({file: "file_", row: "row_"})
-    near = split_groups(source, members, width=width, similarity=similarity, radius=radius, group_size=group_size)
+    near = split_groups(source, members.withColumnsRenamed({file: "file_", row: "row_"}), width=width, similarity=similarity, radius=radius, group_size=group_size)
     stays = distinct.join(near, "node", "left_anti")
     goes = written(rows.join(stays, "node", "left_anti").select(file, row), "copies", total)
     discard(near)
-    gone = F.broadcast(goes) if goes.count() <= 1_000_000 else goes  # 16 bytes a row
-    return stored.join(gone, [file, row], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    discard(rows, distinct, members)
+    return at_places(stored, goes, file, row, keep=False).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], keys: int, width: int) -> Iterator[tuple[tuple, tuple]]:
@@ -601,7 +600,11 @@ def split_groups(source: DataFrame, members: DataFrame, *, width: int, similarit
     count, half = partitions(spark), max(group_size // 2, 1)
 
     def sized(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= 1_000_000 else df  # 60 bytes a row
+        return F.broadcast(df) if df.count() <= FEW_ROWS else df  # 60 bytes a row
+
+    def texts_of(pieces: DataFrame) -> DataFrame:
+        """source, or if the pieces are too many to be sent to it, no more than their texts."""
+        return source if pieces.count() <= FEW_ROWS else at_places(source, pieces, "file_", "row_", keep=True)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memos()
@@ -626,7 +629,7 @@ def split_groups(source: DataFrame, members: DataFrame, *, width: int, similarit
     def split(pieces: DataFrame, name: str) -> DataFrame:
         """(node, leader) from members with a column piece."""
         where = sized(pieces.select("component", "piece", "node", "fp", "word", "file_", "row_"))
-        found = source.join(where, ["file_", "row_"]).select("component", "piece", "node", "fp", "word", "text_")
+        found = texts_of(pieces).join(where, ["file_", "row_"]).select("component", "piece", "node", "fp", "word", "text_")
         near = found.repartition(count, "component", "piece").sortWithinPartitions("component", "piece", "node").mapInArrow(classes, "node long, leader long")
         return written(near, name, pieces.count())
 
@@ -700,7 +703,7 @@ def split_groups(source: DataFrame, members: DataFrame, *, width: int, similarit
 
     if not plan.isEmpty():
         upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-        met = source.join(sized(labelled), ["file_", "row_"]).join(sized(plan), "component")
+        met = texts_of(labelled).join(sized(labelled), ["file_", "row_"]).join(sized(plan), "component")
         minors = met.where("label <> major").select("component", piece(F.col("blocks"), -1).alias("block"), F.explode(upto("pieces")).alias("piece"), F.lit(0).alias("role"), "label", "fp", "word", "text_")
         others = met.select("component", F.explode(upto("blocks")).alias("block"), piece(F.col("pieces"), -2).alias("piece"), F.lit(1).alias("role"), "label", "fp", "word", "text_")
         task = ["component", "block", "piece"]

@@ -8,8 +8,10 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 from near_copies import brute_near_groups
+from pyspark.sql import functions as F
 
 from emberline.llm import simhash
+from emberline.operators.tables import at_places
 
 
 def changed(rng, words, n):
@@ -65,3 +67,15 @@ def test_small_sets_are_not_filtered_by_bits(spark):
     want = brute_near_groups([" ".join(t) for t in texts])
     kept = {r.doc_id for r in simhash.one_of_each(docs, radius=0).collect()}
     assert len(kept) == len(set(want)) < len(texts) - 60 and len({want[i] for i in kept}) == len(kept)
+
+
+def test_many_copies_leave_texts_unshuffled(spark, tmp_path):
+    """Over a million places: the rows at them are found without a shuffle of the rows."""
+    spark.range(1_400_000).select(F.col("id").alias("row"), (F.col("id") % 2).alias("file"), F.lit("text").alias("text")).write.parquet(f"file://{tmp_path}/rows")
+    rows = spark.read.parquet(f"file://{tmp_path}/rows")
+    places = rows.where("row % 7 > 0").select("file", "row")
+    without = at_places(rows, places, "file", "row", keep=False)
+    assert without.select("row").collect() == rows.where("row % 7 = 0").select("row").collect() and without.columns == rows.columns
+    assert at_places(rows, places, "file", "row", keep=True).count() == places.count() > 1_000_000
+    plan = without._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
