@@ -482,7 +482,7 @@ def similar_groups(sets: list[np.ndarray], words: list[np.ndarray], similarity:
     return root
 
 
-def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 46, text_col: str = "text", group_size: int = 4_000_000, hot_key: int = 20_000) -> DataFrame:
+def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 4, radius: int = 46, text_col: str = "text", group_size: int = 4_000_000, hot_key: int = 20_000) -> DataFrame:
     """The rows of docs, all columns as they are, of which no earlier one is a near copy:
     one row of each group of near copies stays.
 
@@ -496,8 +496,11 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, rad
     for those that may have near copies, which are shuffled once. A very long text is read
     whole: a worker holds its shingles' hashes, 8 bytes a word.
 
-    Two sets of the similarity share one of their rarest shingles (see rare_shingles), so
-    texts meet there, which loses none. What meets and differs in up to `radius` of 128
+    Candidates are found by SimHash first, as in simhash_components: fingerprints of 64
+    bits that differ in up to `distance` meet by the generalised pigeonhole principle. At a
+    similarity of 0.8 most differ in more, and a pigeonhole search so wide compares all
+    pairs; but two such sets share one of their rarest shingles (see rare_shingles), so
+    the rest of the texts meets there, which loses none. What meets and differs in up to `radius` of 128
     bits of SimHash, or has under SMALL_SET shingles, joins a candidate group; the radius is
     far beyond what a similarity of 0.8 differs in (19, deviation 4; the chance of more than
     46 is below one in a billion from 30 shingles on) and keeps texts apart that share a
@@ -562,6 +565,10 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, rad
     own = rows.join(distinct, "node", "left_semi")
     dealt = own.select(F.explode("rare").alias("key"), "node", "fp", "word", "n")
     met = dealt.repartition(count, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
+    firsts = written(own.groupBy("fp").agg(F.min("node").alias("first")), "firsts", total)
+    at = lambda end: firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node"))
+    near_bits = near_edges(firsts, distance).join(at("u"), "u").join(at("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    met = met.union(near_bits).union(own.join(firsts, "fp").where("node <> first").select("node", "first"))
     if len(hot):  # a hot shingle is a node itself, below all texts
         key = F.col("key")
         met = met.union(own.select("node", F.explode("hot").alias("key")).select("node", F.when(key < 0, key).otherwise(-1 - key)))
@@ -572,7 +579,7 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, rad
     stays = distinct.join(near, "node", "left_anti")
     goes = written(rows.join(stays, "node", "left_anti").select(file, row), "copies", total)
     discard(near)
-    discard(rows, distinct, members)
+    discard(rows, distinct, members, firsts)
     return at_places(stored, goes, file, row, keep=False).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

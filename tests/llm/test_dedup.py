@@ -69,6 +69,24 @@ def test_small_sets_are_not_filtered_by_bits(spark):
     assert len(kept) == len(set(want)) < len(texts) - 60 and len({want[i] for i in kept}) == len(kept)
 
 
+def test_fingerprints_meet_by_pigeonholes(spark, monkeypatch):
+    """Copies with one word of 400 changed are found by their fingerprints alone."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 10**7, 400)]
+        texts += [" ".join(base), " ".join(changed(rng, base, 1)[:400])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    near = {i for i in range(40) if sum(bin(int(a) ^ int(b)).count("1") for a, b in [simhash.fingerprints([simhash.shingle_set(t, 5) for t in texts[2 * i : 2 * i + 2]])]) <= 4}
+    assert len(near) > 30
+    asked = []
+    search = simhash.near_edges
+    monkeypatch.setattr(simhash, "rare_shingles", lambda hashes, *_: hashes[:0])
+    monkeypatch.setattr(simhash, "near_edges", lambda *a, **k: asked.append(a) or search(*a, **k))
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert asked and kept == {2 * i for i in range(40)} | {2 * i + 1 for i in range(40) if i not in near}
+
+
 def test_many_copies_leave_texts_unshuffled(spark, tmp_path):
     """Over a million places: the rows at them are found without a shuffle of the rows."""
     spark.range(1_400_000).select(F.col("id").alias("row"), (F.col("id") % 2).alias("file"), F.lit("text").alias("text")).write.parquet(f"file://{tmp_path}/rows")
