@@ -8,6 +8,9 @@ overlap it; changed and new rows become new segments, and the old places of chan
 are noted as dead. A bucket with too many dead rows or too many segments is rewritten in
 the same step. The next manifest then takes the place of the last one by a rename, so
 readers see a whole version, and the files that it doesn't name are left alone.
+
+Compressed files tell little of their rows' size in memory, so loads are broadcast by
+their number of rows alone, and dead places as bitmaps.
 """
 
 from __future__ import annotations
@@ -23,7 +26,10 @@ from pyspark.sql import types as T
 
 from .merge import Merge, quoted
 from .storage import delete_folder, discard, written
-from .tables import free_names
+from .tables import at_places, free_names
+
+#: A load of so many rows at most is broadcast to find what it meets.
+FEW_ROWS = 50_000
 
 
 class VersionConflict(RuntimeError):
@@ -153,7 +159,7 @@ class KeyedTable:
                 rows = rows.select(*map(F.col, map(quoted, rows.columns)), F.regexp_extract(meta["file_path"], r"=(\d+/[^/]+)$", 1).alias(file), meta["row_index"].alias(row))
             if group is holed:
                 dead = self.spark.read.schema("file string, row long").parquet(*sorted({f"{self.path}/{d}" for s in group for d in s.dead}))
-                rows = rows.join(dead.toDF(file, row), [file, row], "left_anti")
+                rows = at_places(rows, dead.toDF(file, row), file, row, keep=False)
             parts.append(rows if places else rows.select(*map(quoted, schema.names)))
         if not parts:
             extra = [T.StructField(file, T.StringType()), T.StructField(row, T.LongType())] if places else []
@@ -171,7 +177,8 @@ class KeyedTable:
         whole = reduce(lambda a, b: a & b, (F.col(quoted(k)).isNotNull() for k in self.keys))
         kinds = {f.name: f.dataType for f in df.schema}
         plain = [F.col(quoted(c)).cast("string") if isinstance(t, (T.MapType, T.StructType, T.ArrayType)) else F.col(quoted(c)) for c, t in kinds.items()]
-        own = [F.col(quoted(k)) for k in self.keys]
+        exact = lambda k: isinstance(kinds.get(k), (T.FloatType, T.DoubleType))
+        own = [F.when(F.col(quoted(k)) == 0, F.lit(0).cast(kinds[k])).otherwise(F.col(quoted(k))) if exact(k) else F.col(quoted(k)) for k in self.keys]  # -0.0 is 0.0
         return F.pmod(F.when(whole, F.xxhash64(*own)).otherwise(F.xxhash64(*plain)), F.lit(self._many)).cast("int")
 
     @property
@@ -180,27 +187,39 @@ class KeyedTable:
 
     _buckets_there: int | None = None
 
-    def _store(self, df: DataFrame, *, stored: bool = False) -> list[Segment]:
-        """Writes rows as segments, in order of the key. stored: df reads a stored table."""
-        name = f"rows-{uuid.uuid4().hex}"
-        (bucket,) = free_names(df, "_bucket")
-        rows = df.withColumn(bucket, self._bucket(df))
-        rows = rows if stored else written(rows, "load")
-        first, prunes = F.col(quoted(self.keys[0])), isinstance({f.name: f.dataType for f in df.schema}.get(self.keys[0]), (T.IntegralType, T.StringType))
-        ends = (F.min(first), F.max(first)) if prunes else (F.lit(None), F.lit(None))
-        facts = {r[0]: tuple(r)[1:] for r in rows.groupBy(bucket).agg(F.count("*"), *ends).collect()}  # a row for each bucket
-        if not facts:
-            return []
-        files = max(1, -(-max(f[0] for f in facts.values()) // self.rows_a_file))
+    def _places(self, df: DataFrame, total: int) -> tuple[Column, Column, int]:
+        """The bucket and the file in it that rows belong in, and how many files there are;
+        total: about how many the rows are."""
+        files = max(1, -(-total // (self._many * self.rows_a_file)))
         spread = F.pmod(F.xxhash64(*(F.col(quoted(k)) for k in self.keys), F.lit("file")), F.lit(files)) if files > 1 else F.lit(0)
-        dealt = rows.repartition(min(len(facts) * files, 2000), F.col(bucket), spread).sortWithinPartitions(bucket, *map(quoted, self.keys))
-        dealt.write.partitionBy(bucket).parquet(f"{self.path}/{name}")
+        return self._bucket(df), spread, min(self._many * files, 2000)
+
+    def _store(self, df: DataFrame, total: int | None = None) -> list[Segment]:
+        """Writes rows as segments, in order of the key. total: about how many they are, for
+        rows of stored tables; others are stored for a while first."""
+        rows = written(df, "load") if total is None else df
+        (bucket,) = free_names(df, "_bucket")
+        own, spread, files = self._places(rows, rows.count() if total is None else total)
+        dealt = rows.withColumn(bucket, own).repartition(files, F.col(bucket), spread)
+        out = self._segments(dealt.sortWithinPartitions(bucket, *map(quoted, self.keys)), bucket)
         discard(rows)
+        return out
+
+    def _segments(self, dealt: DataFrame, bucket: str) -> list[Segment]:
+        """Writes rows as they are dealt and ordered."""
+        name = f"rows-{uuid.uuid4().hex}"
+        dealt.write.partitionBy(bucket).parquet(f"{self.path}/{name}")
+        schema = T.StructType([f for f in dealt.schema if f.name.lower() == self.keys[0].lower() or f.name == bucket])
+        first, prunes = F.col(quoted(self.keys[0])), isinstance(schema[0].dataType, (T.IntegralType, T.StringType))
+        ends = (F.min(first), F.max(first)) if prunes else (F.lit(None), F.lit(None))
+        facts = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").groupBy(bucket).agg(F.count("*"), *ends).collect()  # a row for each bucket
         out = []
-        for b, (n, least, greatest) in sorted(facts.items()):
+        for b, n, least, greatest in sorted(map(tuple, facts), key=lambda f: f[0]):
             folder = f"{name}/{bucket}={b}"
-            files_, at = self._hadoop(f"{self.path}/{folder}")
-            out.append(Segment(b, folder, n, files_.getContentSummary(at).getLength(), least, greatest))
+            files, at = self._hadoop(f"{self.path}/{folder}")
+            out.append(Segment(b, folder, n, files.getContentSummary(at).getLength(), least, greatest))
+        if not out:
+            self._drop_folders({name})
         return out
 
     def create(self, schema: str | T.StructType) -> bool:
@@ -211,11 +230,11 @@ class KeyedTable:
         self._commit(Manifest(0, kind.json(), tuple(self.keys), self.buckets))
         return True
 
-    def write(self, df: DataFrame) -> int:
-        """The rows as the table's next version, in place of all others."""
+    def write(self, df: DataFrame, total: int | None = None) -> int:
+        """The rows as the table's next version, in place of all others. total: see _store."""
         found = self.manifest()
         self._buckets_there = found.buckets if found else None
-        return self._commit(Manifest(found.version + 1 if found else 0, df.schema.json(), tuple(self.keys), self._many, tuple(self._store(df))))
+        return self._commit(Manifest(found.version + 1 if found else 0, df.schema.json(), tuple(self.keys), self._many, tuple(self._store(df, total))))
 
     def merge(self, load: Merge) -> int:
         """Merges a load (whose keys are the table's) and returns the version, the present one
@@ -231,51 +250,61 @@ class KeyedTable:
     def _merge(self, load: Merge) -> int:
         found = self.manifest()
         if found is None:
-            return -1 if load.source.isEmpty() else self.write(load.applied(None))
+            return -1 if load.source.isEmpty() else self.write(load.applied(None), load.source.count())
         self._buckets_there = found.buckets
         schema = T.StructType.fromJson(json.loads(found.schema))
-        load.checked()
         fields = load.fields(schema)
         kind = self.spark.createDataFrame([], ", ".join(f"{quoted(c)} {t}" for c, t in fields.items())).schema
-        file, row, flag = free_names([*fields, *load.source.columns], "_file", "_row", "_changed")
-        touched = self._touched(found, load, schema)
-        t, s, on = load.sides(self._rows(found, touched, (file, row)), fields, file, row)
-        out = lambda rule: [rule(c, k).cast(k).alias(c) for c, k in fields.items()]
-        met = written(t.join(s, on).select(*out(load.updated), file, row, load.updates().alias(flag)), "met") if touched else None
-        changed = [] if met is None else [met.where(flag).drop(flag)]
-        if load.insert is not None:
-            new = s if met is None else s.join(met.select(*(F.col(quoted(k)).alias(f"k{i}") for i, k in enumerate(self.keys))), reduce(lambda a, b: a & b, (F.col("s")[k] == F.col(f"k{i}") for i, k in enumerate(self.keys))), "left_anti")
-            nothing = F.lit(None).cast(T.StructType([f for f in kind])).alias("t")
-            changed.append(new.select("s", nothing).select(*out(load.inserted), F.lit(None).cast("string").alias(file), F.lit(None).cast("long").alias(row)))
-        if load.not_matched:
-            every, s, on = load.sides(self._rows(found, list(found.segments), (file, row)), fields, file, row)
-            gone = every.join(s, on, "left_anti").withColumn("s", F.lit(None).cast(s.schema["s"].dataType)).where(load.closes())
-            changed.append(gone.select(*out(load.closed), file, row))
-        rows = written(reduce(DataFrame.unionByName, changed), "changed") if changed else None
-        if met is not None:
-            discard(met)
-        made = [] if rows is None else self._store(rows.drop(file, row), stored=True)
-        if not made:
-            return found.version
-        segments = [*self._dead(found, rows, file, row), *made]
+        touched, many = self._touched(found, load, schema)
+        next_ = replace(found, version=found.version + 1, schema=kind.json())
+        load.checked()
+        file, row = free_names([*fields, *load.source.columns], "_file", "_row")
+        t, s, on = load.sides(self._rows(found, list(found.segments) if load.not_matched else touched, (file, row)), fields, file, row)
+        if many <= FEW_ROWS < sum(s.rows for s in touched) and not load.not_matched:  # of the table only what the load meets is shuffled
+            t = t.join(F.broadcast(s.select(F.struct(*(F.col("s")[k].alias(k) for k in self.keys)).alias("s"))), on, "left_semi")
+        how = {(False, False): "inner", (True, False): "right", (False, True): "left", (True, True): "full"}[load.insert is not None, bool(load.not_matched)]
+        met = t.hint("merge").join(s.hint("merge"), on, how)
+        rows = written(met.where(load.changes()).select(*load.outcome(fields), file, row), "changed")
+        segments = self._changed(next_, rows, file, row)
         discard(rows)
-        next_ = replace(found, version=found.version + 1, schema=kind.json(), segments=tuple(segments))
-        last = self._rewritten(next_)
-        self._drop_folders(next_.folders() - last.folders() - found.folders())  # rewritten at once
-        return self._commit(last)
+        if segments is None:
+            return found.version
+        return self._commit(replace(next_, segments=tuple(segments)))
 
     def _drop_folders(self, names: set[str]) -> None:
         for name in names:
             delete_folder(self.spark, f"{self.path}/{name}")
 
-    def _touched(self, found: Manifest, load: Merge, schema: T.StructType) -> list[Segment]:
-        """The segments that may hold a key of the load."""
+    def _touched(self, found: Manifest, load: Merge, schema: T.StructType) -> tuple[list[Segment], int]:
+        """The segments that may hold a key of the load, and how many keys it has."""
         first = F.col(quoted(self.keys[0]))
         kinds = {f.name.lower(): f.dataType.simpleString() for f in schema}
         typed = load.source.where(load.whole_keys()).select(*(F.col(quoted(k)).cast(kinds.get(k.lower(), "string")).alias(k) for k in self.keys))
-        ends = {r[0]: (r[1], r[2]) for r in typed.groupBy(self._bucket(typed)).agg(F.min(first), F.max(first)).collect()}  # a row for each bucket
+        facts = typed.groupBy(self._bucket(typed)).agg(F.min(first), F.max(first), F.count("*")).collect()  # a row for each bucket
+        ends = {r[0]: (r[1], r[2]) for r in facts}
         overlaps = lambda s: s.least is None or not (s.greatest < ends[s.bucket][0] or s.least > ends[s.bucket][1])
-        return [s for s in found.segments if s.bucket in ends and overlaps(s)]
+        return [s for s in found.segments if s.bucket in ends and overlaps(s)], sum(r[3] for r in facts)
+
+    def _changed(self, manifest: Manifest, rows: DataFrame, file: str, row: str) -> list[Segment] | None:
+        """The segments of a version once rows have changed (file and row: where those were that
+        it has already), None without any. Buckets that would have too many dead rows or
+        segments are written anew with them."""
+        fresh = rows.drop(file, row)
+        more = {r[0]: r[1] for r in fresh.groupBy(self._bucket(fresh)).count().collect()}  # a row for each bucket
+        if not more:
+            return None
+        marked = replace(manifest, segments=tuple(self._dead(manifest, rows, file, row)))
+        by: dict[int, list[Segment]] = {}
+        for s in marked.segments:
+            by.setdefault(s.bucket, []).append(s)
+        stale = {b for b, own in by.items() if len(own) + (b in more) > self.most_segments or sum(s.dead_rows for s in own) > self.dead_share * (sum(s.rows for s in own) + more.get(b, 0))}
+        left = [s for s in marked.segments if s.bucket in stale and s.rows > s.dead_rows]
+        if left:
+            fresh = fresh.unionByName(self._rows(marked, left))
+        made = self._store(fresh, sum(more.values()) + sum(s.rows - s.dead_rows for s in left))
+        out = [*(s for s in marked.segments if s.bucket not in stale), *made]
+        self._drop_folders(marked.folders() - manifest.folders() - replace(marked, segments=tuple(out)).folders())  # places of rewritten rows
+        return out
 
     def _dead(self, found: Manifest, rows: DataFrame, file: str, row: str) -> list[Segment]:
         """The segments of a version, with the places of changed rows noted as dead."""
@@ -294,16 +323,5 @@ class KeyedTable:
             out.append(replace(s, dead=(*s.dead, f"{name}/bucket={s.bucket}"), dead_rows=s.dead_rows + more) if more else s)
         return out
 
-    def _rewritten(self, manifest: Manifest) -> Manifest:
-        """The manifest with the buckets written anew that have too many dead rows or segments."""
-        by: dict[int, list[Segment]] = {}
-        for s in manifest.segments:
-            by.setdefault(s.bucket, []).append(s)
-        stale = {b for b, own in by.items() if len(own) > self.most_segments or sum(s.dead_rows for s in own) > self.dead_share * sum(s.rows for s in own)}
-        if not stale:
-            return manifest
-        made = self._store(self._rows(manifest, [s for s in manifest.segments if s.bucket in stale]))
-        return replace(manifest, segments=(*(s for s in manifest.segments if s.bucket not in stale), *made))
-
     def drop(self) -> None:
         delete_folder(self.spark, self.path)

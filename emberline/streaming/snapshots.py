@@ -37,9 +37,10 @@ def snapshot_stream(documents: DataFrame, path: str, checkpoint: str, published:
     def merge(batch: DataFrame, _: int) -> None:
         parts = batch.select("content", published.cast("timestamp_ntz").alias(TIME)).where(F.col(TIME).isNotNull())
         rows = written(flatten_xml(parts, "content", [TIME], error="error"), "stream_rows")
-        broken = rows.where("error is not null").select(TIME).distinct()
-        times = written(parts.select(TIME).distinct().join(broken, TIME, "left_anti"), "stream_times")
-        whole = rows.where("error is null and record_id is not null").join(times, TIME, "left_semi")
+        broken = [r[0] for r in rows.where("error is not null").select(F.col(TIME).cast("string")).distinct().collect()]  # at most one for each of a batch's files
+        whole = ~F.col(TIME).cast("string").isin(broken)  # a list, as even an empty broadcast takes the driver a page of memory in each batch
+        times = written(parts.select(TIME).distinct().where(whole), "stream_times")
+        whole = rows.where("error is null and record_id is not null").where(whole)
         latest = whole.groupBy(KEY).agg(F.max_by("values", TIME).alias("values"), F.max(TIME).alias(TIME))
         newer = lambda o, n: n(TIME) > o(TIME)
         records.merge(Merge(latest, [KEY], update_when=newer, check=False))

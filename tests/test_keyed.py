@@ -95,3 +95,31 @@ def test_names_of_merged_columns(spark):
     new = spark.createDataFrame([(1, "r", "s"), (2, "t", "u")], "ID int, `a.b` string, v string")
     got = merge_df(old, new, ["id"])
     assert got.columns == ["id", "a.b", "V"] and rows(got) == sorted([("s", "r", 1), ("u", "t", 2)], key=repr)
+
+
+def plans_of(monkeypatch):
+    """The plans of what merges write from here on, by name."""
+    plans, own = [], keyed.written
+
+    def written(df, name, *more):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return own(df, name, *more)
+
+    monkeypatch.setattr(keyed, "written", written)
+    return plans
+
+
+def test_loads_and_dead_places_are_not_broadcast_by_file_size(spark, tmp_path, monkeypatch):
+    many = keyed.FEW_ROWS * 2
+    table = KeyedTable(spark, f"file://{tmp_path}/t", ["id"], buckets=2, dead_share=0.9)
+    table.write(spark.range(many).select("id", F.lit(0).alias("v")))
+    plans = plans_of(monkeypatch)
+    load = spark.range(many // 4, many).select("id", F.lit(1).alias("v"))
+    assert many // 4 * 3 > keyed.FEW_ROWS
+    table.merge(Merge(load, ["id"], update_when=lambda o, n: n("v") > o("v")))
+    assert plans and not any("Broadcast" in p for _, p in plans)
+    held = table.read()
+    assert any(s.dead for s in table.manifest().segments)
+    assert "LeftAnti" not in held._jdf.queryExecution().executedPlan().toString()
+    assert {r[0]: r[1] for r in held.groupBy("v").count().collect()} == {0: many // 4, 1: many // 4 * 3}
+    assert held.where("v = 0").agg(F.max("id")).first()[0] == many // 4 - 1

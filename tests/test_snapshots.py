@@ -5,6 +5,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from emberline.operators import keyed
 from emberline.streaming import snapshots
 
 PUBLISHED = F.try_to_timestamp  # of the time in a document
@@ -43,3 +44,21 @@ def test_any_order_of_arrival(spark, tmp_path):
             run()
             got = {r.record_id: (r.snapshot, r.gone_at) for r in snapshots.presence(spark, table).collect()}
             assert got == {"r1": (day(3), day(4)), "r2": (day(5), None), "r3": (day(3), day(4))}
+
+
+def test_batches_broadcast_nothing(spark, tmp_path, monkeypatch):
+    """Even an empty broadcast takes a page of the driver's memory, for each batch again."""
+    plans = []
+    for module in (snapshots, keyed):
+        own = module.written
+        monkeypatch.setattr(module, "written", lambda df, *more, own=own: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, *more))
+    (tmp_path / "l").mkdir()
+    for d in DAYS:
+        (tmp_path / f"l/d{d}.xml").write_text(document(d, DAYS[d]))
+    (tmp_path / "l/broken.xml").write_text("<f><at>2024-02-03T00:00:00</at><situationRecord>")
+    published = PUBLISHED(F.regexp_extract(F.col("content").cast("string"), "<at>(.*?)</at>", 1))
+    stream = snapshots.document_stream(spark, str(tmp_path / "l"), files_a_batch=5)
+    snapshots.snapshot_stream(stream, f"file://{tmp_path}/t", f"{tmp_path}/c", published).awaitTermination()
+    assert plans and not any("Broadcast" in p for p in plans)
+    got = {r.record_id: (r.snapshot.day, r.gone_at.day) for r in snapshots.presence(spark, f"file://{tmp_path}/t").collect()}
+    assert got == {"r1": (2, 4), "r2": (1, 2), "r3": (1, 2)}  # all parts of a snapshot that has a broken one are left out
