@@ -6,8 +6,10 @@ their rows, bytes and the least and greatest key, and the places of rows in them
 dead. A merge reads the segments of the buckets that the load touches and whose keys
 overlap it; changed and new rows become new segments, and the old places of changed ones
 are noted as dead. A bucket with too many dead rows or too many segments is rewritten in
-the same step. The next manifest then takes the place of the last one by a rename, so
-readers see a whole version, and the files that it doesn't name are left alone.
+the same step. A load that is large beside the table and updates all that it meets makes
+the whole table anew: both are dealt to the new files once, and are met there. The next
+manifest then takes the place of the last one by a rename, so readers see a whole version,
+and the files that it doesn't name are left alone.
 
 Compressed files tell little of their rows' size in memory, so loads are broadcast by
 their number of rows alone, and dead places as bitmaps.
@@ -20,7 +22,7 @@ import uuid
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -257,6 +259,9 @@ class KeyedTable:
         kind = self.spark.createDataFrame([], ", ".join(f"{quoted(c)} {t}" for c, t in fields.items())).schema
         touched, many = self._touched(found, load, schema)
         next_ = replace(found, version=found.version + 1, schema=kind.json())
+        live = sum(s.rows - s.dead_rows for s in found.segments)
+        if touched and load.update and not load.update_when and many > self.dead_share * live:
+            return self._commit(replace(next_, segments=tuple(self._replaced(found, load, fields, live + many))))
         load.checked()
         file, row = free_names([*fields, *load.source.columns], "_file", "_row")
         t, s, on = load.sides(self._rows(found, list(found.segments) if load.not_matched else touched, (file, row)), fields, file, row)
@@ -285,6 +290,34 @@ class KeyedTable:
         overlaps = lambda s: s.least is None or not (s.greatest < ends[s.bucket][0] or s.least > ends[s.bucket][1])
         return [s for s in found.segments if s.bucket in ends and overlaps(s)], sum(r[3] for r in facts)
 
+    def _replaced(self, found: Manifest, load: Merge, fields: dict[str, str], total: int) -> list[Segment]:
+        """The segments of the whole table after a load that updates all rows it meets. Rows of
+        both sides are dealt to the files that are to hold their keys and gather by key there,
+        so they are shuffled once; those of a null key meet none."""
+        own = {k.lower() for k in self.keys}
+        keys = [c for c in fields if c.lower() in own]
+        bucket, spread, alone, t_, s_, count = free_names(keys, "_bucket", "_spread", "_alone", "t", "s", "_count")
+        t, s, _ = load.sides(self._rows(found, list(found.segments)), fields)
+        kinds = {"t": (t_, t.schema["t"].dataType), "s": (s_, s.schema["s"].dataType)}
+        both = []
+        for side, df in (("t", t), ("s", s)):
+            values = [F.col(side)[c] for c in keys]
+            null = reduce(lambda a, b: a | b, (v.isNull() for v in values))
+            apart = F.when(null, F.concat(F.lit(side), F.monotonically_increasing_id().cast("string")))
+            both.append(df.select(*(v.alias(c) for v, c in zip(values, keys, strict=True)), apart.alias(alone), *((F.col(x) if x == side else F.lit(None).cast(k)).alias(n) for x, (n, k) in kinds.items())))
+        rows = both[0].unionByName(both[1])
+        at, in_it, files = self._places(rows.select(*map(quoted, keys), alone), total)
+        dealt = rows.withColumns({bucket: at, spread: in_it}).repartition(files, bucket, spread)
+        one = lambda c: F.first(c, ignorenulls=True)
+        met = dealt.groupBy(bucket, spread, *map(quoted, keys), alone).agg(one(t_).alias("t"), one(s_).alias("s"), F.count(s_).alias(count))
+        seen = Observation()
+        met = met.observe(seen, F.max(count).alias("most")).where(F.col("t").isNotNull() | F.lit(load.insert is not None))
+        made = self._segments(met.select(*load.outcome(fields), bucket), bucket)
+        if load.check and seen.get["most"] > 1:
+            self._drop_folders({s.path.split("/")[0] for s in made})
+            load.checked()
+        return made
+
     def _changed(self, manifest: Manifest, rows: DataFrame, file: str, row: str) -> list[Segment] | None:
         """The segments of a version once rows have changed (file and row: where those were that
         it has already), None without any. Buckets that would have too many dead rows or

@@ -123,3 +123,26 @@ def test_loads_and_dead_places_are_not_broadcast_by_file_size(spark, tmp_path, m
     assert "LeftAnti" not in held._jdf.queryExecution().executedPlan().toString()
     assert {r[0]: r[1] for r in held.groupBy("v").count().collect()} == {0: many // 4, 1: many // 4 * 3}
     assert held.where("v = 0").agg(F.max("id")).first()[0] == many // 4 - 1
+
+
+def test_a_large_load_is_shuffled_once(spark, tmp_path, monkeypatch):
+    schema = "k string, n int, v string"
+    old = [(f"k{i}", i % 3, "old") for i in range(40)] + [(None, 1, "old"), (None, 1, "old")]
+    new = [(f"k{i}", i % 3, "new") for i in range(20, 60)] + [(None, 1, "new"), (None, 1, "new")]
+    table = KeyedTable(spark, f"file://{tmp_path}/t", ["k", "n"], buckets=3, rows_a_file=9)
+    table.write(spark.createDataFrame(old, schema))
+    load = Merge(spark.createDataFrame(new, schema), ["k", "n"], not_matched=(lambda o, n: o("k") == "k3", {"v": lambda o, n: F.lit("gone")}))
+    want = rows(load.applied(table.read()))
+    plans = plans_of(monkeypatch)
+    table.merge(load)
+    assert [n for n, _ in plans] == ["source"]  # the rest is written to its place
+    assert rows(table.read()) == want and (None, 1, "old") in want and ("k3", 0, "gone") in want
+    assert sum(s.rows for s in table.manifest().segments) == len(want) == 64
+    folders = sorted(os.listdir(tmp_path / "t"))
+    with pytest.raises(DuplicateKeys):
+        table.merge(Merge(load.source.union(load.source), ["k", "n"]))
+    assert rows(table.read()) == want and sorted(os.listdir(tmp_path / "t")) == folders
+    zero = KeyedTable(spark, f"file://{tmp_path}/z", ["x"])
+    zero.write(spark.createDataFrame([(0.0, 1), (1.0, 1)], "x double, v int"))
+    zero.merge(Merge(spark.createDataFrame([(-0.0, 2)], "x double, v int"), ["x"]))
+    assert rows(zero.read()) == [(1, 1.0), (2, 0.0)]
