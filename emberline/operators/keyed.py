@@ -82,7 +82,7 @@ class KeyedTable:
     Of two writers that start from one version one gets VersionConflict; the files that it
     wrote stay, as no version names them, until the table is dropped."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], *, buckets: int = 16, keep: int = 3, dead_share: float = 0.25, most_segments: int = 16, rows_a_file: int = 1_000_000):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], *, buckets: int = 16, keep: int = 3, dead_share: float = 0.25, most_segments: int = 16, rows_a_file: int = 250_000):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
         self.buckets, self.keep, self.dead_share, self.most_segments, self.rows_a_file = buckets, keep, dead_share, most_segments, rows_a_file
 

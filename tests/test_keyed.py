@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberline.operators import keyed
 from emberline.operators.keyed import KeyedTable, VersionConflict
 from emberline.operators.merge import DuplicateKeys, Merge, lineage_merge, merge_df, snapshot_merge, upsert_merge
+from emberline.plans import gold
 
 
 def stored_bytes(folder):
@@ -146,3 +147,16 @@ def test_a_large_load_is_shuffled_once(spark, tmp_path, monkeypatch):
     zero.write(spark.createDataFrame([(0.0, 1), (1.0, 1)], "x double, v int"))
     zero.merge(Merge(spark.createDataFrame([(-0.0, 2)], "x double, v int"), ["x"]))
     assert rows(zero.read()) == [(1, 1.0), (2, 0.0)]
+
+
+def test_impacts_are_merged_without_broadcasts(spark, tmp_path, monkeypatch):
+    found = spark.range(3000).select(F.col("id").cast("string").alias("fire_detection_id"), F.lit("i").alias("traffic_incident_id"), F.col("id").cast("double").alias("distance_km"))
+    table = KeyedTable(spark, f"file://{tmp_path}/t", gold.IMPACT_KEYS, buckets=2)
+    table.create(gold.TRAFFIC_IMPACT)
+    plans, own = plans_of(monkeypatch), KeyedTable._segments
+    monkeypatch.setattr(KeyedTable, "_segments", lambda self, df, *more: plans.append(("rows", df._jdf.queryExecution().executedPlan().toString())) or own(self, df, *more))
+    table.merge(gold.traffic_impact_merge(found.where("id < 2000")))
+    table.merge(gold.traffic_impact_merge(found.where("id >= 1000").withColumn("distance_km", F.lit(-1.0))))
+    assert len(plans) > 3 and not any("Broadcast" in p for _, p in plans)
+    assert table.read().count() == 3000 and table.read().where("distance_km = -1").count() == 2000
+    assert KeyedTable(spark, "t", ["id"]).rows_a_file <= 250_000  # a task sorts a few files' rows
