@@ -450,6 +450,62 @@ def _meetings(rows: list[np.ndarray], similarity: float, radius: int, few: int =
     return _stars(np.concatenate(found))
 
 
+#: So many keys of a bucket, of 16 bytes, are met at a time.
+KEYS_AT_ONCE = 500_000
+
+
+def shared_keys(lists: DataFrame, total: int) -> DataFrame:
+    """(key, node) of the rows (node, keys: arrays of longs, distinct in a row) whose key
+    another row has too. total: how many keys there are.
+
+    Most rare shingles are in one text alone, so nothing but the keys and nodes goes to
+    where equal keys meet, and that in packs of 8 and 4 bytes: a pack for each bucket of
+    keys and batch, so the bytes a key don't grow with the number of partitions."""
+    count = partitions(lists.sparkSession)
+    buckets = max(count, -(-total // KEYS_AT_ONCE))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            size = keys.value_lengths().to_numpy(zero_copy_only=False)
+            key, node = keys.flatten().to_numpy(zero_copy_only=False), np.repeat(node, size)
+            if not len(key):
+                continue
+            bucket, far = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64), node >> 32
+            order = np.lexsort((far, bucket))
+            key, node, bucket, far = key[order], node[order], bucket[order], far[order]
+            starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (far[1:] != far[:-1])]))
+            ends = [*starts[1:], len(key)]
+            near = (node & 0xFFFFFFFF).astype(np.uint32)
+            packs = [[x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for x in (key, near)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(far[starts]), *(pa.array(x, pa.binary()) for x in packs)], ["bucket", "far", "keys", "nodes"])
+
+    def met(held: list[tuple]) -> pa.RecordBatch:
+        key = np.concatenate([np.frombuffer(k, np.int64) for _, k, _ in held])
+        node = np.concatenate([(far << 32) | np.frombuffer(n, np.uint32).astype(np.int64) for far, _, n in held])
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        same = key[1:] == key[:-1]
+        own = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(node[own])], ["key", "node"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
+        last, held = None, []
+        for batch in batches:
+            for bucket, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != last and held:
+                    yield met(held)
+                    held = []
+                last = bucket
+                held.append(own)
+        if held:
+            yield met(held)
+
+    packs = lists.mapInArrow(pack, "bucket long, far long, keys binary, nodes binary")
+    return packs.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, node long")
+
+
 def _overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """How many hashes each of the others shares with own; none is empty."""
     flat = np.concatenate(others)
@@ -562,8 +618,11 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, dis
         edges = _meetings(runs, similarity, radius)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
 
-    own = rows.join(distinct, "node", "left_semi")
-    dealt = own.select(F.explode("rare").alias("key"), "node", "fp", "word", "n")
+    part, at_ = free_names(rows, "part", "at")  # a node's file and its number in it
+    split_node = lambda df: df.withColumns({part: F.shiftright("node", 33), at_: F.col("node").bitwiseAND((1 << 33) - 1)})
+    own = at_places(split_node(rows), split_node(distinct), part, at_, keep=True).drop(part, at_)
+    keys = written(shared_keys(own.select("node", "rare"), own.agg(F.sum(F.size("rare"))).first()[0] or 0), "shared_keys")
+    dealt = keys.join(own.select("node", "fp", "word", "n"), "node").select("key", "node", "fp", "word", "n")
     met = dealt.repartition(count, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
     firsts = written(own.groupBy("fp").agg(F.min("node").alias("first")), "firsts", total)
     at = lambda end: firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node"))
@@ -579,7 +638,7 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, dis
     stays = distinct.join(near, "node", "left_anti")
     goes = written(rows.join(stays, "node", "left_anti").select(file, row), "copies", total)
     discard(near)
-    discard(rows, distinct, members, firsts)
+    discard(rows, distinct, members, firsts, keys)
     return at_places(stored, goes, file, row, keep=False).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -97,3 +97,32 @@ def test_many_copies_leave_texts_unshuffled(spark, tmp_path):
     assert at_places(rows, places, "file", "row", keep=True).count() == places.count() > 1_000_000
     plan = without._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_only_shared_keys_are_dealt(spark, monkeypatch):
+    """Keys of two rows and more, by brute force, from nodes of far numbers; texts without
+    a shingle in common deal nothing but those packs."""
+    monkeypatch.setattr(simhash, "KEYS_AT_ONCE", 100)
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 3 << 33) + i, [int(x) for x in np.unique(rng.integers(-800, 800, int(rng.integers(0, 9))))] + [2**62] * (i % 2)) for i in range(400)]
+    rows += [(7 << 40, [-(2**63), 5000]), ((7 << 40) + 1, [-(2**63)])]
+    got = simhash.shared_keys(spark.createDataFrame(rows, "node long, keys array<long>").repartition(3), sum(len(k) for _, k in rows))
+    of = {}
+    for node, keys in rows:
+        for k in keys:
+            of.setdefault(k, []).append(node)
+    want = sorted((k, n) for k, nodes in of.items() if len(nodes) > 1 for n in nodes)
+    assert sorted(map(tuple, got.collect())) == want and len(of) > len({k for k, _ in want}) > 100
+    made, real = {}, simhash.written
+
+    def kept(df, name, *more):
+        out = real(df, name, *more)
+        return out if name in made else made.setdefault(name, out)
+
+    monkeypatch.setattr(simhash, "written", kept)
+    monkeypatch.setattr(simhash, "discard", lambda *a: None)
+    words = rng.permutation(10**5)
+    texts = [" ".join(f"w{x}" for x in words[40 * i : 40 * i + 40]) for i in range(50)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert simhash.one_of_each(docs).count() == 50
+    assert made["shared_keys"].isEmpty() and made["distinct"].count() == 50 and made["prints"].selectExpr("sum(size(rare))").first()[0] == 800
