@@ -39,3 +39,13 @@ def test_a_name_follows_the_versions(spark, tmp_path):
     table.drop()
     assert not spark.catalog.tableExists("emberline_test.some")
     spark.sql("DROP DATABASE emberline_test")
+
+
+def test_versions_are_stored_densely(spark, tmp_path):
+    """Digests, which are in every pair of a decision table, take half of their letters."""
+    from emberline.operators.merge import VersionedTable
+
+    stored = VersionedTable(spark, f"file://{tmp_path}/t")
+    stored.write(spark.range(20_000).selectExpr("sha2(cast(id as string), 256) as fire_id"))
+    assert stored.read().count() == 20_000
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 20_000 * 45
